@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import pickle
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +72,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], boun
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
     rows = known.limit(2 * bound)
     return docs.select("doc_id", "text").dropna().join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+
+
+def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:
+    """The model that ``fit`` makes of all rows, in one task on an executor: the texts of a sample never reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        frame = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame(columns=rows_columns)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(frame))], pa.binary())], ["model"])
+
+    rows_columns = rows.columns
+    found = arrow_map(rows.repartition(1), run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else fit(pd.DataFrame(columns=rows_columns))
