@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import pickle
 import tempfile
 import uuid
@@ -13,6 +13,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,10 +52,38 @@ def ship(spark: SparkSession) -> None:
     sc._textruns_shipped = True
 
 
+#: Bytes and rows of a batch between the JVM and Python: texts are large, and both sides hold whole batches.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
+
+
+def _release() -> None:
+    """Give freed memory back: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    ship(df.sparkSession)
-    os.environ.setdefault("OMP_NUM_THREADS", "1")
-    return df.mapInArrow(f, schema)
+    """``mapInArrow`` with small batches, and memory given back at the end of each task."""
+    spark = df.sparkSession
+    ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        try:
+            now = int(spark.conf.get(key).rstrip("bB"))
+        except (PySparkException, ValueError):  # not known to this version, or in another unit
+            continue
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

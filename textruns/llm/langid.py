@@ -18,18 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._job import arrow_map
+from ._job import arrow_map, fitted
 from ._text import pieces
 
 BUCKETS = 1 << 15
 DIM = 16
 #: At most about so many documents are used to fit.
-BOUND = 2_000
+BOUND = 1_600
 LOSS = 0.0005
 SPARSE_STEP = 20.0
 
@@ -135,8 +136,8 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, seed: int = 0, rate
         for c in counts.tolist():
             u, k = np.unique(buckets[at : at + c], return_counts=True)
             at += c
-            data.append(u)
-            cnt.append(k / max(c, 1))
+            data.append(u.astype(np.int32))
+            cnt.append((k / max(c, 1)).astype(np.float32))
             ptr.append(ptr[-1] + len(u))
     y = np.array(ys)
     idx, val, ptr = np.concatenate(data), np.concatenate(cnt), np.array(ptr)
@@ -192,8 +193,12 @@ def train(docs: DataFrame, bound: int = BOUND) -> LanguageModel:
     hashed, admitted = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(False)
     for lang, n in sorted(counts.items()):
         admitted = admitted | ((F.col("lang") == lang) & (hashed < int((1 << 30) * min(1.0, each / n))))
-    rows = known.where(admitted).limit(2 * bound).toPandas().drop_duplicates(["doc_id", "lang"]).sort_values(["doc_id", "lang"])
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+
+    def run(rows: pd.DataFrame) -> LanguageModel:
+        rows = rows.sort_values(["doc_id", "lang"]).drop_duplicates(["doc_id", "lang"])
+        return fit(rows["text"].tolist(), rows["lang"].tolist())
+
+    return fitted(known.where(admitted).limit(2 * bound), run)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._job import arrow_map, labelled_sample
+from ._job import arrow_map, fitted, labelled_sample
 from ._text import distinct_per_owner, lookup, pieces, words
 
 #: At most about so many labelled documents are used to fit.
@@ -170,8 +170,11 @@ def fit(texts: list[str], toxic: np.ndarray, grades: int = GRADES, lift: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> OrdinalModel:
-    rows = labelled_sample(docs, labels, ["toxic"], bound).orderBy("doc_id").toPandas()
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+    def run(rows: pd.DataFrame) -> OrdinalModel:
+        rows = rows.sort_values("doc_id")
+        return fit(rows["text"].tolist(), rows["toxic"].to_numpy())
+
+    return fitted(labelled_sample(docs, labels, ["toxic"], bound), run)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
