@@ -1,10 +1,10 @@
 """Toxicity (operator 3): cumulative-link ordinal regression over sparse word features.
 
 Model: P(grade <= k | x) = sigmoid(theta_k - w.x) with one weight vector w shared by the ordered thresholds theta_1 <= ... <= theta_K.
-x holds the presence of each word of the document, the whole text counted. The expected severity is sum_k P(grade > k), from 0 to K.
+x holds the presence of each word of the document and of each word beginning of ``STEMS`` bytes (inflected words share one); the whole text counts. The expected severity is sum_k P(grade > k), from 0 to K.
 
-Training labels are binary. A document labelled 0 has grade 0. A document labelled 1 is graded 1 to ``grades`` by how many
-of its words are *marked*: words at least ``lift`` times as frequent among labelled-1 documents (1 marked word or none: grade 1, 2: grade 2, ...).
+Training labels are binary. A document labelled 0 has grade 0. A document labelled 1 is graded 1 to ``GRADES`` by how many of its
+features are *marked*, that is at least ``lift`` times as frequent among documents labelled 1: a grade for each ``len(STEMS)`` of them begun.
 
 Defined cases: a NULL or empty text has no features and gets the severity of the bias alone, grade 0 unless most training documents are
 toxic; it is kept. Repeated rows are scored one by one, alike. Extra columns pass through ``filter_toxic`` and are ignored by
@@ -23,13 +23,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._job import arrow_map, fitted, labelled_sample
-from ._text import distinct_per_owner, lookup, pieces, words
+from ._text import WORD_BYTE, Piece, distinct_per_owner, lookup, pieces, runs, span_hashes
 
 #: At most about so many labelled documents are used to fit.
-BOUND = 8_000
+BOUND = 4_000
 GRADES = 3
+FOLDS = 3
 #: A document is rejected when its expected severity reaches the model's ``cut``, fitted within these bounds.
 CUTS = (0.1, 0.5)
+#: Weight of the share of clean documents spared against the share of toxic ones caught.
+SPARE = 2.0
+
+
+#: Lengths in bytes of the word beginnings that are features.
+STEMS = range(3, 10)
+
+
+def stems(p: Piece) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every word and of its beginnings, in text order of each kind in turn, texts ascending."""
+    lower = WORD_BYTE[p.data]
+    starts, ends = runs(lower > 0, p.offsets)
+    owner = np.repeat(np.arange(p.hi - p.lo), np.diff(np.searchsorted(starts, p.offsets)))
+    size = ends - starts
+    owners, begins, stops = [owner], [starts], [ends]
+    for k in STEMS:
+        # a beginning that ends within a character is as good as any
+        on = np.flatnonzero(size > k)
+        owners.append(owner[on])
+        begins.append(starts[on])
+        stops.append(starts[on] + k)
+    return np.concatenate(owners), span_hashes(lower, np.concatenate(begins), np.concatenate(stops))
 
 
 @dataclass
@@ -47,10 +70,10 @@ class OrdinalModel:
     def linear(self, texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
         out = np.zeros(len(texts))
         for p in pieces(texts):
-            w = words(p)
-            at = lookup(self.keys, w.hashes)
+            owner, found = stems(p)
+            at = lookup(self.keys, found)
             hit = np.flatnonzero(at >= 0)
-            owner, key, _ = distinct_per_owner(w.owner()[hit], at[hit], p.hi - p.lo)
+            owner, key, _ = distinct_per_owner(owner[hit], at[hit], p.hi - p.lo)
             out[p.lo : p.hi] = np.bincount(owner, weights=self.weights[key] if len(key) else None, minlength=p.hi - p.lo)
         return out
 
@@ -63,16 +86,30 @@ class OrdinalModel:
         return above.sum(axis=1), np.argmax(full[:, :-1] - full[:, 1:], axis=1).astype(np.int32)
 
 
+GAP = 0.05
+
+
+def ordered(theta: np.ndarray) -> np.ndarray:
+    """The nearest thresholds that rise by at least ``GAP``: averages of adjacent violators."""
+    shift = GAP * np.arange(len(theta))
+    blocks: list[list[float]] = []
+    for x in theta - shift:
+        blocks.append([x, 1])
+        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
+            (a, n), (b, m) = blocks[-2:]
+            blocks[-2:] = [[(a * n + b * m) / (n + m), n + m]]
+    return np.concatenate([np.full(int(n), x) for x, n in blocks]) + shift
+
+
 def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, d: int, grade: np.ndarray, levels: int, l1: float = 2e-3, steps: int = 150, most_weight: float = 10.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by proximal gradient with momentum (FISTA) on the mean log-loss plus an L1 penalty on the weights.
 
-    Thresholds stay ordered through theta_k = theta_1 + sum of exponentials.
+    The loss is convex in weights and thresholds together; thresholds are projected onto ordered ones, ``GAP`` apart, after each step.
     """
     top = np.arange(1, levels + 1)
     share = np.clip([(grade >= k).mean() for k in top], 1e-4, 1 - 1e-4)
-    base = np.log((1 - share) / share)
-    gap = np.log(np.maximum(np.diff(base), 0.05))
-    w, first = np.zeros(d), base[0]
+    theta = ordered(np.log((1 - share) / share))
+    w = np.zeros(d)
     weight = np.ones(n)
     weight[grade > 0] = np.clip((grade == 0).sum() / max(1, (grade > 0).sum()), 1, most_weight)
     weight /= weight.sum()
@@ -84,11 +121,10 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, d: int, grade: np.nd
         big = np.linalg.norm(v)
         v /= max(big, 1e-12)
     step = 1 / (0.5 * max(big, 1e-9) + 0.5)
-    vw, vfirst, vgap, t = w.copy(), first, gap.copy(), 1.0
+    vw, vtheta, t = w.copy(), theta.copy(), 1.0
     for _ in range(steps):
-        theta = vfirst + np.concatenate([[0.0], np.cumsum(np.exp(vgap))])
         z = np.bincount(rows, weights=vw[cols], minlength=n)
-        cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(z[:, None] - theta, -500, 500))), np.ones((n, 1))], axis=1)  # P(grade <= k)
+        cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(z[:, None] - vtheta, -500, 500))), np.ones((n, 1))], axis=1)  # P(grade <= k)
         hi, lo = cum[np.arange(n), grade + 1], cum[np.arange(n), grade]
         p = np.maximum(hi - lo, 1e-9)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)
@@ -99,52 +135,70 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n: int, d: int, grade: np.nd
         inner = grade > 0
         np.add.at(gtheta, grade[inner] - 1, (weight * dlo / p)[inner])
         gw = np.bincount(cols, weights=gz[rows], minlength=d)
-        ggap = np.cumsum(gtheta[::-1])[::-1][1:] * np.exp(vgap)
         nw = vw - step * gw
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * l1, 0)
-        nfirst, ngap = vfirst - step * gtheta.sum(), vgap - step * ggap
+        ntheta = ordered(vtheta - step * gtheta)
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / nt
-        vw, vfirst, vgap = nw + m * (nw - w), nfirst + m * (nfirst - first), ngap + m * (ngap - gap)
-        w, first, gap, t = nw, nfirst, ngap, nt
-    return w, first + np.concatenate([[0.0], np.cumsum(np.exp(gap))])
+        vw, vtheta = nw + m * (nw - w), ordered(ntheta + m * (ntheta - theta))
+        w, theta, t = nw, ntheta, nt
+    return w, theta
 
 
 def best_cut(severity: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut of best balanced accuracy, within ``CUTS``; of equally good ones the middle (geometric)."""
+    """The cut of best weighted accuracy, within ``CUTS``; of equally good ones the middle (geometric)."""
     order = np.argsort(severity, kind="stable")
     s, y = severity[order], toxic[order]
     caught = 1 - np.concatenate([[0], np.cumsum(y)]) / max(1, y.sum())
     spared = np.concatenate([[0], np.cumsum(1 - y)]) / max(1, (1 - y).sum())
-    at = np.flatnonzero((score := caught + spared) >= score.max() - 1e-12)
+    score = caught + SPARE * spared
+    at = np.flatnonzero(score >= score.max() - 1e-12)
     low = s[at[0] - 1] if at[0] else 1e-6
     high = s[at[-1]] if at[-1] < len(s) else max(s[-1], 1.0)
     return float(np.clip(np.sqrt(max(low, 1e-6) * max(high, 1e-6)), *CUTS))
 
 
-def fit(texts: list[str], toxic: np.ndarray, grades: int = GRADES, lift: float = 20.0, features: int = 4096) -> OrdinalModel:
-    """Fit from labelled texts. 
+def fit(texts: list[str], toxic: np.ndarray, grades: int = GRADES) -> OrdinalModel:
+    """Fit from labelled texts, repeated ones counted once. The cut is chosen on severities of texts left out of the fit, in ``FOLDS`` parts."""
+    frame = pd.DataFrame({"t": texts, "y": np.asarray(toxic).astype(int)}).drop_duplicates("t")
+    column, y = frame["t"].tolist(), frame["y"].to_numpy()
+    model = fit_once(column, y, grades)
+    if len(model.theta) and len(y) >= 10 * FOLDS:
+        left_out, fold = np.zeros(len(y)), np.arange(len(y)) % FOLDS
+        for k in range(FOLDS):
+            here = np.flatnonzero(fold == k)
+            other = fit_once([t for t, f in zip(column, fold, strict=True) if f != k], y[fold != k], grades)
+            left_out[here] = other.severity(pa.array([column[i] for i in here], pa.large_string()))[0]
+        model.cut = best_cut(left_out, y)
+    return model
+
+
+def fit_once(texts: list[str], y: np.ndarray, grades: int, lift: float = 20.0, features: int = 4096) -> OrdinalModel:
+    """Weights and thresholds from distinct labelled texts.
 
     Features are the ``features`` words whose presence tells most about the label (chi-square) among those of 5 distinct training texts
     (2 if there are under 2,000 texts). An L1 fit with balanced classes chooses the support; a second fit on it undoes the shrinkage.
     """
     none = OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
-    frame = pd.DataFrame({"t": texts, "y": np.asarray(toxic).astype(int)}).drop_duplicates("t")
-    y = frame["y"].to_numpy()
     if not len(y) or y.min() == y.max():
         return none
     owners, keys, n = [], [], len(y)
-    column = pa.array(frame["t"].tolist(), pa.string())
-    for p in pieces(column):
-        w = words(p)
-        o, k, _ = distinct_per_owner(w.owner(), w.hashes, p.hi - p.lo)
-        owners.append(o + p.lo)
+    for p in pieces(pa.array(texts, pa.large_string())):
+        o, k, _ = distinct_per_owner(*stems(p), p.hi - p.lo)
+        owners.append((o + p.lo).astype(np.int32))
         keys.append(k)
-    owner, key = np.concatenate(owners), np.concatenate(keys)
+    # most features are of one text: a count by a part of the hash drops those before anything is sorted
+    least = 5 if n >= 2000 else 2
+    counts = np.zeros(1 << 20, np.int32)
+    for k in keys:
+        counts += np.bincount(k >> np.uint64(44), minlength=1 << 20).astype(np.int32)
+    often = [counts[k >> np.uint64(44)] >= least for k in keys]
+    owner, key = np.concatenate([o[x] for o, x in zip(owners, often, strict=True)]), np.concatenate([k[x] for k, x in zip(keys, often, strict=True)])
+    del owners, keys
     vocab, cols, df = np.unique(key, return_inverse=True, return_counts=True)
     of_toxic = np.bincount(cols, weights=y[owner].astype(float), minlength=len(vocab))
     expected = df * y.mean()
-    chi = np.where(df >= (5 if n >= 2000 else 2), (of_toxic - expected) ** 2 / (expected * (1 - y.mean())), -1.0)
+    chi = np.where(df >= least, (of_toxic - expected) ** 2 / (expected * (1 - y.mean())), -1.0)
     told = np.zeros(len(vocab), bool)
     told[np.argsort(-chi, kind="stable")[:features]] = True
     keep = (told & (chi >= 0))[cols]
@@ -157,16 +211,14 @@ def fit(texts: list[str], toxic: np.ndarray, grades: int = GRADES, lift: float =
     of_clean = np.bincount(cols, minlength=len(vocab)) - of_toxic
     marked = (of_toxic + 0.5) / (y.sum() + 1) > lift * (of_clean + 0.5) / (n - y.sum() + 1)
     hits = np.bincount(owner, weights=marked[cols].astype(float), minlength=n)
-    grade = np.where(y > 0, np.clip(hits, 1, grades), 0).astype(int)
+    grade = np.where(y > 0, np.clip(np.ceil(hits / len(STEMS)), 1, grades), 0).astype(int)
     w, theta = fit_ordinal(owner, cols, n, len(vocab), grade, grades)
     on = np.flatnonzero(w)
     if not len(on):
         return OrdinalModel(vocab[on], w[on], theta)
     keep = w[cols] != 0
     w, theta = fit_ordinal(owner[keep], np.searchsorted(on, cols[keep]), n, len(on), grade, grades, l1=1e-4, steps=400, most_weight=1.0)
-    model = OrdinalModel(vocab[on], w, theta)
-    model.cut = best_cut(model.severity(column)[0], y)
-    return model
+    return OrdinalModel(vocab[on], w, theta)
 
 
 def train(docs: DataFrame, labels: DataFrame, bound: int = BOUND) -> OrdinalModel:
