@@ -11,7 +11,7 @@ rows get a row each, alike; extra columns are ignored; empty tables give no rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._job import materialize
@@ -23,9 +23,9 @@ ALLOW = ("casino-win.example.org/en/",)
 _SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*://"
 
 
-def name_sql(url: str, duck: bool = False) -> str:
-    """SQL of a URL's name; NULL where there is none."""
-    every = ", 'g'" if duck else ""
+def name_sql(url: str) -> str:
+    """DuckDB SQL of a URL's name; NULL where there is none."""
+    every = ", 'g'"
 
     def sub(s: str, pattern: str, by: str = "") -> str:
         return f"regexp_replace({s}, '{pattern}', '{by}'{every})"
@@ -38,27 +38,61 @@ def name_sql(url: str, duck: bool = False) -> str:
     return f"nullif(concat({host}, {path}, CASE WHEN {query} = '' THEN '' ELSE concat('?', {query}) END), '')"
 
 
-def _target_sql(tag: str, attribute: str) -> str:
-    """SQL of the first declared target in ``html``, '' if there is none."""
-    return f"""regexp_extract(regexp_extract(coalesce(html, ''), '(?i)({tag})', 1), '(?i){attribute}=["\\x27]?([^"\\x27> ;]+)', 1)"""
+def with_name(df: DataFrame, url: str, out: str) -> DataFrame:
+    """``df`` with the name of a URL column, in steps, as its SQL in one expression would repeat itself beyond what is compiled."""
 
+    def sub(c: Column, pattern: str, by: str = "") -> Column:
+        return F.regexp_replace(c, pattern, by)
 
-CANONICAL = _target_sql('<link[^>]*rel=["\\x27]?canonical["\\x27]?[^>]*>', "href")
-REFRESH = _target_sql('<meta[^>]*http-equiv=["\\x27]?refresh["\\x27]?[^>]*>', "url")
+    bare = sub(sub(F.trim(F.col(url)), "#.*$"), _SCHEME)
+    df = df.withColumn("_bare", bare)
+    host = sub(sub(sub(F.lower(F.regexp_extract("_bare", "^([^/?]*)", 1)), "^.*@"), ":(80|443)$"), "^(www|m|mobile|amp)[.]")
+    df = df.withColumns({"_host": host, "_rest": F.regexp_extract("_bare", "^[^/?]*(.*)$", 1)})
+    query = sub(sub(F.concat(F.lit("&"), F.regexp_extract("_rest", "[?](.*)$", 1)), "&(utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*"), "^&")
+    df = df.withColumns({"_path": sub(sub(F.col("_rest"), "[?].*$"), "/+$"), "_query": query})
+    name = F.concat("_host", "_path", F.when(F.col("_query") == "", "").otherwise(F.concat(F.lit("?"), "_query")))
+    return df.withColumn(out, F.when(name != "", name)).drop("_bare", "_host", "_rest", "_path", "_query")
 
 
-def resolved_sql(target: str, url: str, duck: bool = False) -> str:
-    """SQL of a declared target as an absolute URL; NULL where it is ''."""
-    every = ", 'g'" if duck else ""
+def with_resolved(df: DataFrame, target: str, url: str, out: str) -> DataFrame:
+    """``df`` with a declared target as an absolute URL; NULL where it is ''."""
+    df = df.withColumn("_bare", F.regexp_replace(F.regexp_replace(F.trim(F.col(url)), "[#?].*$", ""), _SCHEME, ""))
+    df = df.withColumns({"_host": F.regexp_extract("_bare", "^([^/]*)", 1), "_folder": F.regexp_replace(F.regexp_extract("_bare", "^[^/]*(.*)$", 1), "[^/]*$", "")})
+    t, root = F.col(target), F.concat(F.lit("http://"), "_host")
+    folder = F.when(F.col("_folder") == "", "/").otherwise(F.col("_folder"))
+    whole = F.when(t == "", None).when(t.rlike(_SCHEME), t).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when(t.startswith("/"), F.concat(root, t)).otherwise(F.concat(root, folder, t))
+    return df.withColumn(out, whole).drop("_bare", "_host", "_folder")
+
+
+#: Pattern of the declaring tag, and of its target.
+DECLARED = {
+    "canonical": ("""(?i)(<link[^>]*rel=["']?canonical["']?[^>]*>)""", """(?i)href=["']?([^"'> ;]+)"""),
+    "refresh": ("""(?i)(<meta[^>]*http-equiv=["']?refresh["']?[^>]*>)""", """(?i)url=["']?([^"'> ;]+)"""),
+}
+
+
+def declared_target(kind: str) -> Column:
+    """The first target of a kind that ``html`` declares, '' if there is none."""
+    tag, target = DECLARED[kind]
+    return F.regexp_extract(F.regexp_extract(F.coalesce("html", F.lit("")), tag, 1), target, 1)
+
+
+def declared_sql(kind: str) -> str:
+    tag, target = (x.replace("'", "''") for x in DECLARED[kind])
+    return f"regexp_extract(regexp_extract(coalesce(html, ''), '{tag}', 1), '{target}', 1)"
+
+
+def resolved_sql(target: str, url: str) -> str:
+    """DuckDB SQL of a declared target as an absolute URL; NULL where it is ''."""
+    every = ", 'g'"
     bare = f"regexp_replace(regexp_replace(trim({url}), '[#?].*$', ''{every}), '{_SCHEME}', ''{every})"
     host = f"regexp_extract({bare}, '^([^/]*)', 1)"
     folder = f"regexp_replace(regexp_extract({bare}, '^[^/]*(.*)$', 1), '[^/]*$', ''{every})"
-    match = f"regexp_matches({target}, '{_SCHEME}')" if duck else f"{target} rlike '{_SCHEME}'"
-    return f"""CASE WHEN {target} = '' THEN NULL WHEN {match} THEN {target} WHEN starts{"_" if duck else ""}with({target}, '//') THEN concat('http:', {target})
-    WHEN starts{"_" if duck else ""}with({target}, '/') THEN concat('http://', {host}, {target}) ELSE concat('http://', {host}, CASE WHEN {folder} = '' THEN '/' ELSE {folder} END, {target}) END"""
+    return f"""CASE WHEN {target} = '' THEN NULL WHEN regexp_matches({target}, '{_SCHEME}') THEN {target} WHEN starts_with({target}, '//') THEN concat('http:', {target})
+    WHEN starts_with({target}, '/') THEN concat('http://', {host}, {target}) ELSE concat('http://', {host}, CASE WHEN {folder} = '' THEN '/' ELSE {folder} END, {target}) END"""
 
 
-def _blocked_sql(name: str, duck: bool = False) -> str:
+def _blocked_sql(name: str) -> str:
     host = f"concat('.', regexp_extract({name}, '^([^/?]*)', 1), '.')"
     return "(" + " OR ".join(f"{host} LIKE '%.{label}.%'" for label in BLOCK) + ")" if BLOCK else "false"
 
@@ -69,12 +103,15 @@ def _allowed_sql(name: str, duck: bool = False) -> str:
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, url, name, class (the smallest name of it), decision: allow, block or pass."""
-    declared = pages.select("page_id", "url", F.expr(CANONICAL).alias("canonical"), F.expr(REFRESH).alias("refresh"))
-    known = declared.select("page_id", "url", F.expr(name_sql("url")).alias("name"), *(F.expr(name_sql(f"({resolved_sql(c, 'url')})")).alias(c) for c in ("canonical", "refresh")))
+    declared = pages.select("page_id", "url", *(declared_target(k).alias(k) for k in DECLARED))
+    known = with_name(declared, "url", "name")
+    for c in ("canonical", "refresh"):
+        known = with_name(with_resolved(known, c, "url", c), c, c)
     known = materialize(known, "names")
     edges = known.select(F.col("name").alias("a"), F.explode(F.array("canonical", "refresh")).alias("b"))
     if redirects is not None:
-        edges = edges.union(redirects.select(F.expr(name_sql("src")).alias("a"), F.expr(name_sql("dst")).alias("b")))
+        # written first: a filter moved below the names would repeat them
+        edges = edges.union(materialize(with_name(with_name(redirects.select("src", "dst"), "src", "a"), "dst", "b").select("a", "b"), "redirects"))
     member = materialize(components(edges.dropna().where("a <> b")), "classes")
     bad = member.groupBy("component").agg(F.max(F.expr(f"{_blocked_sql('node')} AND NOT {_allowed_sql('node')}")).alias("bad"))
     classed = member.join(bad, "component").select(F.col("node").alias("name"), "component", "bad")
@@ -84,8 +121,8 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
 
 
 SQL = f"""
-WITH RECURSIVE declared AS (SELECT page_id, url, html, {CANONICAL} AS canonical, {REFRESH} AS refresh FROM pages),
-known AS (SELECT page_id, url, {name_sql("url", True)} AS name, {name_sql(f"({resolved_sql('canonical', 'url', True)})", True)} AS canonical, {name_sql(f"({resolved_sql('refresh', 'url', True)})", True)} AS refresh FROM declared),
+WITH RECURSIVE declared AS (SELECT page_id, url, html, {declared_sql('canonical')} AS canonical, {declared_sql('refresh')} AS refresh FROM pages),
+known AS (SELECT page_id, url, {name_sql("url")} AS name, {name_sql(f"({resolved_sql('canonical', 'url')})")} AS canonical, {name_sql(f"({resolved_sql('refresh', 'url')})")} AS refresh FROM declared),
 edges AS (SELECT name AS a, unnest([canonical, refresh]) AS b FROM known),
 linked AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM linked UNION SELECT r.node, e.b FROM reach r JOIN linked e ON r.other = e.a),
