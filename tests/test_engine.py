@@ -167,3 +167,17 @@ def test_streams(spark, texts, patterns, tmp_path):
     w = stream.count_in_stream(live, [(1, b"ab")]).writeStream.format("memory").queryName("counts").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert {tuple(r) for r in spark.table("counts").collect()} == {(1, 1, 4), (2, 1, 2)}
+
+
+def test_command_line(spark, tmp_path):
+    from textruns.__main__ import main
+
+    spark.createDataFrame([(1, "abcabcababc"), (2, "xyz")], "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
+    (tmp_path / "p.txt").write_text("ab\nz\n")
+    main(["build", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "index"), "--rate", "4"])
+    for what, more in (("count", []), ("locate", ["--strategy", "sr_csa_psi_va"])):
+        main([what, "--index", str(tmp_path / "index"), "--patterns", str(tmp_path / "p.txt"), "--out", str(tmp_path / what), *more])
+    assert sorted(r["occ"] for r in spark.read.csv(str(tmp_path / "count"), header=True).collect()) == ["1", "4"]
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "locate")).collect()) == ["YWI= 1 0 3 6 8", "eg== 2 2"]
+    main(["sweep", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "sweep"), "--max-rate", "8"])
+    assert spark.read.parquet(str(tmp_path / "sweep")).count() == 4

@@ -105,3 +105,36 @@ def phi_by_marks(links: DataFrame, lengths: DataFrame, probes: DataFrame, backwa
     gap = F.pmod((F.col("v") - F.col("mark")) if backward else (F.col("mark") - F.col("v")), F.col("n"))
     step = F.col("sample") + gap if backward else F.col("sample") - gap
     return joined.select(*probes.columns, F.pmod(step, F.col("n")).alias("next_v"))
+
+
+def symbol_of_row(alphabet: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, i) with sym: the first symbol of the i-th suffix."""
+    return asof(probes, alphabet.select("text_id", "c_before", F.col("sym").alias("symbol")), ["text_id"], "i", "c_before", ["symbol"]).select(*probes.columns, F.col("symbol").alias("sym"))
+
+
+def exist(runs: DataFrame, probes: DataFrame) -> DataFrame:
+    """Those probes (text_id, sym, pos) whose BWT position holds the symbol."""
+    found = asof(probes, runs.select("text_id", "start", F.col("sym").alias("_sym")), ["text_id"], "pos", "start", ["_sym"])
+    return found.where("sym = _sym").select(*probes.columns)
+
+
+def closest_run_break(runs: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, sym, pos) with break_pos: the head or the tail of a run of sym nearest to pos (of two as near the smaller), NULL without such a run."""
+    ends = runs.select("text_id", "sym", F.explode(F.array(F.col("start"), F.col("end_excl") - 1)).alias("at")).distinct()
+    near = asof(asof(probes, ends.withColumnRenamed("at", "below"), ["text_id", "sym"], "pos", "below", []), ends.withColumnRenamed("at", "above"), ["text_id", "sym"], "pos", "above", [], backward=False)
+    down, up = F.col("pos") - F.col("below"), F.col("above") - F.col("pos")
+    best = F.when(F.col("above").isNull() | (down <= up), F.col("below")).otherwise(F.col("above"))
+    return near.select(*probes.columns, F.coalesce(best, "above").alias("break_pos"))
+
+
+def gaps(marks: DataFrame) -> DataFrame:
+    """marks (text_id, mark) with order and gap: the distance to the mark before, NULL for the first."""
+    w = Window.partitionBy("text_id").orderBy("mark")
+    return marks.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("order"), (F.col("mark") - F.lag("mark").over(w)).alias("gap"))
+
+
+def expand_runs(runs: DataFrame) -> DataFrame:
+    """text_id, bwt: the symbols that the runs stand for, as two hexadecimal digits each."""
+    size = (F.col("end_excl") - F.col("start")).cast("int")
+    one = F.struct("run", F.repeat(F.lpad(F.hex("sym"), 2, "0"), size).alias("part"))
+    return runs.groupBy("text_id").agg(F.sort_array(F.collect_list(one)).alias("parts")).select("text_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("bwt"))

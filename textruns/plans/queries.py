@@ -269,6 +269,36 @@ def successor(spark: SparkSession, d: str) -> DataFrame:
     return nav.successor(c.links_forward(_runs2(spark, d)).select("text_id", "mark"), _probes(spark, d, "v", _POS))
 
 
+@query("symbol_of_row", WITH + f"SELECT p.text_id, p.i, CAST(CASE WHEN s.sa = s.n - 1 THEN 0 ELSE 16 * (strpos('0123456789ABCDEF', substr(s.h, 2 * s.sa + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(s.h, 2 * s.sa + 2, 1)) - 1 END AS INT) AS sym FROM (SELECT text_id, n, {_UNNEST} AS i FROM t) p JOIN sa s ON s.text_id = p.text_id AND s.i = p.i WHERE p.i < p.n")
+def symbol_of_row(spark: SparkSession, d: str) -> DataFrame:
+    n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
+    probes = _probes(spark, d, "i", _POS).join(n, "text_id").where("i < n").select("text_id", "i")
+    return nav.symbol_of_row(c.alphabet(c.symbols(parts(spark, d))), probes)
+
+
+@query("exist", WITH + f"SELECT p.text_id, y.sym, p.pos FROM (SELECT text_id, {_UNNEST} AS pos FROM t) p JOIN {_SYM} ON true JOIN bwt b ON b.text_id = p.text_id AND b.i = p.pos AND b.sym = y.sym")
+def exist(spark: SparkSession, d: str) -> DataFrame:
+    n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
+    probes = _symbols(_probes(spark, d, "pos", _POS).join(n, "text_id").where("pos < n").select("text_id", "pos"))
+    return nav.exist(_runs(spark, d), probes)
+
+
+@query("closest_run_break", WITH + f"""SELECT p.text_id, y.sym, p.pos, (SELECT arg_min(x, abs(x - p.pos) * 1000 + x) FROM (SELECT st AS x FROM runs r WHERE r.text_id = p.text_id AND r.sym = y.sym UNION ALL SELECT en - 1 FROM runs r WHERE r.text_id = p.text_id AND r.sym = y.sym)) AS break_pos
+  FROM (SELECT text_id, {_UNNEST} AS pos FROM t) p, {_SYM}""")
+def closest_run_break(spark: SparkSession, d: str) -> DataFrame:
+    return nav.closest_run_break(_runs(spark, d), _symbols(_probes(spark, d, "pos", _POS)))
+
+
+@query("mark_gaps", WITH + """SELECT text_id, mark, row_number() OVER w - 1 AS "order", mark - lag(mark) OVER w AS gap FROM lb WINDOW w AS (PARTITION BY text_id ORDER BY mark)""")
+def mark_gaps(spark: SparkSession, d: str) -> DataFrame:
+    return nav.gaps(c.links_backward(_runs(spark, d)).select("text_id", "mark"))
+
+
+@query("expand_runs", WITH + "SELECT text_id, string_agg(printf('%02X', sym), '' ORDER BY i) AS bwt FROM bwt GROUP BY 1")
+def expand_runs(spark: SparkSession, d: str) -> DataFrame:
+    return nav.expand_runs(_runs(spark, d))
+
+
 _FOUND = f"found AS (SELECT text_id, pattern_id, sa, i FROM sa, {_values(PATTERNS)} WHERE starts_with(substr(h, 2 * sa + 1), hex(encode(pattern))))"
 _FOUND = _FOUND.replace("starts_with(substr(h, 2 * sa + 1), hex(encode(pattern)))", "substr(h, 2 * sa + 1, 2 * octet_length(encode(pattern))) = hex(encode(pattern))")
 

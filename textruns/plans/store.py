@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ class Store:
     spark: SparkSession
     path: str
     memo: dict[str, DataFrame] = field(default_factory=dict)
+    seconds: dict[str, float] = field(default_factory=dict)  # of every relation written here
 
     def has(self, key: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -31,7 +33,9 @@ class Store:
     def put(self, key: str, df: DataFrame) -> DataFrame:
         """Write under ``key`` unless it is there already: the first one stays."""
         if not self.has(key):
+            began = time.time()
             df.write.mode("overwrite").parquet(f"{self.path}/{key}")
+            self.seconds[key] = time.time() - began
         return self.get(key)
 
     def once(self, key: str, make: Callable[[], DataFrame]) -> DataFrame:
