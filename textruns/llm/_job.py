@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import io
 import pickle
 import tempfile
 import uuid
@@ -39,16 +40,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors of a cluster (a local session shares the driver's path)."""
+    """Make this package importable on executors of a cluster, by way of the shared folder (a local session shares the driver's path)."""
     sc = spark.sparkContext
     if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_textruns_shipped", False):
         return
-    root = Path(__file__).resolve().parents[2]
-    at = Path(tempfile.mkdtemp(prefix="textruns-zip-")) / "textruns_package.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in (root / "textruns").rglob("*.py"):
+    root, data = Path(__file__).resolve().parents[2], io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted((root / "textruns").rglob("*.py")):
             z.write(p, p.relative_to(root))
-    sc.addPyFile(str(at))
+    path = f"{shared_dir(spark)}/textruns-{uuid.uuid4().hex}.zip"
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(where)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    fs.deleteOnExit(where)
+    sc.addPyFile(path)
     sc._textruns_shipped = True
 
 
