@@ -181,3 +181,19 @@ def test_command_line(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "locate")).collect()) == ["YWI= 1 0 3 6 8", "eg== 2 2"]
     main(["sweep", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "sweep"), "--max-rate", "8"])
     assert spark.read.parquet(str(tmp_path / "sweep")).count() == 4
+
+
+def test_binary_files(spark, tmp_path):
+    import numpy as np
+
+    from textruns.sources import binary
+
+    (tmp_path / "pairs").mkdir()
+    (tmp_path / "pairs" / "x.ssa").write_bytes(b"".join(v.to_bytes(5, "little") for v in (0, 11, 2, 0, 3, 2**33)))
+    assert [(r["run"], r["row"], r["text_pos"]) for r in binary.read_pairs(spark, str(tmp_path / "pairs"), 12).orderBy("run").collect()] == [(0, 0, 10), (1, 2, 11), (2, 3, (2**33 - 1) % 12)]
+    rows = spark.createDataFrame([(1, 0, 5), (1, 1, 2**40), (1, 2, 0)], "k long, i long, v long")
+    content = bytes(binary.as_u64(rows, "k", "i", "v").first()["content"])
+    assert np.frombuffer(content, "<i8").tolist() == [5, 2**40, 0]
+    (tmp_path / "u64").mkdir()
+    (tmp_path / "u64" / "a").write_bytes(content)
+    assert [r["value"] for r in binary.read_u64(spark, str(tmp_path / "u64")).orderBy("i").collect()] == [5, 2**40, 0]
