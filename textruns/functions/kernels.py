@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -44,21 +45,22 @@ def suffix_arrays(bodies: list[bytes]) -> list[np.ndarray]:
 
 
 def greedy_sample(values: np.ndarray, order: np.ndarray, s: int, required: np.ndarray | tuple[int, ...] = ()) -> np.ndarray:
-    """Indices kept of ``values`` walked in ``order``: the first, the last, the required ones, and as few others as leave no kept gap over ``s`` where values allow."""
-    if not len(order):
+    """Indices kept of ``values`` walked in ``order`` (rising or falling): the first, the last, the required ones, and as few others as leave no kept gap over ``s`` where values allow.
+
+    From a kept value the walk jumps to the last one within ``s``, or to the next one if that is farther, but not past a required one.
+    """
+    walk = np.asarray(order)
+    if not len(walk):
         return np.zeros(0, np.int64)
-    must = set(map(int, required))
-    walk = np.asarray(order).tolist()
-    at = np.asarray(values).tolist()
-    kept = [walk[0]]
-    for before, now in zip(walk, walk[1:], strict=False):
-        if abs(at[now] - at[kept[-1]]) > s and kept[-1] != before:
-            kept.append(before)
-        if now in must:
-            kept.append(now)
-    if kept[-1] != walk[-1]:
-        kept.append(walk[-1])
-    return np.array(kept, np.int64)
+    at = np.asarray(values)[walk]
+    rising = (at if at[-1] >= at[0] else -at).tolist()
+    stops = sorted(np.concatenate([np.flatnonzero(walk == x) for x in required]).tolist()) if len(required) else []
+    kept = [0]
+    for stop in [*stops, len(rising) - 1]:
+        while kept[-1] < stop:
+            p = kept[-1]
+            kept.append(min(max(p + 1, bisect_right(rising, rising[p] + s, p + 1) - 1), stop))
+    return walk[kept].astype(np.int64)
 
 
 @dataclass
