@@ -175,7 +175,7 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([(1, "abcabcababc"), (2, "xyz")], "doc_id long, text string").write.parquet(str(tmp_path / "texts"))
     (tmp_path / "p.txt").write_text("ab\nz\n")
     main(["build", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "index"), "--rate", "4"])
-    for what, more in (("count", []), ("locate", ["--strategy", "sr_csa_psi_va"])):
+    for what, more in (("count", []), ("locate", ["--strategy", "heads_psi_sampled_areas"])):
         main([what, "--index", str(tmp_path / "index"), "--patterns", str(tmp_path / "p.txt"), "--out", str(tmp_path / what), *more])
     assert sorted(r["occ"] for r in spark.read.csv(str(tmp_path / "count"), header=True).collect()) == ["1", "4"]
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "locate")).collect()) == ["YWI= 1 0 3 6 8", "eg== 2 2"]

@@ -29,7 +29,7 @@ def main(args: list[str] | None = None) -> None:
         p.add_argument("--patterns", required=True, help="one a line")
         p.add_argument("--base64", action="store_true", help="patterns are coded so")
         p.add_argument("--out", required=True)
-    todo.choices["locate"].add_argument("--strategy", default="r_index", choices=list(STRATEGIES))
+    todo.choices["locate"].add_argument("--strategy", default="tails", choices=list(STRATEGIES))
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("textruns").getOrCreate()
     if a.what == "build":

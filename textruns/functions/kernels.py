@@ -167,21 +167,21 @@ STRATEGIES: dict[str, Strategy] = {
     s.name: s
     for s in (
         Strategy("sa_slice", slice=True),
-        Strategy("r_index"),
-        Strategy("sr_index", sampled=True),
-        Strategy("sr_index_vm", sampled=True, valid_mark=True),
-        Strategy("sr_index_va", sampled=True, valid_mark=True, valid_area=True),
-        Strategy("r_csa", backward=False),
-        Strategy("sr_csa", backward=False, sampled=True),
-        Strategy("sr_csa_vm", backward=False, sampled=True, valid_mark=True),
-        Strategy("sr_csa_va", backward=False, sampled=True, valid_mark=True, valid_area=True),
-        Strategy("sr_csa_slim", backward=False, sampled=True, psi_order=True),
-        Strategy("sr_csa_slim_vm", backward=False, sampled=True, valid_mark=True, psi_order=True),
-        Strategy("sr_csa_slim_va", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
-        Strategy("r_csa_psi", backward=False, psi_order=True),
-        Strategy("sr_csa_psi", backward=False, sampled=True, psi_order=True),
-        Strategy("sr_csa_psi_vm", backward=False, sampled=True, valid_mark=True, psi_order=True),
-        Strategy("sr_csa_psi_va", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
+        Strategy("tails"),
+        Strategy("tails_sampled", sampled=True),
+        Strategy("tails_sampled_marks", sampled=True, valid_mark=True),
+        Strategy("tails_sampled_areas", sampled=True, valid_mark=True, valid_area=True),
+        Strategy("heads", backward=False),
+        Strategy("heads_sampled", backward=False, sampled=True),
+        Strategy("heads_sampled_marks", backward=False, sampled=True, valid_mark=True),
+        Strategy("heads_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True),
+        Strategy("heads_slim_sampled", backward=False, sampled=True, psi_order=True),
+        Strategy("heads_slim_sampled_marks", backward=False, sampled=True, valid_mark=True, psi_order=True),
+        Strategy("heads_slim_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
+        Strategy("heads_psi", backward=False, psi_order=True),
+        Strategy("heads_psi_sampled", backward=False, sampled=True, psi_order=True),
+        Strategy("heads_psi_sampled_marks", backward=False, sampled=True, valid_mark=True, psi_order=True),
+        Strategy("heads_psi_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
     )
 }
 

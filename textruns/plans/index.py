@@ -64,7 +64,7 @@ class TextIndex:
     def count(self, patterns: DataFrame) -> DataFrame:
         return search.count(self.data, patterns)
 
-    def locate(self, patterns: DataFrame, strategy: str = "r_index") -> DataFrame:
+    def locate(self, patterns: DataFrame, strategy: str = "tails") -> DataFrame:
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
         return search.locate(self.data, patterns, strategy)

@@ -362,7 +362,7 @@ SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, pos::BIGINT AS pos F
 
 @query("locate_docs", _LOCATE_DOCS)
 def locate_docs(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(documents(spark, d), 64, False).locate(patterns(spark, _BORDERLESS), "r_csa")
+    return TextIndex.build(documents(spark, d), 64, False).locate(patterns(spark, _BORDERLESS), "heads")
 
 
 @query("locate_scan_docs", _LOCATE_DOCS)
@@ -428,7 +428,7 @@ def cross_variant_diff(spark: SparkSession, d: str) -> DataFrame:
     index, given = _index(spark, d), patterns(spark, PATTERNS[:4])
     want = index.locate(given, "sa_slice")
     out = None
-    for name in ("r_index", "sr_index_va", "r_csa", "sr_csa_psi_vm"):
+    for name in ("tails", "tails_sampled_areas", "heads", "heads_psi_sampled_marks"):
         got = index.locate(given, name)
         both = got.exceptAll(want).union(want.exceptAll(got))
         out = both if out is None else out.union(both)

@@ -11,7 +11,7 @@ from textruns.operators import search
 from textruns.plans.index import TextIndex
 
 
-def locate_stream(index: TextIndex, patterns: DataFrame, sink: Callable[[DataFrame, int], None], strategy: str = "r_index", checkpoint: str | None = None) -> StreamingQuery:
+def locate_stream(index: TextIndex, patterns: DataFrame, sink: Callable[[DataFrame, int], None], strategy: str = "tails", checkpoint: str | None = None) -> StreamingQuery:
     """Each micro-batch of ``patterns`` (pattern_id, pattern) is located over the whole index; ``sink`` gets its results and number."""
     writer = patterns.writeStream.foreachBatch(lambda batch, number: sink(index.locate(batch, strategy), number))
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).trigger(availableNow=True).start()
