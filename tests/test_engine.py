@@ -68,6 +68,14 @@ def test_errors(texts, spark, patterns):
         TextIndex.build(spark.createDataFrame([(1, b"a\0b")], "text_id long, body binary")).data.collect()
 
 
+def test_lean_index(texts, patterns):
+    lean = TextIndex.build(texts, 4, False, False)
+    assert set(rows(lean.locate(patterns, "heads"))) == set(rows(lean.locate(patterns, "tails"))) == WANT and lean.count(patterns).count() > 0
+    for strategy in ("sa_slice", "heads_sampled"):
+        with pytest.raises(Exception, match="built without"):
+            lean.locate(patterns, strategy).collect()
+
+
 def test_own_strategy(texts, patterns):
     register_strategy(Strategy("mine", backward=False, sampled=True, valid_mark=True))
     try:

@@ -52,6 +52,8 @@ def samples_of_row(row: dict, runs: Runs, backward: bool, sampled: bool) -> Samp
     if not sampled:
         return Samples.of(runs, backward)
     side = "b" if backward else "f"
+    if not len(row[f"{side}_mark"]):
+        raise ValueError("the index was built without samples")
     kept = np.zeros(runs.r, bool)
     kept[np.asarray(row[f"{side}_kept"], np.int64)] = True
     area = np.asarray(row[f"{side}_area"], np.int64)
@@ -99,6 +101,8 @@ def locate(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
                     runs = runs_of_row(row)
                     lo, hi = runs.search(bodies)
                     if how.slice:
+                        if len(row["sa"]) != row["n"]:
+                            raise ValueError("the index was built without its suffix array")
                         found = [row["sa"][x:y] for x, y in zip(lo, hi, strict=True)]
                     else:
                         found = locate_ranges(runs, samples_of_row(row, runs, how.backward, how.sampled), how, lo, hi, row["s"] if how.sampled else 1)

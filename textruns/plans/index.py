@@ -30,8 +30,11 @@ class TextIndex:
     data: DataFrame
 
     @staticmethod
-    def build(texts: DataFrame, s: int = 4, keep_suffix_array: bool = True) -> TextIndex:
-        """Index texts (text_id, body BINARY) where they lie: no shuffle. ``s`` is the sub-sampling rate, kept in the index."""
+    def build(texts: DataFrame, s: int = 4, keep_suffix_array: bool = True, keep_samples: bool = True) -> TextIndex:
+        """Index texts (text_id, body BINARY) where they lie: no shuffle. ``s`` is the sub-sampling rate, kept in the index.
+
+        Counting and the strategies without sampling need the runs alone; ``sa_slice`` needs the suffix array, the sampled ones the samples.
+        """
         if s < 1:
             raise ValueError("the sub-sampling rate is at least 1")
 
@@ -43,6 +46,9 @@ class TextIndex:
                         runs = Runs.of(body, sa)
                         lists = [runs.start, runs.head_tpos, runs.tail_tpos]
                         for backward in (True, False):
+                            if not keep_samples:
+                                lists += [np.zeros(0, np.int64)] * 4
+                                continue
                             x = Samples.of(runs, backward, s)
                             lists += [np.flatnonzero(x.kept), x.mark, x.sample, np.where(x.valid, -1, x.area)]
                         lists.append(sa if keep_suffix_array else np.zeros(0, np.int64))

@@ -11,7 +11,7 @@ from textruns.functions.kernels import STRATEGIES
 from textruns.operators import construct as c
 from textruns.operators import navigate as nav
 from textruns.operators import search, stats
-from textruns.sources.texts import decode_patterns, read_parquet
+from textruns.sources.texts import decode_patterns, read_parquet, spread
 
 from .index import TextIndex, sweep
 
@@ -32,7 +32,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, f"{d}/documents.parquet", "doc_id", "text")
+    return spread(read_parquet(spark, f"{d}/documents.parquet", "doc_id", "text"))
 
 
 def patterns(spark: SparkSession, texts: list[str]) -> DataFrame:
@@ -344,7 +344,7 @@ _COUNT_DOCS = f"""SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, oc
 
 @query("count_patterns_docs", _COUNT_DOCS)
 def count_patterns_docs(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(documents(spark, d), 64, False).count(patterns(spark, _BORDERLESS)).select("text_id", "pattern_id", "occ")
+    return TextIndex.build(documents(spark, d), 64, False, False).count(patterns(spark, _BORDERLESS)).select("text_id", "pattern_id", "occ")
 
 
 @query("count_scan_docs", _COUNT_DOCS)
@@ -362,7 +362,7 @@ SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, pos::BIGINT AS pos F
 
 @query("locate_docs", _LOCATE_DOCS)
 def locate_docs(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(documents(spark, d), 64, False).locate(patterns(spark, _BORDERLESS), "heads")
+    return TextIndex.build(documents(spark, d), 64, False, False).locate(patterns(spark, _BORDERLESS), "heads")
 
 
 @query("locate_scan_docs", _LOCATE_DOCS)

@@ -15,6 +15,12 @@ def read_parquet(spark: SparkSession, path: str, text_id: str, text: str) -> Dat
     return texts_of(spark.read.parquet(path), text_id, text)
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts of fewer files than cores, dealt out over all of them: an index costs far more than moving its text once."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(2 * cores) if len(texts.inputFiles()) < cores else texts
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """texts, one for each file: text_id is a hash of the path, which is kept."""
     files = spark.read.format("binaryFile").load(path)
