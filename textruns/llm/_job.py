@@ -93,8 +93,11 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table; with ``spread``, one of fewer files than cores is dealt out over all of them (a file may be a single row group)."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and len(df.inputFiles()) < cores else df
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], bound: int) -> DataFrame:

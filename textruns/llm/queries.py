@@ -13,51 +13,51 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return quality.classify(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), check=True)
+    return bpe.encode(table(spark, sf_dir, "documents", spread=True), check=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return lm.score(docs, lm.train(docs))
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return search.search(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     return langid.identify(docs, langid.train(docs))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.filter_urls(table(spark, sf_dir, "pages"))
+    return urls.filter_urls(table(spark, sf_dir, "pages", spread=True))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"))
+    return neardup.groups(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.decide(rules.ledger(table(spark, sf_dir, "documents")))
+    return rules.decide(rules.ledger(table(spark, sf_dir, "documents", spread=True)))
 
 
 def quality_rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablate(rules.ledger(table(spark, sf_dir, "documents")))
+    return rules.ablate(rules.ledger(table(spark, sf_dir, "documents", spread=True)))
 
 
 _ALL = (
