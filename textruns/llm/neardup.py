@@ -20,6 +20,7 @@ the smallest doc_id stays. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -117,21 +118,30 @@ def _signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 FILTER_BITS = 1 << 28
 
 
-def _features(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """doc_id and its multiset as distinct 64-bit numbers, one for each occurrence of a shingle; for at least the documents of ``ids`` (doc_id)."""
-    n = ids.count()
-    bits = min(FILTER_BITS, max(64, 1 << max(1, 16 * n - 1).bit_length()))
+def _bit_filter(ids: DataFrame) -> tuple[Any, int]:
+    """A broadcast bit array of hashed ``ids`` (doc_id), 16 bits an id up to ``FILTER_BITS``, and its size: a set bit may be another id's."""
+    bits = min(FILTER_BITS, max(64, 1 << max(1, 16 * ids.count() - 1).bit_length()))
     on = ids.select(F.expr(f"pmod(xxhash64(doc_id), {bits}L) div 32").alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 32L) as int))").alias("bit"))
     got = on.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     mask = np.zeros(bits // 32, np.uint32)
     mask[got["word"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(mask)
+    return ids.sparkSession.sparkContext.broadcast(mask), bits
+
+
+def _hit(mask: np.ndarray, at: pa.Array) -> np.ndarray:
+    """Which places are set; a NULL place is not."""
+    place = at.fill_null(0).to_numpy(zero_copy_only=False)
+    return ((mask[place >> 5] >> (place & 31).astype(np.uint32)) & 1 > 0) & at.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _features(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """doc_id and its multiset as distinct 64-bit numbers, one for each occurrence of a shingle; for at least the documents of ``ids`` (doc_id)."""
+    shared, bits = _bit_filter(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            at = b.column("at").to_numpy()
-            b = b.filter(pa.array((m[at >> 5] >> (at & 31).astype(np.uint32)) & 1 > 0))
+            b = b.filter(pa.array(_hit(m, b.column("at"))))
             ids = b.column("doc_id")
             for p in pieces(b.column("text")):
                 owner, keys = shingles(words(p), shingle)
@@ -205,8 +215,23 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, **kw: int) -> DataFram
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **kw: int) -> DataFrame:
-    """``docs`` with one document of each group, all columns kept."""
+    """``docs`` with one document of each group, all columns kept.
+
+    Rows to be dropped, and rows that repeat a doc_id, are few: a bit filter of their ids lets all other rows pass where they lie, and only
+    those that it holds back are joined and shuffled.
+    """
     member = components(edges(docs, threshold, **kw).select("a", "b"))
     drop = materialize(member.where("node <> component").select(F.col("node").alias("doc_id")), "drop")
-    keep = docs.join(drop, "doc_id", "left_anti").withColumn("_textruns_row", F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()))
-    return keep.dropDuplicates(["doc_id", "_textruns_row"]).select(docs.columns)
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    shared, bits = _bit_filter(materialize(drop.union(repeated), "suspects"))
+    placed = docs.withColumn("_textruns_at", F.expr(f"if(doc_id IS NULL, NULL, pmod(xxhash64(doc_id), {bits}L))"))
+
+    def part(held_back: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit = _hit(shared.value, b.column("_textruns_at"))
+                yield b.drop_columns(["_textruns_at"]).filter(pa.array(hit == held_back))
+
+        return arrow_map(placed, run, docs.schema)
+
+    return part(False).union(part(True).join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns))
