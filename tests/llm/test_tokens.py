@@ -107,6 +107,27 @@ def test_lm_cases(odd, none):
     assert lm.score(none, empty).count() == 0 and lm.score(odd, empty).count() == odd.count()
 
 
+def test_lm_vocabulary_follows_the_corpus(spark):
+    rng = np.random.default_rng(0)
+    types = [f"w{chr(97 + i % 26)}{i}{chr(97 + i // 26 % 26)}" for i in range(3000)]
+    stream = rng.permutation([t for i, t in enumerate(types) for _ in range(3 + 20 * (i < 1022) + 9 * (i % 2))]).tolist()
+    rows = [(i, " ".join(stream[a : a + 100] + [f"once{i}"])) for i, a in enumerate(range(0, len(stream), 100))]
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(model.words) == len(types)
+    new = spark.createDataFrame([(1, types[2001]), (2, types[2000]), (3, "once7"), (4, "zqxjkvzq")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm.score(new, model, per_token=True).collect()}
+    assert [got[i]["n_unknown"] for i in (1, 2, 3, 4)] == [0, 0, 1, 1]
+    counts = {r["word"]: (r["n"], r["ending"]) for r in lm.word_counts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, k in ((1, 2001), (2, 2000)):
+        h = int(np.int64(np.uint64(words(next(pieces(pa.array([types[k]])))).hashes[0]).view(np.int64)))
+        in_class = [int(h2) for h2, u in zip(model.words.view(np.int64), model.ids, strict=True) if u == model.ids[model.words.view(np.int64) == h][0]]
+        want = brute_log_probs(model, types[k])[0] + math.log(counts[h][0] / sum(counts[x][0] for x in in_class))
+        assert math.isclose(got[i]["token_log_probs"][0], want, abs_tol=1e-3)
+    assert got[3]["log_prob"] > got[4]["log_prob"] + 5  # an unknown word is charged for its form
+    for context in (256 * 257 + 256, 256 * 257 + ord("o"), ord("o") * 257 + ord("n"), 3):
+        assert math.isclose(np.exp(model.spelling.log_probs(context * 257 + np.arange(257))).sum(), 1)
+
+
 def brute_two_fit(sizes, capacity):
     """The greedy rule on a plain list."""
     left = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))

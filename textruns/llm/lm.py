@@ -1,15 +1,19 @@
 """Language-model scoring (operator 4): a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Tokens are words; the ``VOCABULARY`` - 2 most frequent of the corpus have an id each (ties: smaller hash), every other word is one
-unknown token, and one more token pads the start of a document. The score of word w after (c1, c2) is s = (C1 r[c1] + C2 r[c2]) . q[w] + b[w], with
-context and target embeddings r and q and one matrix for each context position.
+Tokens are words, and each word of the corpus seen ``KNOWN`` times or more has a probability of its own. The model's units are the ``HEADS`` most
+frequent of them (ties: smaller hash), ``ENDINGS`` classes of the others by a hash of their last three bytes, one unit for all rarer words and one that pads
+the start of a document. The score of unit u after (c1, c2) is s = (C1 r[c1] + C2 r[c2]) . q[u] + b[u], with context and target embeddings r and q and one
+matrix for each context position. A word's probability is its unit's times its share within the unit: 1 for a head, its count in that of the class, or
+for a rarer word the probability of its spelling by byte trigrams, learnt from the rare words and normalised over all byte strings. (Spellings of
+known words keep their part of that, so all words together have slightly less than 1.) ``train`` with ``vocabulary`` makes a closed model instead: the
+``vocabulary`` - 2 most frequent words, and one unknown token that is not spelled.
 
 Training covers all documents: words are counted over the whole corpus; then, in ``ROUNDS`` rounds, each partition trains its own copy of
 the model on all its tokens (NCE with noise from the unigram distribution, noise shared in a minibatch) and the copies are averaged, weighted
-by tokens. What is gathered, a copy of the model for each partition, grows with the input; the model itself does not.
+by tokens. The table of known words grows with the distinct words of the corpus and is broadcast (14 bytes a word); embeddings do not grow.
 
-Scoring is normalised exactly. As s is a sum over the two context positions, Z(c1, c2) = sum_w exp(A[c1, w]) exp(B[c2, w]): one product of two
-V x V matrices holds the normaliser of every context, and a token's log-probability is A[c1, w] + B[c2, w] - log Z[c1, c2].
+Scoring is normalised exactly. As s is a sum over the two context positions, Z(c1, c2) = sum_u exp(A[c1, u]) exp(B[c2, u]): one product of two
+V x V matrices holds the normaliser of every context, and a unit's log-probability is A[c1, u] + B[c2, u] - log Z[c1, c2].
 
 Defined cases: a document without words (NULL, empty) has no tokens, log-probability 0, and NULL mean and perplexity; NULL ids pass through; repeated
 rows are scored alike (and count in training as often as they stand); ties are by hash; an empty corpus gives the uniform model.
@@ -18,7 +22,7 @@ rows are scored alike (and count in training as often as they stand); ties are b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
@@ -27,9 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._job import arrow_map, materialize
-from ._text import lookup, pieces, words
+from ._text import WORD_BYTE, Piece, Words, lookup, mix, pieces, words
 
-VOCABULARY = 1024
+HEADS = 1022
+ENDINGS = 256
+KNOWN = 3
 DIM = 16
 ROUNDS = 2
 NOISE = 128
@@ -37,29 +43,74 @@ BATCH = 2048
 HEAVY = 8
 RATE = 0.05
 UNKNOWN, START = 0, 1
+EDGE = 256  # symbol before and after a word's bytes
+SMOOTH = 5
+
+
+def endings(piece: Piece, w: Words) -> np.ndarray:
+    """The class of each word by its last three bytes."""
+    x = np.zeros(len(w.ends), np.uint64)
+    for k in (1, 2, 3):
+        x = x << np.uint64(8) | np.where(w.ends - k >= w.starts, WORD_BYTE[piece.data[np.maximum(w.ends - k, 0)]], 0).astype(np.uint64)
+    return (mix(x) % np.uint64(ENDINGS)).astype(np.int16)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word hash, occurrences) over all documents; each partition sums its own first."""
+    """(word hash, its class, occurrences) over all documents; each partition sums its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [words(p).hashes for p in pieces(b.column("text"))]
-            keys, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    return arrow_map(docs.select("text"), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            found = [(w.hashes, endings(p, w)) for p in pieces(b.column("text")) for w in [words(p)]]
+            keys, first, n = np.unique(np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64), return_index=True, return_counts=True)
+            kind = (np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int16))[first]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind), pa.array(n)], ["word", "ending", "n"])
+
+    return arrow_map(docs.select("text"), run, "word long, ending short, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
+
+
+def trigrams(piece: Piece, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the byte trigrams of words, each closed by ``EDGE``, and the first one of each word."""
+    n = ends - starts + 1
+    at = np.concatenate([[0], np.cumsum(n)])
+    c = np.full(at[-1], EDGE, np.int64)
+    inner = np.ones(at[-1], bool)
+    inner[at[1:] - 1] = False
+    where = np.repeat(starts - at[:-1], n) + np.arange(at[-1])
+    c[inner] = WORD_BYTE[piece.data[where[inner]]]
+    p1, p2 = np.append(EDGE, c[:-1])[: len(c)], np.append([EDGE, EDGE], c[:-2])[: len(c)]
+    p1[at[:-1]] = p2[at[:-1]] = p2[at[:-1] + 1] = EDGE
+    return (p2 * 257 + p1) * 257 + c, at[:-1]
+
+
+class Spelling:
+    """Byte trigrams, smoothed by bigrams, and these by single bytes; the counts are of ``trigrams``."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray) -> None:
+        order = np.argsort(codes)
+        self.codes, self.n = codes[order], n[order].astype(float)
+        self.pairs = np.bincount(self.codes % 257**2, weights=self.n, minlength=257**2)
+        self.contexts = np.bincount(self.codes // 257, weights=self.n, minlength=257**2)
+        self.singles = (np.bincount(self.codes % 257, weights=self.n, minlength=257) + 1) / (self.n.sum() + 257)
+
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        at = lookup(self.codes, codes)
+        seen = np.where(at >= 0, self.n[at] if len(self.n) else 0.0, 0.0)
+        pair = codes % 257**2
+        two = (self.pairs[pair] + SMOOTH * self.singles[codes % 257]) / (self.pairs.reshape(257, 257).sum(axis=1)[pair // 257] + SMOOTH)
+        return np.log((seen + SMOOTH * two) / (self.contexts[codes // 257] + SMOOTH))
 
 
 @dataclass
 class LogBilinear:
     words: np.ndarray  # sorted hashes of the known words
-    ids: np.ndarray  # their ids
+    ids: np.ndarray  # their units
     context: np.ndarray  # V x d
     first: np.ndarray  # d x d, for the word before the last
     second: np.ndarray  # d x d, for the last word
     target: np.ndarray  # V x d
     bias: np.ndarray
+    share: np.ndarray | None = None  # log of each known word's share of its unit; None: all 0
+    spelling: Spelling | None = None  # of the words that are not known; None: not spelled
 
     @property
     def size(self) -> int:
@@ -73,20 +124,31 @@ class LogBilinear:
         for x in (self.context, self.first, self.second, self.target, self.bias):
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float64))
             at += x.size
-        return LogBilinear(self.words, self.ids, *parts)
-
-    def tokens(self, texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For some texts at a time: number of the first, tokens of each, and word, last and last but one of every position."""
+        return replace(self, **dict(zip(("context", "first", "second", "target", "bias"), parts, strict=True)))
+
+    def within(self, piece: Piece, w: Words, at: np.ndarray) -> np.ndarray:
+        """Log-probability of each word within its unit."""
+        out = np.zeros(len(at))
+        if self.share is not None and len(self.share):
+            out = np.where(at >= 0, self.share[at], 0.0).astype(np.float64)
+        rare = np.flatnonzero(at < 0)
+        if self.spelling is not None and len(rare):
+            codes, first = trigrams(piece, w.starts[rare], w.ends[rare])
+            out[rare] = np.add.reduceat(self.spelling.log_probs(codes), first)
+        return out
+
+    def tokens(self, texts: pa.Array | pa.ChunkedArray, within: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """For some texts at a time: number of the first, tokens of each, unit, last and last but one of every position, and ``within`` if asked for."""
         for p in pieces(texts):
             w = words(p)
             at = lookup(self.words, w.hashes)
-            t = np.where(at >= 0, self.ids[at] if len(self.ids) else UNKNOWN, UNKNOWN)
+            t = np.where(at >= 0, self.ids[at] if len(self.ids) else UNKNOWN, UNKNOWN).astype(np.int64)
             c2, c1 = np.append(START, t[:-1])[: len(t)], np.append([START, START], t[:-2])[: len(t)]
             heads = w.at[:-1][np.diff(w.at) > 0]
             c2[heads] = c1[heads] = START
             seconds = w.at[:-1][np.diff(w.at) > 1] + 1
             c1[seconds] = START
-            yield p.lo, np.diff(w.at), t, c2, c1
+            yield p.lo, np.diff(w.at), t, c2, c1, self.within(p, w, at) if within else None
 
     def code(self, t: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
         """(c1, c2, t) as one number."""
@@ -103,7 +165,7 @@ class LogBilinear:
 
 
 def initial(vocabulary: np.ndarray, counts: np.ndarray, total: int, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, np.ndarray]:
-    """The model before training, with unigram biases, and the noise distribution."""
+    """The model before training, with unigram biases, and the noise distribution. Units from 2 on have ``counts``; the first are the words of ``vocabulary``."""
     n = np.concatenate([[max(total - counts.sum(), 1), 0], counts]).astype(float)
     noise = n / n.sum()
     size, rng = len(n), np.random.default_rng(seed)
@@ -160,18 +222,54 @@ class Trainer:
         return np.concatenate([x.ravel() for x in self.p])
 
 
-def train(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, dim: int = DIM, seed: int = 0) -> LogBilinear:
+def opened(docs: DataFrame, counts: DataFrame, total: int, dim: int, seed: int) -> tuple[LogBilinear, np.ndarray]:
+    """``initial`` with all known words: heads, classes and spelling."""
+    known = counts.where(F.col("n") >= KNOWN)
+    heads = known.orderBy(F.desc("n"), "word").limit(HEADS).toPandas()
+    head, n = heads["word"].to_numpy(np.int64), heads["n"].to_numpy(np.int64)
+    tail = known
+    if len(n):
+        tail = known.where((F.col("n") < int(n[-1])) | (F.col("n") == int(n[-1])) & (F.col("word") > int(head[-1])))
+    rest = tail.select("word", "ending", "n").toArrow()
+    word, ending, times = (rest.column(c).to_numpy() for c in ("word", "ending", "n"))
+    sums = np.bincount(ending, weights=times, minlength=ENDINGS).astype(np.int64)
+    model, noise = initial(head.view(np.uint64), np.concatenate([n, sums]), total, dim, seed)
+    hashes = np.concatenate([head, word]).view(np.uint64)
+    order = np.argsort(hashes)
+    ids = np.concatenate([np.arange(len(head)) + 2, ending.astype(np.int64) + len(head) + 2]).astype(np.int16)
+    share = np.concatenate([np.zeros(len(head)), np.log(times / sums[ending])]).astype(np.float32)
+    model = replace(model, words=hashes[order], ids=ids[order], share=share[order])
+    shared = docs.sparkSession.sparkContext.broadcast(model.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in pieces(b.column("text")):
+                w = words(p)
+                rare = lookup(shared.value, w.hashes) < 0
+                found.append(trigrams(p, w.starts[rare], w.ends[rare])[0])
+            codes, m = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(m)], ["code", "n"])
+
+    spelled = arrow_map(docs.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 257^3
+    return replace(model, spelling=Spelling(spelled.column("code").to_numpy(), spelled.column("n").to_numpy())), noise
+
+
+def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS, dim: int = DIM, seed: int = 0) -> LogBilinear:
     counts = materialize(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 2).toPandas()
-    model, noise = initial(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, dim, seed)
+    if vocabulary is None:
+        model, noise = opened(docs, counts, total, dim, seed)
+    else:
+        top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 2).toPandas()
+        model, noise = initial(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, dim, seed)
     sc = docs.sparkSession.sparkContext
     for k in range(rounds if total else 0):
-        shared = sc.broadcast((model, noise))  # of a fixed size
+        shared = sc.broadcast((model, noise))
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k, shared: Any = shared) -> Iterator[pa.RecordBatch]:
             own, noise_ = shared.value
-            codes = [own.code(t, c2, c1) for b in batches for _, _, t, c2, c1 in own.tokens(b.column("text"))]
+            codes = [own.code(t, c2, c1) for b in batches for _, _, t, c2, c1, _ in own.tokens(b.column("text"))]
             n = sum(map(len, codes))
             if n:
                 trainer = Trainer(own, noise_, seed + k, RATE / (1 + 2 * k))
@@ -202,8 +300,8 @@ def score(docs: DataFrame, model: LogBilinear, per_token: bool = False) -> DataF
             _tables[key] = own.tables()
         a, b_, z = _tables[key]
         for b in batches:
-            for lo, n, t, c2, c1 in own.tokens(b.column("text")):
-                lp = (a[c1, t] + b_[c2, t] - z[c1, c2]).astype(np.float64)
+            for lo, n, t, c2, c1, within in own.tokens(b.column("text"), within=True):
+                lp = (a[c1, t] + b_[c2, t] - z[c1, c2]).astype(np.float64) + within
                 sums = np.concatenate([[0.0], np.cumsum(lp)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 total = sums[at[1:]] - sums[at[:-1]]
