@@ -89,6 +89,19 @@ def test_url_filter(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_declarations_are_whole(spark):
+    pages = [
+        (1, "http://casino-win.example.com/a?id=1&p=2", ""), (2, "http://b.example.com/", '<link rel="canonical" href="http://casino-win.example.com/a?id=1&amp;p=2">'),
+        (3, "http://spam-farm.example.com/x;jsessionid=5", None), (4, "http://d.example.com/", "<link rel=canonical href=http://d2.example.com/><LINK href='http://spam-farm.example.com/x;jsessionid=5' REL='canonical'>"),
+        (5, "http://e.example.com/", """<meta http-equiv="refresh" content="0; url='http://spam-farm.example.com/x;jsessionid=5'">"""),
+        (6, "http://f.example.com/", '<link rel="canonical" href="/q?id=1&amp;p=2">'), (7, "http://g.example.com/", '<link rel="canonical" href="http://f.example.com/q?id=1&amp;p=3">'),
+        (8, "http://h.example.com/", '<link title="a > b" rel="canonical" href="http://f.example.com/a b">'),
+    ]
+    got = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {k: r["decision"] for k, r in got.items()} == {1: "block", 2: "block", 3: "block", 4: "block", 5: "block", 6: "pass", 7: "pass", 8: "pass"}
+    assert got[6]["class"] != got[7]["class"] and got[8]["class"] == "f.example.com/a b"
+
+
 def multiset(text, k=neardup.SHINGLE):
     w = words(next(pieces(pa.array([text])))).hashes.tolist()
     return Counter(tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))) if w else Counter()

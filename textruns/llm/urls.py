@@ -6,15 +6,21 @@ redirects (src, dst) may add more. Connected components over these edges are the
 in ``BLOCK``) unless it is explicitly allowed (a prefix in ``ALLOW``); a blocked name blocks its whole class, except explicitly allowed names.
 
 Defined cases: a NULL or blank URL has no name and passes; NULL html declares nothing; an alias of a page to itself does nothing; repeated
-rows get a row each, alike; extra columns are ignored; empty tables give no rows. Of several declarations in one page the first of each kind counts.
+rows get a row each, alike; extra columns are ignored; empty tables give no rows. All declarations of a page count, with attribute values up to their
+own closing delimiter and entities decoded. The SQL knows only the first declaration of each kind, up to a space or semicolon, undecoded.
 """
 
 from __future__ import annotations
 
+import html
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._job import materialize
+from ._job import arrow_map, materialize
 from .components import components
 
 BLOCK = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
@@ -64,17 +70,45 @@ def with_resolved(df: DataFrame, target: str, url: str, out: str) -> DataFrame:
     return df.withColumn(out, whole).drop("_bare", "_host", "_folder")
 
 
-#: Pattern of the declaring tag, and of its target.
+#: Pattern of the declaring tag, and of its target, in the SQL.
 DECLARED = {
     "canonical": ("""(?i)(<link[^>]*rel=["']?canonical["']?[^>]*>)""", """(?i)href=["']?([^"'> ;]+)"""),
     "refresh": ("""(?i)(<meta[^>]*http-equiv=["']?refresh["']?[^>]*>)""", """(?i)url=["']?([^"'> ;]+)"""),
 }
 
 
-def declared_target(kind: str) -> Column:
-    """The first target of a kind that ``html`` declares, '' if there is none."""
-    tag, target = DECLARED[kind]
-    return F.regexp_extract(F.regexp_extract(F.coalesce("html", F.lit("")), tag, 1), target, 1)
+_TAG = re.compile(r"""<(link|meta)(?=[\s/>])((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""")
+_REFRESH = re.compile(r"""[\s\d.]*[;,]?\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+
+
+def targets(page: str) -> list[str]:
+    """Every target that a page declares, as canonical link or by refresh."""
+    out = []
+    for tag, body in _TAG.findall(page):
+        given: dict[str, str] = {}
+        for name, *values in _ATTRIBUTE.findall(body):
+            given.setdefault(name.lower(), html.unescape("".join(values)))
+        target = ""
+        if tag.lower() == "link" and "canonical" in given.get("rel", "").lower().split():
+            target = given.get("href", "")
+        elif tag.lower() == "meta" and given.get("http-equiv", "").strip().lower() == "refresh":
+            target = "".join(x or "" for x in _REFRESH.match(given.get("content", "")).groups())
+        if target := re.sub(r"[\t\r\n]", "", target).strip():
+            out.append(target)
+    return out
+
+
+def declarations(pages: DataFrame) -> DataFrame:
+    """(url, target) for each declaration of each page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(u, t) for u, h in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True) for t in targets(h)]
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], ["url", "target"])
+
+    some = pages.select("url", "html").where(F.col("url").isNotNull() & F.col("html").rlike("(?i)<link|<meta"))
+    return arrow_map(some, run, "url string, target string")
 
 
 def declared_sql(kind: str) -> str:
@@ -103,12 +137,9 @@ def _allowed_sql(name: str, duck: bool = False) -> str:
 
 def filter_urls(pages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
     """page_id, url, name, class (the smallest name of it), decision: allow, block or pass."""
-    declared = pages.select("page_id", "url", *(declared_target(k).alias(k) for k in DECLARED))
-    known = with_name(declared, "url", "name")
-    for c in ("canonical", "refresh"):
-        known = with_name(with_resolved(known, c, "url", c), c, c)
-    known = materialize(known, "names")
-    edges = known.select(F.col("name").alias("a"), F.explode(F.array("canonical", "refresh")).alias("b"))
+    known = materialize(with_name(pages.select("page_id", "url"), "url", "name"), "names")
+    declared = with_resolved(materialize(declarations(pages), "declared"), "target", "url", "target")
+    edges = materialize(with_name(with_name(declared, "url", "a"), "target", "b").select("a", "b"), "edges")
     if redirects is not None:
         # written first: a filter moved below the names would repeat them
         edges = edges.union(materialize(with_name(with_name(redirects.select("src", "dst"), "src", "a"), "dst", "b").select("a", "b"), "redirects"))
