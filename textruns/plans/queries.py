@@ -393,8 +393,7 @@ def _short_items(spark: SparkSession, d: str) -> DataFrame:
     return df.select(F.col("item_id").alias("text_id"), F.encode("text", "UTF-8").alias("body")).where("body IS NOT NULL")
 
 
-def _sub(spark: SparkSession, d: str, backward: bool) -> tuple[DataFrame, DataFrame]:
-    texts = _short_items(spark, d)
+def _sub(texts: DataFrame, backward: bool) -> tuple[DataFrame, DataFrame]:
     runs2 = c.ordered_runs(c.bwt_runs(c.bwt(c.suffix_array(texts))))
     kept = c.subsamples(texts, RATE, backward)
     if backward:
@@ -409,13 +408,17 @@ def _subsampling(backward: bool) -> None:
     head = _greedy_sql(backward)
     order = "mark" if backward else "mark DESC"
     query(f"subsamples_{side}", f"{head} SELECT kept.text_id, kept.run, pr.{value} AS tpos FROM kept JOIN pr USING (text_id, run)")(lambda spark, d: c.subsamples(_short_items(spark, d), RATE, backward))
-    query(f"submarks_{side}", f"{head} SELECT text_id, mark, sample FROM sub")(lambda spark, d: _sub(spark, d, backward)[1])
+    query(f"submarks_{side}", f"{head} SELECT text_id, mark, sample FROM sub")(lambda spark, d: _sub(_short_items(spark, d), backward)[1])
     query(
         f"validity_{side}",
         f"""{head}, full_ AS (SELECT text_id, mark, lead(mark) OVER (PARTITION BY text_id ORDER BY {order}) AS f FROM {"lb" if backward else "lfw"}),
 k AS (SELECT text_id, mark, lead(mark) OVER (PARTITION BY text_id ORDER BY {order}) AS n FROM sub)
 SELECT text_id, mark, f IS NOT DISTINCT FROM n AS valid, CASE WHEN f IS DISTINCT FROM n THEN abs(f - mark) END AS area FROM k JOIN full_ USING (text_id, mark)""",
-    )(lambda spark, d: c.validity(*_sub(spark, d, backward), backward))
+    )(lambda spark, d: c.validity(*_sub(_short_items(spark, d), backward), backward))
+    # over whole items, without SQL: its walk is only for texts of 60 characters
+    query(f"subsamples_{side}_items")(lambda spark, d: c.subsamples(items(spark, d), RATE, backward))
+    query(f"submarks_{side}_items")(lambda spark, d: _sub(items(spark, d), backward)[1])
+    query(f"validity_{side}_items")(lambda spark, d: c.validity(*_sub(items(spark, d), backward), backward))
 
 
 _subsampling(True)
