@@ -163,6 +163,12 @@ def test_statistics(spark):
     assert plot.first().asDict() == {"label": "R", "ms": 1000.0, "bits": 2.0}
 
 
+def test_query_plot_joins_all_labels(spark):
+    names = spark.range(20_000).select(F.col("id").cast("string").alias("name"))
+    rows = names.select(F.concat("name", F.lit("/4")).alias("name"), F.lit(1.0).alias("seconds"), F.lit(2.0).alias("bits"))
+    assert stats.query_plot(rows, names.withColumn("label", F.col("name"))).count() == 20_000
+
+
 def test_streams(spark, texts, patterns, tmp_path):
     patterns.where("pattern_id < 4").write.parquet(str(tmp_path / "in"))
     given = spark.readStream.schema("pattern_id long, pattern binary").parquet(str(tmp_path / "in"))

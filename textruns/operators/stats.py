@@ -37,4 +37,4 @@ def timing_summary(timings: DataFrame) -> DataFrame:
 def query_plot(results: DataFrame, labels: DataFrame) -> DataFrame:
     """label, ms, bits from benchmark rows (name 'strategy/rate/...', seconds, bits), joined to labels (name, label)."""
     named = results.withColumn("name", F.split("name", "/")[0])
-    return named.join(F.broadcast(labels.limit(10_000)), "name").select("label", (F.col("seconds") * 1000).alias("ms"), "bits")
+    return named.join(labels, "name").select("label", (F.col("seconds") * 1000).alias("ms"), "bits")
