@@ -1,6 +1,7 @@
 """Quality, toxicity, language: held-out accuracy, brute-force posteriors, defined cases."""
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,6 +9,8 @@ import pyarrow as pa
 import pytest
 
 from textruns.llm import langid, quality, toxicity
+from textruns.llm._job import labelled_sample
+from textruns.llm._text import span_hashes
 
 
 def test_toxicity_held_out(more):
@@ -132,6 +135,61 @@ def test_quality_cases(odd, none, docs, labels):
 
 
 @pytest.mark.parametrize("module", [toxicity, quality])
-def test_training_ignores_nulls(spark, docs, module):
-    labels = spark.createDataFrame([(None, 1, 1), (0, None, None), (1, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int")
-    module.train(docs, labels)
+def test_training_ignores_nulls(spark, docs, labels, module):
+    nulls = [(None, 1, 1), (0, None, None), (99_999_999, 0, 1)]
+    known = [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()]
+    schema = "doc_id long, quality int, toxic int"
+    plain, more_ = (module.train(docs, spark.createDataFrame(x, schema)) for x in (known, nulls + known + known))
+    text = pa.array([r["text"] for r in docs.limit(50).collect()])
+    of = (lambda m: m.severity(text)[0]) if module is toxicity else (lambda m: m.log_odds(text))
+    assert np.array_equal(of(plain), of(more_)) and np.ptp(of(plain)) > 0
+
+
+def test_sample_is_bounded_and_the_same_every_time(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(80)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = [sorted(map(tuple, labelled_sample(d, labels, ["toxic"], 30).collect())) for d in (docs, docs.repartition(5).orderBy("text"))]
+    assert got[0] == got[1] and 10 < len(got[0]) <= 30 and all(t == min(f"text {i}", f"text {i + 40}") and y == i % 2 for i, t, y in got[0])
+
+
+def parts_of(text):
+    """Words of a text, in plain Python."""
+    return re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+
+
+def test_toxicity_like_brute_force(docs, labels):
+    model = toxicity.train(docs, labels)
+    weight = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
+    assert len(weight) > 3
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for r in docs.collect():
+        stems = {w for x in parts_of(r["text"]) for w in [x, *(x[:k] for k in toxicity.STEMS if len(x) > k)]}
+        z = sum(weight.get(h, 0.0) for h in {int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in stems})
+        above = [1 / (1 + math.exp(t - z)) for t in model.theta]
+        each = [a - b for a, b in zip([1, *above], [*above, 0], strict=True)]
+        assert math.isclose(got[r["doc_id"]]["severity"], sum(above), abs_tol=1e-9)
+        assert got[r["doc_id"]]["grade"] == each.index(max(each)) and got[r["doc_id"]]["rejected"] == (sum(above) >= model.cut)
+
+
+def test_language_like_brute_force(docs):
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    m = 1 << 32
+
+    def buckets(text):
+        for x in re.findall(rb"[a-z\x80-\xff]{2,}", text.lower().encode()):
+            x = b"\0" + x + b"\0"
+            for i in range(len(x) - 2):
+                a, b, c = x[i : i + 3]
+                h = ((a * 2654435761 % m) ^ (b * 2246822519 % m) ^ (c * 3266489917 % m)) * 668265263 % m
+                yield h >> 17
+                if i < len(x) - 3:
+                    yield (((h ^ (x[i + 3] * 374761393 % m)) * 2654435761 % m) ^ 0x5BD1E995) >> 17
+
+    for r in docs.limit(60).collect():
+        found = list(buckets(r["text"]))
+        z = (model.table[found].mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        rejected = p.max() < model.least_confidence or model.seen[found].mean() < model.least_seen
+        assert got[r["doc_id"]]["predicted"] == model.languages[int(p.argmax())] and got[r["doc_id"]]["rejected"] == rejected
+        assert math.isclose(got[r["doc_id"]]["confidence"], p.max(), abs_tol=1e-9)

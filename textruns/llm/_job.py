@@ -20,29 +20,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run in this process's machine (a local master)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", found := "file://" + tempfile.mkdtemp(prefix="textruns-"))
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors. Files go when the driver ends."""
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The files of ``spent``, tables that this function returned and nothing reads any more, go at once; all others when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textruns-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    for old in spent:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._textruns_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned; any other table is left alone."""
+    if path := getattr(table, "_textruns_path", None):
+        fs, where = _file_system(table.sparkSession, path)
+        fs.delete(where, True)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores before it where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
 
 
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors of a cluster, by way of the shared folder (a local session shares the driver's path)."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_textruns_shipped", False):
+    if is_local(spark) or getattr(sc, "_textruns_shipped", False):
         return
     root, data = Path(__file__).resolve().parents[2], io.BytesIO()
     with zipfile.ZipFile(data, "w") as z:
@@ -101,16 +134,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], bound: int) -> DataFrame:
-    """About ``bound`` labelled documents at most, chosen by a hash of doc_id, each doc_id once. NULL ids, texts and labels are left out.
+    """``bound`` labelled documents at most, those whose doc_id has the smallest hash, each doc_id once. NULL ids, texts and labels are left out.
 
-    The labels are counted first; the share that the hash admits follows from that count, so nothing but the chosen rows moves.
+    Of several labels of a doc_id the largest counts, of several texts the smallest, so the sample is the same in every run. The labels are
+    counted first; only about 1.5 times ``bound`` of them, by their hash, are sorted.
     """
     known = labels.select("doc_id", *columns).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in columns))
-    n = known.count()
-    if n > bound:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    rows = known.limit(2 * bound)
-    return docs.select("doc_id", "text").dropna().join(F.broadcast(rows), "doc_id").dropDuplicates(["doc_id"])
+    n, place = known.count(), F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = known.where(place < int((1 << 30) * min(1.0, 1.5 * bound / max(n, 1)))).orderBy(place, "doc_id").limit(bound)
+    return docs.select("doc_id", "text").dropna().join(F.broadcast(rows), "doc_id").groupBy("doc_id", *columns).agg(F.min("text").alias("text")).select("doc_id", "text", *columns)
 
 
 def fitted(rows: DataFrame, fit: Callable[[pd.DataFrame], Any]) -> Any:

@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: the smaller neighbours and u itself hang on the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        star = materialize(small, "edges")
+        star = materialize(small, "edges", star)
         after = star.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.count_distinct("u")).first()
         if after == before or after[0] == 0:
             break

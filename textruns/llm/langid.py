@@ -1,6 +1,6 @@
 """Language identification (operator 7): averaged hashed subword embeddings, a linear softmax, calibrated rejection.
 
-A text is lower-cased; its subwords are all byte 3- and 4-grams inside a word padded with one boundary byte on either side, hashed into
+A text is lower-cased; its subwords are all byte 3- and 4-grams inside a word of two bytes or more, padded with one boundary byte on either side, hashed into
 ``BUCKETS``. Their embeddings are averaged (each occurrence counts) and go through a linear softmax; both are trained by stochastic
 gradient descent in numpy. A temperature fitted on held-out lines calibrates the softmax. A text is rejected if its calibrated
 confidence is under a threshold, or if the share of its subwords seen in training falls under another one; both are set on held-out
@@ -8,7 +8,7 @@ texts and lines so that no more than ``LOSS`` of those rightly classified is los
 
 Defined cases: a text without a subword (NULL, empty, only digits, punctuation or spaces) has language NULL, confidence 0 and is
 rejected. Whole texts count, of any length. Repeated rows are scored alike. Extra columns pass through ``filter_language``.
-NULL languages, ids and texts are left out of training. Without any labelled document every text is rejected; with one language only,
+NULL languages, ids and texts are left out of training; of rows that repeat a doc_id and language the smallest text is used. Without any labelled document every text is rejected; with one language only,
 the seen share alone decides. The fit uses at most about ``bound`` documents, spread evenly over the languages by a hash of doc_id.
 """
 
@@ -197,10 +197,10 @@ def train(docs: DataFrame, bound: int = BOUND) -> LanguageModel:
         admitted = admitted | ((F.col("lang") == lang) & (hashed < int((1 << 30) * min(1.0, each / n))))
 
     def run(rows: pd.DataFrame) -> LanguageModel:
-        rows = rows.sort_values(["doc_id", "lang"]).drop_duplicates(["doc_id", "lang"])
+        rows = rows.sort_values(["doc_id", "lang", "text"]).drop_duplicates(["doc_id", "lang"])
         return fit(rows["text"].tolist(), rows["lang"].tolist())
 
-    return fitted(known.where(admitted).limit(2 * bound), run)
+    return fitted(known.where(admitted).distinct(), run)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
