@@ -7,14 +7,18 @@ interval, all hashes of (shingle, interval, number of the point), thus alike in
 register keeps the earliest time of its points. Two documents agree in a register with probability equal to their weighted Jaccard overlap
 sum min / sum max. A process ends as soon as its next point is later than the latest register, which keeps the work near n + m log m.
 
-Registers are grouped into ``BANDS`` of ``ROWS``; documents that agree in a whole band are candidates. Of these, every pair whose
-endpoints are not already linked through verified pairs is verified on the multisets themselves, against ``THRESHOLD``:
-first each document with the smallest one of its buckets, then everything else that shares a bucket and is in two components. So the groups
-are exactly the connected components of the graph of verified candidate pairs, without forming all pairs of a large group.
+Registers are grouped into ``BANDS`` of ``ROWS``; documents that agree in a whole band are candidates. Equal multisets hang on their smallest
+doc_id. Of the others, each is verified on the multisets themselves, against ``THRESHOLD``, with the smallest document of its buckets, and
+where these verified pairs leave it in another component than the smallest documents of its other buckets, with those too: at most one
+pair a document and band. What then shares a bucket but not a component is compared by a join of prefixes, which is exact: two multisets of
+a and b items overlap by t only if they have o = (a + b) t / (1 + t) in common, so, in an order of all items, they share one within the first a - o + 1
+and b - o + 1. Items that stand in one component only come first, then rare ones before frequent ones; so documents that have no more than a
+template in common are never paired, however many they are, and the pairs verified grow with the documents. (Pairs just under the
+threshold remain pairs to verify.) Groups are thus the connected components of the graph of all candidate pairs that overlap enough.
 
 Defined cases: documents without words (NULL, empty, punctuation only) are in no group; a NULL doc_id is in no group; rows that repeat a
-doc_id count as one document in groups, and ``deduplicate`` keeps one of them; extra columns pass through ``deduplicate``. Of a group
-the smallest doc_id stays. Empty tables give empty results.
+doc_id count as one document in groups (of different texts that with the smallest items is verified), and ``deduplicate`` keeps the one of the smallest
+text; extra columns pass through ``deduplicate``, whatever their names. Of a group the smallest doc_id stays. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,10 +28,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._job import arrow_map, materialize
+from ._job import arrow_map, discard, free_name, materialize
 from ._text import Words, distinct_per_owner, mix, pieces, uniform, words
 from .components import components
 
@@ -168,29 +172,67 @@ def _verified(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFr
     return pairs.join(fa, "a").join(fb, "b").select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= threshold)
 
 
-def edges(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Verified pairs (a, b, overlap), enough to connect every group."""
+#: Sizes within a factor of this are probed together in the join of prefixes.
+CLASS = 1.1
+
+
+def _size_class(n: Any) -> Any:
+    return F.floor(F.log(n) / F.log(F.lit(CLASS))).cast("int")
+
+
+def prefix_pairs(items: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of documents of different components that may overlap by ``threshold``: all that do, and few others.
+
+    ``items`` has doc_id, c (its component) and items, an array of distinct numbers; each doc_id once.
+    """
+    share = threshold / (1 + threshold)
+    one = materialize(items.where(F.size("items") > 0).select("doc_id", "c", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    met = one.groupBy("item").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("item", "df")
+    # place of each item that components share among its document's items, those of one component being first
+    shared = one.join(met, "item")
+    w = Window.partitionBy("doc_id").orderBy("df", "item")
+    placed = shared.withColumn("k", F.row_number().over(w) + F.col("n") - F.count("*").over(Window.partitionBy("doc_id")))
+    common = lambda a, b: F.ceil((a + b) * share - 1e-9)
+    n = F.col("n")
+    small = placed.where(F.col("k") <= n - common(n, n) + 1).select("item", _size_class(n).alias("class"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
+    classes = F.sequence(_size_class(F.greatest(F.ceil(n * threshold - 1e-9), F.lit(1))), _size_class(n))
+    probe = placed.where(F.col("k") <= n - common(n, F.ceil(n * threshold - 1e-9)) + 1).select("item", "doc_id", "c", "n", "k", F.explode(classes).alias("class"))
+    least = F.greatest(F.ceil(n * threshold - 1e-9), F.ceil(F.pow(F.lit(CLASS), F.col("class")) - 1e-9))
+    large = probe.where(F.col("k") <= n - common(n, least) + 1).select("item", "class", F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("k").alias("ka"))
+    na, nb, o = F.col("na"), F.col("nb"), common(F.col("na"), F.col("nb"))
+    both = large.join(small, ["item", "class"]).where((F.col("ca") != F.col("cb")) & ((nb < na) | ((nb == na) & (F.col("b") < F.col("a")))) & (F.col("ka") <= na - o + 1) & (F.col("kb") <= nb - o + 1))
+    return both.select("a", "b").distinct()
+
+
+def edges(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, verified: list[int] | None = None) -> DataFrame:
+    """Verified pairs (a, b, overlap), enough to connect every group. To ``verified`` the number of pairs compared in each step is added, if given."""
     signed = materialize(_signed(docs, shingle, bands, rows), "signed")
     # equal multisets first: each hangs on its smallest doc_id, which alone goes on
     best = signed.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("s")).select("f1", "f2", "s.*")
     best = materialize(best, "distinct")
     same = signed.select("doc_id", "f1", "f2").join(best.select("f1", "f2", F.col("doc_id").alias("b")), ["f1", "f2"]).where("doc_id <> b").select(F.col("doc_id").alias("a"), "b", F.lit(1.0).alias("overlap")).distinct()
+    same = materialize(same, "same", signed)
+    # no bucket is ever held in one row
+    bucket = Window.partitionBy("band", "key")
     keyed = best.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = keyed.groupBy("band", "key").agg(F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1).select("band", "key", F.array_min("ids").alias("leader"), "ids")
-    buckets = materialize(buckets, "buckets")
-    members = buckets.select("band", "key", "leader", F.explode("ids").alias("doc_id"))
+    members = keyed.withColumns({"leader": F.min("doc_id").over(bucket), "last": F.max("doc_id").over(bucket)}).where("leader <> last").select("band", "key", "leader", "doc_id")
+    members = materialize(members, "buckets", best)
     stars = materialize(members.where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b")).distinct(), "stars")
     ids = stars.select(F.col("a").alias("doc_id")).union(stars.select(F.col("b").alias("doc_id"))).distinct()
-    features = materialize(_features(docs, ids, shingle), "features").dropDuplicates(["doc_id"])
+    features = materialize(_features(docs, ids, shingle), "features").groupBy("doc_id").agg(F.min("items").alias("items"))
+
+    def verify(pairs: DataFrame, *spent: DataFrame) -> DataFrame:
+        if verified is not None:
+            verified.append(pairs.count())
+        return materialize(_verified(pairs, features, threshold), "found", *spent)
+
     # each document with the smallest of its leaders
-    nearest = stars.groupBy("a").agg(F.min("b").alias("b"))
-    found = materialize(_verified(nearest, features, threshold), "found")
-    tried = nearest
+    tried = stars.groupBy("a").agg(F.min("b").alias("b"))
+    found = verify(tried)
     while True:
-        group = components(found)
-        group = materialize(group, "groups")
+        group = materialize(components(found), "groups")
 
-        def named(df: DataFrame, node: str, to: str) -> DataFrame:
+        def named(df: DataFrame, node: str, to: str, group: DataFrame = group) -> DataFrame:
             return df.join(group.select(F.col("node").alias(node), F.col("component").alias(to)), node, "left").withColumn(to, F.coalesce(to, node))
 
         # stars that join two components, then, when none is left, whatever else shares a bucket and is in two components
@@ -198,14 +240,11 @@ def edges(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE,
         open_ = materialize(open_, "open")
         if open_.isEmpty():
             split = named(members, "doc_id", "c")
-            mixed = split.groupBy("band", "key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "key")
-            rest = split.join(mixed, ["band", "key"]).select("band", "key", "doc_id", "c")
-            left, right = rest.select("band", "key", F.col("doc_id").alias("b"), F.col("c").alias("cb")), rest.select("band", "key", F.col("doc_id").alias("a"), F.col("c").alias("ca"))
-            open_ = left.join(right, ["band", "key"]).where("a > b AND ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti")
-            new = materialize(_verified(open_, features, threshold), "found")
-            return found.union(new).union(same)
-        new = materialize(_verified(open_, features, threshold), "found")
-        found, tried = found.union(new), stars
+            mixed = split.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)}).where("lo <> hi").select("doc_id", "c").distinct()
+            rest = prefix_pairs(mixed.join(features, "doc_id"), threshold)
+            rest = rest.join(stars.union(stars.select("b", "a")), ["a", "b"], "left_anti")
+            return found.union(verify(materialize(rest, "rest"), group)).union(same)
+        found, tried = found.union(verify(open_, open_, group)), stars
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, **kw: int) -> DataFrame:
@@ -224,14 +263,19 @@ def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **kw: int) -> Dat
     drop = materialize(member.where("node <> component").select(F.col("node").alias("doc_id")), "drop")
     repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     shared, bits = _bit_filter(materialize(drop.union(repeated), "suspects"))
-    placed = docs.withColumn("_textruns_at", F.expr(f"if(doc_id IS NULL, NULL, pmod(xxhash64(doc_id), {bits}L))"))
+    at, nth = free_name(docs, "at"), free_name(docs, "nth")
+    placed = docs.withColumn(at, F.expr(f"if(doc_id IS NULL, NULL, pmod(xxhash64(doc_id), {bits}L))"))
 
     def part(held_back: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                hit = _hit(shared.value, b.column("_textruns_at"))
-                yield b.drop_columns(["_textruns_at"]).filter(pa.array(hit == held_back))
+                hit = _hit(shared.value, b.column(at))
+                yield b.drop_columns([at]).filter(pa.array(hit == held_back))
 
         return arrow_map(placed, run, docs.schema)
 
-    return part(False).union(part(True).join(drop, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(docs.columns))
+    # of rows that repeat a doc_id the smallest text stays, of equal ones the one that sorts first in its other columns
+    order = [F.col(f"`{c}`") for c, kind in docs.dtypes if c != "text" and "map<" not in kind and "variant" not in kind]
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last(), *order))
+    kept = part(True).join(drop, "doc_id", "left_anti").select(docs.columns).withColumn(nth, first).where(F.col(f"`{nth}`") == 1)
+    return part(False).union(kept.select([F.col(f"`{c}`") for c in docs.columns]))
