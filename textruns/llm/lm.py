@@ -1,22 +1,24 @@
 """Language-model scoring (operator 4): a log-bilinear model trained in numpy with noise-contrastive estimation.
 
-Tokens are words, and each word of the corpus seen ``KNOWN`` times or more has a probability of its own. The model's units are the ``HEADS`` most
+Tokens are words, and each *known* word, one that the corpus has ``KNOWN`` times or more, has a probability of its own. The model's units are the ``HEADS`` most
 frequent of them (ties: smaller hash), ``ENDINGS`` classes of the others by a hash of their last three bytes, one unit for all rarer words and one that pads
 the start of a document. The score of unit u after (c1, c2) is s = (C1 r[c1] + C2 r[c2]) . q[u] + b[u], with context and target embeddings r and q and one
 matrix for each context position. A word's probability is its unit's times its share within the unit: 1 for a head, its count in that of the class, or
 for a rarer word the probability of its spelling by byte trigrams, learnt from the rare words and normalised over all byte strings. (Spellings of
-known words keep their part of that, so all words together have slightly less than 1.) ``train`` with ``vocabulary`` makes a closed model instead: the
-``vocabulary`` - 2 most frequent words, and one unknown token that is not spelled.
+known words keep their part of that, so all words together have slightly less than 1.)
 
-Training covers all documents: words are counted over the whole corpus; then, in ``ROUNDS`` rounds, each partition trains its own copy of
-the model on all its tokens (NCE with noise from the unigram distribution, noise shared in a minibatch) and the copies are averaged, weighted
-by tokens. The table of known words grows with the distinct words of the corpus and is broadcast (14 bytes a word); embeddings do not grow.
+Training covers all documents. Words are counted over the whole corpus. Every document belongs to a chunk of about ``CHUNK`` tokens by a hash of its id and
+text; in ``ROUNDS`` rounds a copy of the model is trained on each chunk (NCE with noise from the unigram distribution, shared in a
+minibatch) and the copies, one binary vector each, are averaged in a tree, weighted by tokens. So the model depends on the rows alone, not on
+how they are partitioned. The counts are a table as large as the corpus's vocabulary. What is broadcast is the known words, at 12 bytes
+each: if there are over ``MOST_KNOWN`` of them, ``KNOWN`` is doubled for this corpus until there are not, and the words under it are spelled.
 
 Scoring is normalised exactly. As s is a sum over the two context positions, Z(c1, c2) = sum_u exp(A[c1, u]) exp(B[c2, u]): one product of two
 V x V matrices holds the normaliser of every context, and a unit's log-probability is A[c1, u] + B[c2, u] - log Z[c1, c2].
 
 Defined cases: a document without words (NULL, empty) has no tokens, log-probability 0, and NULL mean and perplexity; NULL ids pass through; repeated
-rows are scored alike (and count in training as often as they stand); ties are by hash; an empty corpus gives the uniform model.
+rows are scored alike (and count in training as often as they stand); ties are by hash; extra columns are ignored; an empty corpus gives a model
+that spells every word.
 """
 
 from __future__ import annotations
@@ -30,18 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._job import arrow_map, materialize
+from ._job import arrow_map, discard, materialize, ship
 from ._text import WORD_BYTE, Piece, Words, lookup, mix, pieces, words
 
 HEADS = 1022
 ENDINGS = 256
-KNOWN = 3
+KNOWN = 2
+MOST_KNOWN = 1 << 23
 DIM = 16
 ROUNDS = 2
 NOISE = 128
 BATCH = 2048
 HEAVY = 8
 RATE = 0.05
+#: Tokens of a chunk, about.
+CHUNK = 1 << 21
+#: Vectors averaged by one task, or at last by the driver.
+TOGETHER = 64
 UNKNOWN, START = 0, 1
 EDGE = 256  # symbol before and after a word's bytes
 SMOOTH = 5
@@ -109,8 +116,8 @@ class LogBilinear:
     second: np.ndarray  # d x d, for the last word
     target: np.ndarray  # V x d
     bias: np.ndarray
-    share: np.ndarray | None = None  # log of each known word's share of its unit; None: all 0
-    spelling: Spelling | None = None  # of the words that are not known; None: not spelled
+    share: np.ndarray  # log of each known word's share of its unit
+    spelling: Spelling  # of the words that are not known
 
     @property
     def size(self) -> int:
@@ -128,27 +135,21 @@ class LogBilinear:
 
     def within(self, piece: Piece, w: Words, at: np.ndarray) -> np.ndarray:
         """Log-probability of each word within its unit."""
-        out = np.zeros(len(at))
-        if self.share is not None and len(self.share):
-            out = np.where(at >= 0, self.share[at], 0.0).astype(np.float64)
+        out = np.where(at >= 0, self.share[at] if len(self.share) else 0.0, 0.0).astype(np.float64)
         rare = np.flatnonzero(at < 0)
-        if self.spelling is not None and len(rare):
+        if len(rare):
             codes, first = trigrams(piece, w.starts[rare], w.ends[rare])
             out[rare] = np.add.reduceat(self.spelling.log_probs(codes), first)
         return out
 
-    def tokens(self, texts: pa.Array | pa.ChunkedArray, within: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
-        """For some texts at a time: number of the first, tokens of each, unit, last and last but one of every position, and ``within`` if asked for."""
-        for p in pieces(texts):
-            w = words(p)
-            at = lookup(self.words, w.hashes)
-            t = np.where(at >= 0, self.ids[at] if len(self.ids) else UNKNOWN, UNKNOWN).astype(np.int64)
-            c2, c1 = np.append(START, t[:-1])[: len(t)], np.append([START, START], t[:-2])[: len(t)]
-            heads = w.at[:-1][np.diff(w.at) > 0]
-            c2[heads] = c1[heads] = START
-            seconds = w.at[:-1][np.diff(w.at) > 1] + 1
-            c1[seconds] = START
-            yield p.lo, np.diff(w.at), t, c2, c1, self.within(p, w, at) if within else None
+    def units(self, w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit, last and last but one of every position; ``at`` is each word's place among the known ones."""
+        t = np.where(at >= 0, self.ids[at] if len(self.ids) else UNKNOWN, UNKNOWN).astype(np.int64)
+        c2, c1 = np.append(START, t[:-1])[: len(t)], np.append([START, START], t[:-2])[: len(t)]
+        heads = w.at[:-1][np.diff(w.at) > 0]
+        c2[heads] = c1[heads] = START
+        c1[w.at[:-1][np.diff(w.at) > 1] + 1] = START
+        return t, c2, c1
 
     def code(self, t: np.ndarray, c2: np.ndarray, c1: np.ndarray) -> np.ndarray:
         """(c1, c2, t) as one number."""
@@ -164,20 +165,20 @@ class LogBilinear:
         return a.astype(np.float32), b.astype(np.float32), (np.log(z) + top[0] + top[1].T).astype(np.float32)
 
 
-def initial(vocabulary: np.ndarray, counts: np.ndarray, total: int, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, np.ndarray]:
-    """The model before training, with unigram biases, and the noise distribution. Units from 2 on have ``counts``; the first are the words of ``vocabulary``."""
-    n = np.concatenate([[max(total - counts.sum(), 1), 0], counts]).astype(float)
+def initial(hashes: np.ndarray, ids: np.ndarray, share: np.ndarray, counts: np.ndarray, spelling: Spelling, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, np.ndarray]:
+    """The model before training, with unigram biases, and the noise distribution, from the tokens of each unit."""
+    n = np.maximum(counts.astype(float), 1)
+    n[START] = 0
     noise = n / n.sum()
-    size, rng = len(n), np.random.default_rng(seed)
-    order = np.argsort(vocabulary)
+    size, rng, order = len(n), np.random.default_rng(seed), np.argsort(hashes)
     bias = np.log(np.maximum(noise, 1e-9))
-    return LogBilinear(vocabulary[order], order + 2, rng.normal(0, 0.3, (size, dim)), np.eye(dim) * 0.5, np.eye(dim), rng.normal(0, 0.05, (size, dim)), bias), noise
+    return LogBilinear(hashes[order], ids[order], rng.normal(0, 0.3, (size, dim)), np.eye(dim) * 0.5, np.eye(dim), rng.normal(0, 0.05, (size, dim)), bias, share[order], spelling), noise
 
 
 class Trainer:
     """NCE by Adagrad on minibatches."""
 
-    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: int, rate: float = RATE, k: int = NOISE) -> None:
+    def __init__(self, model: LogBilinear, noise: np.ndarray, seed: Any, rate: float = RATE, k: int = NOISE) -> None:
         self.m, self.rate, self.k = model, rate, k
         self.p = [x.astype(np.float32) for x in (model.context, model.first, model.second, model.target, model.bias)]
         self.g2 = [np.full(x.shape, 1e-2, np.float32) for x in self.p]
@@ -206,9 +207,8 @@ class Trainer:
         d = values.shape[1]
         return np.bincount((at[:, None] * d + np.arange(d)).ravel(), weights=values.ravel(), minlength=v * d).reshape(v, d).astype(np.float32)
 
-    def run(self, codes: np.ndarray, batch: int = BATCH) -> None:
-        """One pass over coded (c1, c2, t). Equal ones are trained together, with a weight; heavy ones in parts of at most ``HEAVY``."""
-        codes, n = np.unique(codes, return_counts=True)
+    def run(self, codes: np.ndarray, n: np.ndarray, batch: int = BATCH) -> None:
+        """One pass over distinct coded (c1, c2, t) of ``n`` occurrences. Equal ones are trained together, with a weight; heavy ones in parts of at most ``HEAVY``."""
         times = -(-n // HEAVY)
         codes, weight = np.repeat(codes, times), np.repeat(n / times, times)
         v = self.m.size
@@ -222,66 +222,108 @@ class Trainer:
         return np.concatenate([x.ravel() for x in self.p])
 
 
-def opened(docs: DataFrame, counts: DataFrame, total: int, dim: int, seed: int) -> tuple[LogBilinear, np.ndarray]:
-    """``initial`` with all known words: heads, classes and spelling."""
-    known = counts.where(F.col("n") >= KNOWN)
-    heads = known.orderBy(F.desc("n"), "word").limit(HEADS).toPandas()
-    head, n = heads["word"].to_numpy(np.int64), heads["n"].to_numpy(np.int64)
-    tail = known
-    if len(n):
-        tail = known.where((F.col("n") < int(n[-1])) | (F.col("n") == int(n[-1])) & (F.col("word") > int(head[-1])))
+def untrained(docs: DataFrame, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, np.ndarray, int]:
+    """The model before training but for its spelling, the noise, and the number of tokens, from word counts over all documents."""
+    counts = materialize(word_counts(docs), "words")
+    n = F.col("n")
+    power = counts.groupBy(F.floor(F.log2("n") + 1e-9).cast("int").alias("k")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).toPandas()
+    total, least = int(power["tokens"].sum()), KNOWN
+    while power["words"][power["k"] >= np.log2(least)].sum() > MOST_KNOWN:
+        least *= 2
+    known = counts.where(n >= least)
+    top = known.orderBy(F.desc("n"), "word").limit(HEADS).toPandas()
+    head, often = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    tail = known.where((n < int(often[-1])) | (n == int(often[-1])) & (F.col("word") > int(head[-1]))) if len(head) else known
     rest = tail.select("word", "ending", "n").toArrow()
     word, ending, times = (rest.column(c).to_numpy() for c in ("word", "ending", "n"))
     sums = np.bincount(ending, weights=times, minlength=ENDINGS).astype(np.int64)
-    model, noise = initial(head.view(np.uint64), np.concatenate([n, sums]), total, dim, seed)
-    hashes = np.concatenate([head, word]).view(np.uint64)
-    order = np.argsort(hashes)
     ids = np.concatenate([np.arange(len(head)) + 2, ending.astype(np.int64) + len(head) + 2]).astype(np.int16)
     share = np.concatenate([np.zeros(len(head)), np.log(times / sums[ending])]).astype(np.float32)
-    model = replace(model, words=hashes[order], ids=ids[order], share=share[order])
-    shared = docs.sparkSession.sparkContext.broadcast(model.words)
+    tokens = np.concatenate([[total - often.sum() - sums.sum(), 0], often, sums])
+    model, noise = initial(np.concatenate([head, word]).view(np.uint64), ids, share, tokens, Spelling(np.zeros(0, np.int64), np.zeros(0)), dim, seed)
+    discard(counts)
+    return model, noise, total
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def gathered(docs: DataFrame, model: LogBilinear, chunks: int) -> DataFrame:
+    """chunk, codes, n: a row for the distinct (c1, c2, t) of each chunk from 0 on, and rows of negative numbers for the trigrams of rare words."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
         for b in batches:
-            found = []
+            chunk_of, spelled = b.column("chunk").to_numpy(), []
             for p in pieces(b.column("text")):
                 w = words(p)
-                rare = lookup(shared.value, w.hashes) < 0
-                found.append(trigrams(p, w.starts[rare], w.ends[rare])[0])
-            codes, m = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(m)], ["code", "n"])
-
-    spelled = arrow_map(docs.select("text"), run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most 257^3
-    return replace(model, spelling=Spelling(spelled.column("code").to_numpy(), spelled.column("n").to_numpy())), noise
-
-
-def train(docs: DataFrame, vocabulary: int | None = None, rounds: int = ROUNDS, dim: int = DIM, seed: int = 0) -> LogBilinear:
-    counts = materialize(word_counts(docs), "words")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    if vocabulary is None:
-        model, noise = opened(docs, counts, total, dim, seed)
-    else:
-        top = counts.orderBy(F.desc("n"), "word").limit(vocabulary - 2).toPandas()
-        model, noise = initial(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total, dim, seed)
+                at = lookup(own.words, w.hashes)
+                rare = at < 0
+                spelled.append(trigrams(p, w.starts[rare], w.ends[rare])[0])
+                chunk = np.repeat(chunk_of[p.lo : p.hi], np.diff(w.at))
+                order = np.argsort(chunk, kind="stable")
+                codes = own.code(*own.units(w, at))[order]
+                found, first = np.unique(chunk[order], return_index=True)
+                offsets = pa.array(np.append(first, len(codes)).astype(np.int32))
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(found) + 1, np.int32)), pa.array([], pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.ListArray.from_arrays(offsets, pa.array(codes)), none], ["chunk", "codes", "n"])
+            codes, m = np.unique(np.concatenate(spelled) if spelled else np.zeros(0, np.int64), return_counts=True)
+            if len(codes):
+                ends = pa.array(np.array([0, len(codes)], np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - chunk_of[:1]), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(m.astype(np.int32)))], ["chunk", "codes", "n"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        codes = np.concatenate([c.flatten().to_numpy() for c in t["codes"].chunks])
+        if (chunk := t["chunk"][0].as_py()) >= 0:
+            codes, n = np.unique(codes, return_counts=True)
+        else:
+            codes, at = np.unique(codes, return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([c.flatten().to_numpy() for c in t["n"].chunks])).astype(np.int64)
+        ends = pa.array(np.array([0, len(codes)], np.int32))
+        return pa.Table.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(ends, pa.array(codes)), pa.ListArray.from_arrays(ends, pa.array(n))], ["chunk", "codes", "n"])
+
+    rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    coded = arrow_map(rows, code, "chunk long, codes array<int>, n array<int>")
+    return materialize(coded.groupBy("chunk").applyInArrow(merge, "chunk long, codes array<int>, n array<long>"), "coded")
+
+
+def averaged(copies: DataFrame, name: str) -> np.ndarray:
+    """The mean of vectors (chunk, n, x BINARY of float64), weighted by n: ``TOGETHER`` at a time, in order of chunks, until so few are left."""
+
+    def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
+        n = t["n"].to_numpy().astype(np.float64)
+        x = sum(w * np.frombuffer(v.as_py(), np.float64) for w, v in zip(n, t["x"], strict=True)) / n.sum()
+        return pa.table({"chunk": [t["chunk"][0].as_py() // TOGETHER], "n": [int(n.sum())], "x": pa.array([x.tobytes()], pa.binary())})
+
+    copies = materialize(copies, name)
+    while copies.count() > TOGETHER:
+        copies = materialize(copies.groupBy(F.floor(F.col("chunk") / TOGETHER)).applyInArrow(mean, "chunk long, n long, x binary"), name, copies)
+    last = copies.toArrow()
+    discard(copies)
+    return np.frombuffer(mean(last)["x"][0].as_py(), np.float64)
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS, dim: int = DIM, seed: int = 0, chunk: int = CHUNK) -> LogBilinear:
+    model, noise, total = untrained(docs, dim, seed)
+    if not total:
+        return model
+    ship(docs.sparkSession)
+    data = gathered(docs, model, max(1, round(total / chunk)))
+    spelled = data.where("chunk < 0").select(F.explode(F.arrays_zip("codes", "n")).alias("x")).groupBy(F.col("x.codes").alias("code")).agg(F.sum("x.n").alias("n")).toArrow()  # at most 257^3
+    model = replace(model, spelling=Spelling(spelled.column("code").to_numpy().astype(np.int64), spelled.column("n").to_numpy()))
     sc = docs.sparkSession.sparkContext
-    for k in range(rounds if total else 0):
-        shared = sc.broadcast((model, noise))
+    for k in range(rounds):
+        shared = sc.broadcast((replace(model, words=np.zeros(0, np.uint64), ids=np.zeros(0, np.int16), share=np.zeros(0)), noise))
 
         def run(batches: Iterator[pa.RecordBatch], k: int = k, shared: Any = shared) -> Iterator[pa.RecordBatch]:
             own, noise_ = shared.value
-            codes = [own.code(t, c2, c1) for b in batches for _, _, t, c2, c1, _ in own.tokens(b.column("text"))]
-            n = sum(map(len, codes))
-            if n:
-                trainer = Trainer(own, noise_, seed + k, RATE / (1 + 2 * k))
-                trainer.run(np.concatenate(codes))
-                flat = trainer.flat()
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat), pa.array(np.full(len(flat), n))], ["at", "x", "n"])
-
-        copies = arrow_map(docs.select("text"), run, "at int, x float, n long")
-        mean = copies.groupBy("at").agg((F.sum(F.col("x").cast("double") * F.col("n")) / F.sum("n")).alias("x")).toPandas()
-        flat = np.zeros(len(model.flat()))
-        flat[mean["at"].to_numpy()] = mean["x"].to_numpy()
-        model = model.replaced(flat)
+            for b in batches:
+                for at, codes, n in zip(b.column("chunk").to_pylist(), b.column("codes"), b.column("n"), strict=True):
+                    trainer = Trainer(own, noise_, [seed, k, at], RATE / (1 + 2 * k))
+                    trainer.run(codes.values.to_numpy(), times := n.values.to_numpy())
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([int(times.sum())]), pa.array([trainer.flat().astype(np.float64).tobytes()], pa.binary())], ["chunk", "n", "x"])
+
+        model = model.replaced(averaged(arrow_map(data.where("chunk >= 0"), run, "chunk long, n long, x binary"), "copies"))
+    discard(data)
     return model
 
 
@@ -300,8 +342,11 @@ def score(docs: DataFrame, model: LogBilinear, per_token: bool = False) -> DataF
             _tables[key] = own.tables()
         a, b_, z = _tables[key]
         for b in batches:
-            for lo, n, t, c2, c1, within in own.tokens(b.column("text"), within=True):
-                lp = (a[c1, t] + b_[c2, t] - z[c1, c2]).astype(np.float64) + within
+            for p in pieces(b.column("text")):
+                w = words(p)
+                known = lookup(own.words, w.hashes)
+                lo, n, (t, c2, c1) = p.lo, np.diff(w.at), own.units(w, known)
+                lp = (a[c1, t] + b_[c2, t] - z[c1, c2]).astype(np.float64) + own.within(p, w, known)
                 sums = np.concatenate([[0.0], np.cumsum(lp)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 total = sums[at[1:]] - sums[at[:-1]]

@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", spread=True)
-    return lm.score(docs, lm.train(docs))
+    return lm.score(docs, lm.train(docs), per_token=True)
 
 
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
