@@ -6,10 +6,12 @@ piece is then replaced by the two unpacked pieces that fit the gap plus that pie
 (of equal pairs, the one with the longer first piece). The piece taken out goes back to the unpacked ones. Among pieces of equal length the
 smallest (doc_id, start) goes first.
 
-Packing runs in shards of about ``SHARD`` pieces, by a hash of doc_id: no shard grows with the input, only their number.
+Packing runs in shards of about ``SHARD`` documents, by a hash of doc_id; a shard that comes out at over twice that (one id on very many rows)
+is packed in parts of twice ``SHARD``, in the order of ids and lengths. So no shard grows with the input, only their number.
 
 Defined cases: a document without words (NULL, empty) has no tokens and stands in no bin; a NULL doc_id is packed like any other id (of
-equal pieces it goes first); repeated rows are separate documents; extra columns are ignored; an empty table gives no bins.
+equal pieces it goes first), and ids next to it keep all their digits; repeated rows are separate documents; extra columns are ignored; an empty
+table gives no bins. Shards are numbered from 0 with gaps, bins within a shard.
 """
 
 from __future__ import annotations
@@ -18,12 +20,11 @@ from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._job import arrow_map
+from ._job import arrow_map, ship
 from ._text import pieces, runs, WORD_BYTE
 
 CAPACITY = 2048
@@ -98,30 +99,34 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataF
     """One row a bin: shard, bin, lists of doc_ids, starts (in words) and lengths in bin order, used and capacity."""
     n = docs.count()
     shards = max(1, -(-n // shard))
-    schema = "shard int, bin long, doc_ids array<long>, starts array<long>, lengths array<long>, used long, capacity long"
+    schema = "shard long, bin long, doc_ids array<long>, starts array<long>, lengths array<long>, used long, capacity long"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        null = pdf["doc_id"].isna().to_numpy()
-        ids = pdf["doc_id"].fillna(0).to_numpy(np.int64)
-        n = pdf["n_tokens"].to_numpy(np.int64)
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        column = t["doc_id"].combine_chunks() if t.num_rows else pa.array([], pa.int64())
+        null = ~column.is_valid().to_numpy(zero_copy_only=False)
+        ids, n = column.fill_null(0).to_numpy(zero_copy_only=False), t["n_tokens"].to_numpy()
         order = np.lexsort((n, ids, ~null))
         null, ids, n = null[order], ids[order], n[order]
         full, rest = n // capacity, n % capacity
-        ids_ = [None if z else i for z, i in zip(null.tolist(), ids.tolist(), strict=True)]
-        rows = [([ids_[i]], [k * capacity], [capacity]) for i in np.flatnonzero(full) for k in range(int(full[i]))]
+        # pieces of all bins in bin order: the row that each comes from, and where in it the piece starts
+        whole = np.repeat(np.arange(len(n)), full)
+        begun = (np.arange(len(whole)) - np.repeat(np.cumsum(full) - full, full)) * capacity
         left = np.flatnonzero(rest)
-        begin = (full * capacity).tolist()
-        size = rest.tolist()
-        for items in best_two_fit(rest[left], capacity):
-            docs_ = left[items].tolist()
-            rows.append(([ids_[i] for i in docs_], [begin[i] for i in docs_], [size[i] for i in docs_]))
-        return pd.DataFrame(
-            {
-                "shard": np.full(len(rows), int(pdf["shard"].iloc[0]), np.int32), "bin": np.arange(len(rows)),
-                "doc_ids": pd.Series([r[0] for r in rows], dtype=object), "starts": pd.Series([r[1] for r in rows], dtype=object), "lengths": pd.Series([r[2] for r in rows], dtype=object),
-                "used": np.array([sum(r[2]) for r in rows], np.int64), "capacity": np.full(len(rows), capacity, np.int64),
-            }
-        )
-
-    sized = lengths(docs).where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
-    return sized.groupBy("shard").applyInPandas(run, schema)
+        bins = best_two_fit(rest[left], capacity)
+        packed = left[np.array([i for b in bins for i in b], np.int64)]
+        at, start = np.concatenate([whole, packed]), np.concatenate([begun, full[packed] * capacity])
+        length = np.concatenate([np.full(len(whole), capacity), rest[packed]])
+        offsets = np.concatenate([np.arange(len(whole) + 1), len(whole) + np.cumsum([len(b) for b in bins])]).astype(np.int32)
+        used = np.add.reduceat(length, offsets[:-1]) if len(length) else length
+        lists = [pa.ListArray.from_arrays(pa.array(offsets), x) for x in (pa.array(ids[at], mask=null[at]), pa.array(start), pa.array(length))]
+        bins_n = len(offsets) - 1
+        fixed = [pa.array(np.full(bins_n, t["shard"][0].as_py() if t.num_rows else 0)), pa.array(np.arange(bins_n))]
+        return pa.Table.from_arrays([*fixed, *lists, pa.array(used), pa.array(np.full(bins_n, capacity))], ["shard", "bin", "doc_ids", "starts", "lengths", "used", "capacity"])
+
+    hashed = lengths(docs).where("n_tokens > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    # parts of a shard are cut by a window over ids and lengths: where shards are even, all are part 0
+    nth = F.row_number().over(Window.partitionBy("shard").orderBy("doc_id", "n_tokens")) - 1
+    sized = hashed.withColumn("part", F.floor(nth / (2 * shard)).cast("long")).withColumn("shard", F.col("shard") + F.col("part") * shards)
+    ship(docs.sparkSession)
+    return sized.select("doc_id", "n_tokens", "shard").groupBy("shard").applyInArrow(run, schema)
