@@ -10,7 +10,7 @@ candidates. The others are non-essential: they are probed only for candidates th
 
 Every row of ``queries`` is a query. Queries go in blocks of at most ``BLOCK`` rows, so what is broadcast stays bounded.
 
-Defined cases: a document needs one common word to be a result; ties go to the smaller doc_id; a NULL or empty query has no results; NULL
+Defined cases: a document needs one common word to be a result, and one is enough, even of impact 0; ties go to the smaller doc_id; a NULL or empty query has no results; NULL
 or empty documents count in N but match nothing; documents of NULL doc_id likewise; rows that repeat a doc_id or an item_id are separate and
 all appear; extra columns are ignored; an empty corpus gives no results.
 """
@@ -52,35 +52,44 @@ def _postings(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, length long, terms array<int>, tf array<int>")
 
 
-def maxscore(query: list[tuple[int, int]], ptr: np.ndarray, docs: np.ndarray, impacts: np.ndarray, bounds: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best documents of a shard for a query [(term, times)]: numbers and scores, best first. Postings of term t: ``ptr[t]:ptr[t+1]``, by document."""
-    terms = sorted((t for t in query if bounds[t[0]] > 0), key=lambda t: -bounds[t[0]] * t[1])
+def maxscore(query: list[tuple[int, int]], ptr: np.ndarray, docs: np.ndarray, impacts: np.ndarray, bounds: np.ndarray, ids: np.ndarray, k: int, scratch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best documents of a shard for a query [(term, times)]: numbers and scores, best first. Postings of term t: ``ptr[t]:ptr[t+1]``, by document. ``scratch``: zeros, one a document, left as zeros."""
+    terms = sorted((t for t in query if ptr[t[0] + 1] > ptr[t[0]]), key=lambda t: -bounds[t[0]] * t[1])
     left = np.cumsum([bounds[t] * n for t, n in terms][::-1])[::-1] if terms else np.zeros(0, np.int64)
-    score = np.zeros(len(ids), np.int64)
-    least, i = 0, 0  # the k-th best score so far: a lower bound of the final one
-    while i < len(terms) and (least == 0 or left[i] >= least):
+    # scores of documents met: one more than their sum of impacts, so that one of zero impact counts as met
+    score = np.zeros(len(ids), np.int64) if scratch is None else scratch
+    met: list[np.ndarray] = []
+    least, i = -1, 0  # the k-th best score so far: a lower bound of the final one
+    while i < len(terms) and (least < 0 or left[i] >= least):
         t, n = terms[i]
         at = slice(ptr[t], ptr[t + 1])
-        score[docs[at]] += impacts[at] * n
+        own = docs[at]
+        fresh = own[score[own] == 0]
+        score[fresh] = 1
+        met.append(fresh)
+        score[own] += impacts[at] * n
         i += 1
         if i < len(terms):
-            some = score[score > 0]
+            some = np.concatenate([score[m] for m in met])
             if len(some) >= k:
-                least = int(np.partition(some, len(some) - k)[len(some) - k])
-    candidates = np.flatnonzero(score)
+                least = int(np.partition(some, len(some) - k)[len(some) - k]) - 1
+    candidates = np.sort(np.concatenate(met)) if met else np.zeros(0, np.int64)
+    touched = candidates
     while i < len(terms) and len(candidates):
-        candidates = candidates[score[candidates] + left[i] >= least]
+        candidates = candidates[score[candidates] - 1 + left[i] >= least]
         t, n = terms[i]
         own = docs[ptr[t] : ptr[t + 1]]
-        at = np.minimum(np.searchsorted(own, candidates), max(len(own) - 1, 0))
+        at = np.minimum(np.searchsorted(own, candidates), len(own) - 1)
         hit = own[at] == candidates
         score[candidates[hit]] += impacts[ptr[t] + at[hit]] * n
         i += 1
         if len(candidates) >= k:
             s = score[candidates]
-            least = max(least, int(np.partition(s, len(s) - k)[len(s) - k]))
+            least = max(least, int(np.partition(s, len(s) - k)[len(s) - k]) - 1)
     order = np.lexsort((ids[candidates], -score[candidates]))[:k]
-    return candidates[order], score[candidates][order]
+    best = candidates[order], score[candidates][order] - 1
+    score[touched] = 0
+    return best
 
 
 def _block(docs: DataFrame, first: int, queries: list[tuple[int | None, str]], k: int) -> DataFrame:
@@ -125,9 +134,10 @@ def _block(docs: DataFrame, first: int, queries: list[tuple[int | None, str]], k
                 ptr = np.searchsorted(term, np.arange(len(terms) + 1))
                 bounds = np.zeros(len(terms), np.int64)
                 np.maximum.at(bounds, term, impact)
+                scratch = np.zeros(len(ids), np.int64)
                 out: list[list] = [[], [], [], []]
                 for (number, item), query in coded:
-                    at, s = maxscore(query, ptr, owner, impact, bounds, ids, k)
+                    at, s = maxscore(query, ptr, owner, impact, bounds, ids, k, scratch)
                     out[0] += [number] * len(at)
                     out[1] += [item] * len(at)
                     out[2] += ids[at].tolist()
