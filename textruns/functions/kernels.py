@@ -1,24 +1,26 @@
-"""Array kernels over one text, or over a batch of texts: suffix arrays, runs, sampling, and set-at-a-time search."""
+"""Array kernels over a batch of texts: suffix arrays, runs, marks and samples, and their sub-sampling.
+
+The texts of a batch lie end to end, each with its sentinel: text t has rows and positions ``base[t]`` to ``base[t + 1] - 1``.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 
 
-def suffix_arrays(bodies: list[bytes]) -> list[np.ndarray]:
-    """Suffix array of each text with its sentinel, by prefix doubling over all texts at once; settled suffixes drop out."""
+def sorted_suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``base``, and the suffix arrays of all texts end to end, by prefix doubling over all of them at once; settled suffixes drop out."""
     lengths = np.array([len(b) + 1 for b in bodies], np.int64)
     total = int(lengths.sum())
+    base = np.concatenate([[0], np.cumsum(lengths)])
     if not total:
-        return []
+        return base, np.zeros(0, np.int64)
     data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64)
-    ends = np.cumsum(lengths)
     key = data + 1
-    key[ends - 1] = 0
+    key[base[1:] - 1] = 0
     key += np.repeat(np.arange(len(bodies)), lengths) * 257
     order = np.argsort(key, kind="stable")
     rank = np.empty(total, np.int64)
@@ -40,62 +42,86 @@ def suffix_arrays(bodies: list[bytes]) -> list[np.ndarray]:
         by = np.argsort(keys, kind="stable")
         order[slots] = open_[by]
         keys = keys[by]
-    begins = ends - lengths
-    return [order[a:b] - a for a, b in zip(begins, ends, strict=True)]
+    return base, order
 
 
-def greedy_sample(values: np.ndarray, order: np.ndarray, s: int, required: np.ndarray | tuple[int, ...] = ()) -> np.ndarray:
-    """Indices kept of ``values`` walked in ``order`` (rising or falling): the first, the last, the required ones, and as few others as leave no kept gap over ``s`` where values allow.
+def suffix_arrays(bodies: list[bytes]) -> list[np.ndarray]:
+    """Suffix array of each text with its sentinel."""
+    base, order = sorted_suffixes(bodies)
+    return [order[a:b] - a for a, b in zip(base[:-1], base[1:], strict=True)]
 
-    From a kept value the walk jumps to the last one within ``s``, or to the next one if that is farther, but not past a required one.
+
+def _greedy(at: np.ndarray, end: np.ndarray, heads: np.ndarray, stops: np.ndarray, s: int) -> np.ndarray:
+    """Indices kept of ascending ``at``: of each head, and from a kept one the last within ``s``, or the next if that is farther, but never past the next of ``stops``.
+
+    ``end`` is the last index of each one's text; ``stops`` ascend and hold the last index of every text.
     """
+    reach = np.minimum(np.searchsorted(at, at + s, side="right") - 1, end)
+    index = np.arange(len(at))
+    jump = np.minimum(np.maximum(reach, index + 1), stops[np.minimum(np.searchsorted(stops, index, side="right"), len(stops) - 1)]).tolist()
+    kept: list[int] = []
+    for k, last in zip(heads.tolist(), end[heads].tolist(), strict=True):
+        kept.append(k)
+        while k < last:
+            kept.append(k := jump[k])
+    return np.array(kept, np.int64)
+
+
+def greedy_sample(values: np.ndarray, order: np.ndarray, s: int, required: np.ndarray | tuple[int, ...] = ()) -> np.ndarray:
+    """Indices kept of ``values`` walked in ``order`` (rising or falling): the first, the last, the required ones, and as few others as leave no kept gap over ``s`` where values allow."""
     walk = np.asarray(order)
     if not len(walk):
         return np.zeros(0, np.int64)
     at = np.asarray(values)[walk]
-    rising = (at if at[-1] >= at[0] else -at).tolist()
-    stops = sorted(np.concatenate([np.flatnonzero(walk == x) for x in required]).tolist()) if len(required) else []
-    kept = [0]
-    for stop in [*stops, len(rising) - 1]:
-        while kept[-1] < stop:
-            p = kept[-1]
-            kept.append(min(max(p + 1, bisect_right(rising, rising[p] + s, p + 1) - 1), stop))
-    return walk[kept].astype(np.int64)
+    last = len(walk) - 1
+    stops = np.unique([*(np.flatnonzero(walk == x)[0] for x in required), last])
+    return walk[_greedy(at if at[-1] >= at[0] else -at, np.full(len(walk), last), np.zeros(1, np.int64), stops, s)].astype(np.int64)
 
 
 @dataclass
 class Runs:
-    """The equal-letter runs of one text's BWT, in BWT order; symbols are bytes, the sentinel is -1."""
+    """The equal-letter runs of the BWTs of a batch, by text and row; symbols are bytes, the sentinel is -1; rows and positions are the batch's."""
 
-    n: int
+    base: np.ndarray
+    text: np.ndarray
     sym: np.ndarray
     start: np.ndarray
     head_tpos: np.ndarray
     tail_tpos: np.ndarray
 
     @classmethod
-    def of(cls, body: bytes, sa: np.ndarray) -> Runs:
+    def of(cls, bodies: list[bytes], base: np.ndarray, sa: np.ndarray) -> Runs:
         n = len(sa)
-        text = np.append(np.frombuffer(body, np.uint8).astype(np.int64), -1)
-        tpos = (sa - 1) % n
-        bwt = text[tpos]
+        ends = base[1:] - 1
+        data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64) if bodies else np.zeros(0, np.int64)
+        data[ends] = -1
+        before = np.arange(-1, n - 1)
+        before[base[:-1]] = ends
+        tpos = before[sa]
+        bwt = data[tpos]
         first = np.ones(n, bool)
         first[1:] = bwt[1:] != bwt[:-1]
+        first[base[:-1]] = True
         start = np.flatnonzero(first)
-        return cls(n, bwt[start], start, tpos[start], tpos[np.append(start[1:], n) - 1])
+        return cls(base, np.searchsorted(base, start, side="right") - 1, bwt[start], start, tpos[start], tpos[np.append(start[1:], n) - 1] if n else tpos)
 
     @property
     def r(self) -> int:
         return len(self.start)
 
     @cached_property
-    def end(self) -> np.ndarray:
-        return np.append(self.start[1:], self.n)
+    def first(self) -> np.ndarray:
+        """The first run of each text, and their number."""
+        return np.searchsorted(self.text, np.arange(len(self.base)), side="left")
+
+    @cached_property
+    def size(self) -> np.ndarray:
+        return np.diff(np.append(self.start, self.base[-1]))
 
     @cached_property
     def by_symbol(self) -> np.ndarray:
-        """Runs in Psi order: by symbol, then position."""
-        return np.lexsort((self.start, self.sym))
+        """Runs in Psi order: by text, symbol, row."""
+        return np.lexsort((self.start, self.sym, self.text))
 
     @cached_property
     def symbol_rank(self) -> np.ndarray:
@@ -104,55 +130,70 @@ class Runs:
         out[self.by_symbol] = np.arange(self.r)
         return out
 
-    @cached_property
-    def f_start(self) -> np.ndarray:
-        """Where each run of Psi order begins in the first column."""
-        size = (self.end - self.start)[self.by_symbol]
-        return np.cumsum(size) - size
 
-    @cached_property
-    def _keys(self) -> np.ndarray:
-        return (self.sym[self.by_symbol] + 1) * (self.n + 1) + self.start[self.by_symbol]
-
-    def lf_bound(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """C[c] + rank_c(i): first-column position of the first c at or after BWT position i."""
-        j = np.searchsorted(self._keys, (symbol + 1) * (self.n + 1) + i, side="left") - 1
-        k = self.by_symbol[j]
-        same = (j >= 0) & (self.sym[k] == symbol)
-        inside = np.minimum(i - self.start[k], self.end[k] - self.start[k])
-        first = np.searchsorted(self.sym[self.by_symbol], symbol, side="left")
-        base = np.append(self.f_start, self.n)[first]
-        return np.where(same, self.f_start[j] + inside, base)
-
-    def run_of(self, i: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.start, i, side="right") - 1
-
-    def lf(self, i: np.ndarray) -> np.ndarray:
-        k = self.run_of(i)
-        return self.f_start[self.symbol_rank[k]] + (i - self.start[k])
-
-    def psi(self, i: np.ndarray) -> np.ndarray:
-        j = np.searchsorted(self.f_start, i, side="right") - 1
-        return self.start[self.by_symbol[j]] + (i - self.f_start[j])
-
-    def search(self, patterns: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Half-open suffix-array range of every pattern at once; (0, 0) where it does not occur or is empty."""
-        m = np.array([len(p) for p in patterns], np.int64)
-        lo, hi = np.zeros(len(m), np.int64), np.where(m > 0, self.n, 0)
-        for step in range(int(m.max(initial=0))):
-            live = np.flatnonzero((step < m) & (lo < hi))
-            if not len(live):
-                break
-            c = np.array([patterns[i][len(patterns[i]) - 1 - step] for i in live], np.int64)
-            lo[live], hi[live] = self.lf_bound(c, lo[live]), self.lf_bound(c, hi[live])
-        none = lo >= hi
-        lo[none] = hi[none] = 0
-        return lo, hi
+@dataclass
+class Samples:
+    """Marks and the samples that they lead to, for one direction; of the kept ones only, where sub-sampled.
+
+    ``mark`` ascends. ``sample[k]`` belongs to ``mark[k]`` and is the end of run ``run[k]``. ``kept`` tells for each run, by row, whether its sample is
+    stored. ``valid`` and ``area`` tell how far from a mark its sample may be trusted. ``first`` is the first mark of each text, and their number.
+    """
+
+    mark: np.ndarray
+    sample: np.ndarray
+    run: np.ndarray
+    kept: np.ndarray
+    valid: np.ndarray
+    area: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, runs: Runs, backward: bool, s: int = 1) -> Samples:
+        r, first = runs.r, runs.first
+        # the neighbour of each run within its text, circular: by row the one before, in Psi order the one after
+        shifted = np.arange(r) + (-1 if backward else 1)
+        some = np.flatnonzero(np.diff(first))
+        if backward:
+            shifted[first[some]] = first[some + 1] - 1
+            order, value, mark_of = np.arange(r), runs.tail_tpos, runs.head_tpos
+        else:
+            shifted[first[some + 1] - 1] = first[some]
+            order, value, mark_of = runs.by_symbol, runs.head_tpos, runs.tail_tpos[runs.by_symbol]
+        by_mark = np.argsort(mark_of, kind="stable")
+        mark, sample_run = mark_of[by_mark], order[shifted[by_mark]]
+        kept = np.ones(r, bool)
+        if s > 1 and r:
+            kept[:] = False
+            # each text's values ascend in the walk: positions, or positions counted from the text's end
+            t = runs.text
+            at = value if backward else runs.base[t] + runs.base[t + 1] - 1 - value
+            walk = np.argsort(at, kind="stable")
+            place = np.empty(r, np.int64)
+            place[walk] = np.arange(r)
+            last = first[some + 1] - 1
+            must = np.concatenate([sample_run[first[some]], sample_run[last]])
+            kept[walk[_greedy(at[walk], (first[1:] - 1)[t], first[some], np.unique(np.concatenate([place[must], last])), s)]] = True
+        stays = kept[sample_run]
+        sub, full = mark[stays], np.flatnonzero(stays)
+        text = np.searchsorted(runs.base, sub, side="right") - 1
+        # a mark is trusted if no mark that was left out follows (backward) or precedes (forward) it before the next kept one
+        next_full = full + (1 if backward else -1)
+        outside = next_full >= first[text + 1] if backward else next_full < first[text]
+        neighbour = mark[np.clip(next_full, 0, max(r - 1, 0))]
+        kept_next = np.append(sub[1:], -1) if backward else np.append(-1, sub[:-1])
+        ok = outside | (neighbour == kept_next)
+        area = np.where(ok, np.iinfo(np.int64).max, np.abs(neighbour - sub))
+        return cls(sub, value[sample_run[stays]], sample_run[stays], kept, ok, area, np.searchsorted(text, np.arange(len(runs.base)), side="left"))
 
 
 @dataclass(frozen=True)
 class Strategy:
-    """How occurrences are enumerated: from the range's end by predecessors (backward) or from its start by successors."""
+    """How occurrences are enumerated, and from which structures.
+
+    From a range's last row by predecessors (``backward``) or from its first by successors; with all run ends sampled or some (``sampled``), trusting
+    marks (``valid_mark``) and areas around them (``valid_area``). Samples are looked up by place among the runs by row, or, of forward sub-samples, by
+    the row itself; with ``psi_order`` by symbol and place among the symbol's runs. ``psi_runs`` says that navigation, too, reads runs in that order.
+    """
 
     name: str
     backward: bool = True
@@ -161,6 +202,7 @@ class Strategy:
     valid_area: bool = False
     slice: bool = False
     psi_order: bool = False
+    psi_runs: bool = False
 
 
 STRATEGIES: dict[str, Strategy] = {
@@ -178,119 +220,9 @@ STRATEGIES: dict[str, Strategy] = {
         Strategy("heads_slim_sampled", backward=False, sampled=True, psi_order=True),
         Strategy("heads_slim_sampled_marks", backward=False, sampled=True, valid_mark=True, psi_order=True),
         Strategy("heads_slim_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
-        Strategy("heads_psi", backward=False, psi_order=True),
-        Strategy("heads_psi_sampled", backward=False, sampled=True, psi_order=True),
-        Strategy("heads_psi_sampled_marks", backward=False, sampled=True, valid_mark=True, psi_order=True),
-        Strategy("heads_psi_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True),
+        Strategy("heads_psi", backward=False, psi_order=True, psi_runs=True),
+        Strategy("heads_psi_sampled", backward=False, sampled=True, psi_order=True, psi_runs=True),
+        Strategy("heads_psi_sampled_marks", backward=False, sampled=True, valid_mark=True, psi_order=True, psi_runs=True),
+        Strategy("heads_psi_sampled_areas", backward=False, sampled=True, valid_mark=True, valid_area=True, psi_order=True, psi_runs=True),
     )
 }
-
-
-@dataclass
-class Samples:
-    """Marks and the samples that they lead to, for one direction; of the kept ones only, where sub-sampled.
-
-    ``mark`` ascends. ``sample[k]`` belongs to ``mark[k]``. ``kept`` tells for each run, in BWT order, whether its sample is stored. ``valid`` and
-    ``area`` tell how far from a mark its sample may be trusted.
-    """
-
-    mark: np.ndarray
-    sample: np.ndarray
-    kept: np.ndarray
-    valid: np.ndarray
-    area: np.ndarray
-
-    @classmethod
-    def of(cls, runs: Runs, backward: bool, s: int = 1) -> Samples:
-        r = runs.r
-        order = np.arange(r) if backward else runs.by_symbol
-        if backward:  # the sample of a run's head is the tail before it
-            mark_of, sample_run = runs.head_tpos, np.roll(order, 1)
-            value = runs.tail_tpos
-        else:  # the sample of a run's tail is the head after it, in Psi order
-            mark_of, sample_run = runs.tail_tpos[order], np.roll(order, -1)
-            value = runs.head_tpos
-        by_mark = np.argsort(mark_of, kind="stable")
-        mark, sample_run = mark_of[by_mark], sample_run[by_mark]
-        kept = np.ones(r, bool)
-        if s > 1:
-            walk = np.argsort(value, kind="stable")
-            required = (sample_run[0], sample_run[-1])
-            kept[:] = False
-            kept[greedy_sample(value, walk if backward else walk[::-1], s, required)] = True
-        stays = kept[sample_run]
-        sub = mark[stays]
-        # a mark is trusted if no mark that was left out follows (backward) or precedes (forward) it before the next kept one
-        if backward:
-            after = np.searchsorted(mark, sub, side="right")
-            nxt = mark[np.minimum(after, r - 1)]
-            ok = (after >= r) | (nxt == np.append(sub[1:], -1))
-            area = np.where(ok, np.iinfo(np.int64).max, nxt - sub)
-        else:
-            before = np.searchsorted(mark, sub, side="left") - 1
-            prev = mark[np.maximum(before, 0)]
-            ok = (before < 0) | (prev == np.append(-1, sub[:-1]))
-            area = np.where(ok, np.iinfo(np.int64).max, sub - prev)
-        return cls(sub, value[sample_run[stays]], kept, ok, area)
-
-    def phi(self, n: int, value: np.ndarray, backward: bool, by_area: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Neighbouring suffix-array entry of each value (the one before, or after), and whether it can be trusted."""
-        if backward:
-            at = np.searchsorted(self.mark, value, side="left") - 1
-            wrap = at < 0
-            at[wrap] = len(self.mark) - 1
-            delta = np.where(wrap, value + n - self.mark[at], value - self.mark[at])
-            out = (self.sample[at] + delta) % n
-        else:
-            at = np.searchsorted(self.mark, value, side="left")
-            wrap = at == len(self.mark)
-            at[wrap] = 0
-            delta = np.where(wrap, self.mark[at] + n - value, self.mark[at] - value)
-            out = (self.sample[at] - delta) % n
-        return out, self.valid[at] | (by_area & (delta < self.area[at]))
-
-
-def walk_to_sample(runs: Runs, samples: Samples, rows: np.ndarray, backward: bool, most: int) -> np.ndarray:
-    """Suffix-array value of each row, found by at most ``most`` steps of LF (backward) or Psi to a stored sample; -1 if none is met."""
-    found = np.full(len(rows), -1, np.int64)
-    open_, at = np.arange(len(rows)), rows.copy()
-    for level in range(most + 1):
-        if not len(open_):
-            break
-        if backward:
-            k = runs.run_of(at)
-            hit = (at == runs.end[k] - 1) & samples.kept[k]
-            found[open_[hit]] = (runs.tail_tpos[k[hit]] + 1 + level) % runs.n
-            following = runs.lf(at)
-        else:
-            following = runs.psi(at)
-            k = runs.run_of(following)
-            hit = (following == runs.start[k]) & samples.kept[k]
-            found[open_[hit]] = (runs.head_tpos[k[hit]] - level) % runs.n
-        open_, at = open_[~hit], following[~hit]
-    return found
-
-
-def locate(runs: Runs, samples: Samples, strategy: Strategy, lo: np.ndarray, hi: np.ndarray, s: int) -> list[np.ndarray]:
-    """Occurrences of each range, all ranges at once: a first value by navigation, then neighbour by neighbour."""
-    size = hi - lo
-    offset = np.concatenate([[0], np.cumsum(size)])
-    out = np.full(int(offset[-1]), -1, np.int64)
-    live = np.flatnonzero(size)
-    if len(live):
-        row = (hi - 1 if strategy.backward else lo)[live]
-        value = walk_to_sample(runs, samples, row, strategy.backward, runs.n)
-        out[offset[live]] = value
-        for k in range(1, int(size.max())):
-            on = size[live] > k
-            live, value = live[on], value[on]
-            row = (hi[live] - 1 - k) if strategy.backward else (lo[live] + k)
-            following, trusted = samples.phi(runs.n, value, strategy.backward, strategy.valid_area)
-            if strategy.sampled:
-                ask = np.flatnonzero(~trusted if strategy.valid_mark else np.ones(len(live), bool))
-                if len(ask):
-                    walked = walk_to_sample(runs, samples, row[ask], strategy.backward, s)
-                    following[ask] = np.where(walked >= 0, walked, following[ask])
-            value = following
-            out[offset[live] + k] = value
-    return [out[a:b] for a, b in zip(offset[:-1], offset[1:], strict=True)]

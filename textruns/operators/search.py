@@ -7,12 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textruns.functions.kernels import STRATEGIES, Runs, Samples, locate as locate_ranges
+from textruns.functions.forest import Access, Forest, Found, Marks, batches_of, by_row, by_run, first_values, search
+from textruns.functions.forest import locate as resolve
+from textruns.functions.kernels import STRATEGIES, Strategy
 
 #: Patterns that are broadcast at once, at most: rows, and bytes of them.
 BLOCK_ROWS = 50_000
@@ -40,80 +43,197 @@ def _over_blocks(patterns: DataFrame, one: Callable[[list[Pattern]], DataFrame])
     return reduce(DataFrame.union, parts) if parts else one([])
 
 
-def runs_of_row(row: dict) -> Runs:
-    """The runs stored in an index row."""
-    sym = np.frombuffer(row["run_sym"], np.uint8).astype(np.int64)
-    sym[np.frombuffer(row["run_sym"], np.uint8) == 0] = -1
-    return Runs(row["n"], sym, *(np.asarray(row[k], np.int64) for k in ("run_start", "head_tpos", "tail_tpos")))
-
-
-def samples_of_row(row: dict, runs: Runs, backward: bool, sampled: bool) -> Samples:
-    """The samples stored in an index row, or, where a strategy keeps all of them, those that the runs give."""
-    if not sampled:
-        return Samples.of(runs, backward)
-    side = "b" if backward else "f"
-    if not len(row[f"{side}_mark"]):
+def columns_of(how: Strategy) -> list[str]:
+    """The index columns that a strategy reads, beside text_id, n and s."""
+    if how.slice:
+        return ["run_sym", "run_start", "sa"]
+    if how.psi_runs:
+        return ["p_sym", "p_start", "p_size", *(("f_places", "f_heads", "f_mark", "f_link", "f_area") if how.sampled else ("p_head", "p_tail"))]
+    runs = ["run_sym", "run_start"]
+    if not how.sampled:
+        return [*runs, "head_tpos", "tail_tpos"]
+    if how.backward:
+        return [*runs, "b_kept", "tail_tpos", "b_mark", "b_sample", "b_area"]
+    return [*runs, *(("f_places", "f_heads", "f_mark", "f_link", "f_area") if how.psi_order else ("f_rows", "f_kept", "head_tpos", "f_mark", "f_sample", "f_area"))]
+
+
+class Rows:
+    """Some index rows as arrays: lists end to end, and their offsets by text."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        self.batch = b
+        self.lengths = b.column("n").to_numpy()
+        self.base = np.concatenate([[0], np.cumsum(self.lengths)])
+
+    def list(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Values and the text of each."""
+        c = self.batch.column(name)
+        offsets = c.offsets.to_numpy()
+        return c.flatten().to_numpy(), np.repeat(np.arange(len(c)), np.diff(offsets))
+
+    def placed(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rows or positions of the batch, and the text of each."""
+        x, text = self.list(name)
+        return x + self.base[text], text
+
+    def symbols(self, name: str) -> np.ndarray:
+        sym = np.frombuffer(b"".join(self.batch.column(name).to_pylist()), np.uint8).astype(np.int64)
+        return np.where(sym == 0, -1, sym)
+
+    @property
+    def rate(self) -> int:
+        return int(self.batch.column("s")[0].as_py())
+
+    def forest(self, psi_runs: bool) -> Forest:
+        """The runs, from those stored by symbol or by row."""
+        if psi_runs:
+            start, text = self.list("p_start")
+            return Forest.of_symbol_order(self.lengths, text, self.symbols("p_sym"), start, self.list("p_size")[0])
+        start, text = self.list("run_start")
+        return Forest.of_bwt_order(self.lengths, text, self.symbols("run_sym"), start)
+
+
+def _first(text: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(text, np.arange(n + 1), side="left")
+
+
+def access_of(rows: Rows, f: Forest, how: Strategy) -> Access:
+    """The samples and marks of a strategy, each by the strategy's own way."""
+    n = len(rows.lengths)
+    runs = _first(f.group // 257, n)
+    trusted = lambda x: np.full(len(x), -1)
+    if how.sampled and not len(rows.list("b_mark" if how.backward else "f_mark")[0]) or how.psi_runs and not how.sampled and not len(rows.list("p_head")[0]):
         raise ValueError("the index was built without samples")
-    kept = np.zeros(runs.r, bool)
-    kept[np.asarray(row[f"{side}_kept"], np.int64)] = True
-    area = np.asarray(row[f"{side}_area"], np.int64)
-    return Samples(np.asarray(row[f"{side}_mark"], np.int64), np.asarray(row[f"{side}_sample"], np.int64), kept, area < 0, np.where(area < 0, np.iinfo(np.int64).max, area))
-
+    if not how.sampled:
+        if how.psi_order:
+            head, text = rows.placed("p_head")
+            mark, after = rows.placed("p_tail")[0], np.arange(1, len(head) + 1)
+            after[runs[1:] - 1] = runs[:-1]
+            by = np.argsort(mark, kind="stable")
+            return Access(by_run(None, np.arange(len(head)), head), Marks(mark[by], head[after][by], trusted(mark), _first(text, n)))
+        (head, text), (tail, _) = rows.placed("head_tpos"), rows.placed("tail_tpos")
+        if how.backward:
+            before = np.arange(-1, len(head) - 1)
+            before[runs[:-1]] = runs[1:] - 1
+            by = np.argsort(head, kind="stable")
+            return Access(by_run(f.place, np.arange(len(tail)), tail), Marks(head[by], tail[before][by], trusted(head), _first(text, n)))
+        # runs by row; their order by symbol is that of the forest
+        after = np.empty(len(head), np.int64)
+        nxt = np.arange(1, len(head) + 1)
+        nxt[runs[1:] - 1] = runs[:-1]
+        after[f.place] = f.place[nxt]
+        by = np.argsort(tail, kind="stable")
+        return Access(by_run(f.place, np.arange(len(head)), head), Marks(tail[by], head[after][by], trusted(tail), _first(text, n)))
+    side = "b" if how.backward else "f"
+    mark, text = rows.placed(f"{side}_mark")
+    area, first = rows.list(f"{side}_area")[0], _first(text, n)
+    if how.psi_order:
+        places, of = rows.list("f_places")
+        heads = rows.placed("f_heads")[0]
+        link = rows.list("f_link")[0] + _first(of, n)[text]
+        return Access(by_run(None, places + runs[of], heads), Marks(mark, heads[link], area, first))
+    marks = Marks(mark, rows.placed(f"{side}_sample")[0], area, first)
+    kept, of = rows.list(f"{side}_kept")
+    ends = rows.placed("tail_tpos" if how.backward else "head_tpos")[0][kept + runs[of]]
+    if how.backward:
+        return Access(by_run(f.place, kept + runs[of], ends), marks)
+    at = rows.placed("f_rows")[0]
+    return Access(by_row(at, ends), marks, at)
+
+
+_FIXED = ["text_id", "n", "s"]
+#: Numbers of text and pattern, and further columns.
+Answer = Iterator[tuple[np.ndarray, np.ndarray, list[Any]]]
+#: Occurrences resolved at once, about; one range is never cut.
+RESOLVE = 1 << 22
+
+
+def _searched(index: DataFrame, patterns: DataFrame, columns: list[str], schema: str, answer: Callable[[Rows, list[bytes]], Answer]) -> DataFrame:
+    """Rows (text_id, pattern_id, ...) of ``answer``: text and pattern numbers and further columns."""
+    names = [x.split()[0] for x in schema.split(", ")]
 
-def _rows(b: pa.RecordBatch) -> Iterator[dict]:
-    names = b.schema.names
-    columns = [b.column(n) for n in names]
-    for i in range(b.num_rows):
-        yield {n: (c[i].values.to_numpy() if pa.types.is_list(c.type) and c[i].is_valid else c[i].as_py()) for n, c in zip(names, columns, strict=True)}
+    def one(block: list[Pattern]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, bodies = pa.array([i for i, _ in block], pa.int64()), [p for _, p in block]
+            for b in batches:
+                rates = b.column("s").to_numpy()
+                for lo, hi in batches_of(b.column("n").to_numpy(), len(bodies), np.flatnonzero(rates[1:] != rates[:-1]) + 1):
+                    rows = Rows(b.slice(lo, hi - lo))
+                    for text, pattern, more in answer(rows, bodies):
+                        yield pa.RecordBatch.from_arrays([rows.batch.column("text_id").take(pa.array(text)), ids.take(pa.array(pattern)), *map(pa.array, more)], names)
 
+        return index.select(*_FIXED, *columns).mapInArrow(run, schema)
 
-_RUNS = ["text_id", "n", "s", "run_sym", "run_start", "head_tpos", "tail_tpos"]
+    return _over_blocks(patterns, one)
 
 
 def count(index: DataFrame, patterns: DataFrame) -> DataFrame:
     """text_id, pattern_id, occ, sa_start, sa_end of every pattern that occurs in a text; positions are not resolved."""
 
-    def one(block: list[Pattern]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, bodies = np.array([i for i, _ in block], dtype=object), [p for _, p in block]
-            for b in batches:
-                for row in _rows(b):
-                    lo, hi = runs_of_row(row).search(bodies)
-                    on = np.flatnonzero(lo < hi)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["text_id"]] * len(on), pa.int64()), pa.array(ids[on].tolist(), pa.int64()), pa.array(hi[on] - lo[on]), pa.array(lo[on]), pa.array(hi[on])], ["text_id", "pattern_id", "occ", "sa_start", "sa_end"])
-
-        return index.select(_RUNS).mapInArrow(run, "text_id long, pattern_id long, occ long, sa_start long, sa_end long")
-
-    return _over_blocks(patterns, one)
+    def answer(rows: Rows, bodies: list[bytes]) -> Answer:
+        f = rows.forest(False)
+        x = search(f, bodies)
+        yield x.text, x.pattern, [x.hi - x.lo, x.lo - f.base[x.text], x.hi - f.base[x.text]]
+
+    return _searched(index, patterns, ["run_sym", "run_start"], "text_id long, pattern_id long, occ long, sa_start long, sa_end long", answer)
+
+
+def _resolved(rows: Rows, how: Strategy, bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Text, pattern and position of occurrences, some ranges at a time."""
+    f = rows.forest(how.psi_runs)
+    whole = search(f, bodies, how.backward)
+    access = None if how.slice or not len(whole.text) else access_of(rows, f, how)
+    ends = np.cumsum(whole.hi - whole.lo)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + RESOLVE, RESOLVE)).clip(0, len(ends)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        x = Found(*(getattr(whole, k)[lo:hi] for k in ("text", "pattern", "lo", "hi", "row", "steps")))
+        if how.slice:
+            sa = rows.list("sa")[0]
+            if len(sa) != f.total:
+                raise ValueError("the index was built without its suffix array")
+            size = x.hi - x.lo
+            owner = np.repeat(np.arange(len(size)), size)
+            pos = sa[np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size) + x.lo[owner]]
+        else:
+            owner, pos = resolve(f, x, access, how, rows.rate)
+            pos = pos - f.base[x.text[owner]]
+        yield x.text[owner], x.pattern[owner], pos
 
 
 def locate(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
     """text_id, pattern_id, pos of every occurrence, overlapping ones too, in no order. All strategies give the same rows."""
     how = STRATEGIES[strategy]
-    side = "b" if how.backward else "f"
-    columns = [*_RUNS, "sa"] if how.slice else [*_RUNS, *(f"{side}_{k}" for k in ("kept", "mark", "sample", "area") if how.sampled)]
 
-    def one(block: list[Pattern]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, bodies = [i for i, _ in block], [p for _, p in block]
-            for b in batches:
-                for row in _rows(b):
-                    runs = runs_of_row(row)
-                    lo, hi = runs.search(bodies)
-                    if how.slice:
-                        if len(row["sa"]) != row["n"]:
-                            raise ValueError("the index was built without its suffix array")
-                        found = [row["sa"][x:y] for x, y in zip(lo, hi, strict=True)]
-                    else:
-                        found = locate_ranges(runs, samples_of_row(row, runs, how.backward, how.sampled), how, lo, hi, row["s"] if how.sampled else 1)
-                    size = [len(x) for x in found]
-                    pos = np.concatenate([np.asarray(x, np.int64) for x in found]) if found else np.zeros(0, np.int64)
-                    pattern = [i for i, k in zip(ids, size, strict=True) for _ in range(k)]
-                    yield pa.RecordBatch.from_arrays([pa.array([row["text_id"]] * len(pos), pa.int64()), pa.array(pattern, pa.int64()), pa.array(pos)], ["text_id", "pattern_id", "pos"])
-
-        return index.select(columns).mapInArrow(run, "text_id long, pattern_id long, pos long")
+    def answer(rows: Rows, bodies: list[bytes]) -> Answer:
+        return ((text, pattern, [pos]) for text, pattern, pos in _resolved(rows, how, bodies))
 
-    return _over_blocks(patterns, one)
+    return _searched(index, patterns, columns_of(how), "text_id long, pattern_id long, pos long", answer)
+
+
+def locate_by_each(index: DataFrame, patterns: DataFrame, strategies: list[str]) -> DataFrame:
+    """text_id, pattern_id, pos, strategy: what each strategy finds, in one pass over the index."""
+    columns = list(dict.fromkeys(c for k in strategies for c in columns_of(STRATEGIES[k])))
+
+    def answer(rows: Rows, bodies: list[bytes]) -> Answer:
+        for k in strategies:
+            for text, pattern, pos in _resolved(rows, STRATEGIES[k], bodies):
+                yield text, pattern, [pos, [k] * len(pos)]
+
+    return _searched(index, patterns, columns, "text_id long, pattern_id long, pos long, strategy string", answer)
+
+
+def first_occurrences(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
+    """text_id, pattern_id, pos: the suffix-array entry at the end of each range (its start, for forward strategies), as backward search carries it."""
+    how = STRATEGIES[strategy]
+
+    def answer(rows: Rows, bodies: list[bytes]) -> Answer:
+        f = rows.forest(how.psi_runs)
+        x = search(f, bodies, how.backward)
+        if len(x.text):
+            value = first_values(f, x, access_of(rows, f, how), how.backward, rows.rate if how.sampled else 0)
+            yield x.text, x.pattern, [value - f.base[x.text]]
+
+    return _searched(index, patterns, columns_of(how), "text_id long, pattern_id long, pos long", answer)
 
 
 def scan_locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
