@@ -1,5 +1,7 @@
 """Relations of a text's index, each a DataFrame with a ``text_id``: from texts to runs, the successor permutation, links and samples.
 
+Rows name their text by ``text_id``, so ids must be distinct and not NULL (``sources.texts.with_distinct_ids`` checks it).
+
 A text of n - 1 bytes has positions 0 to n - 1, the last being the sentinel (symbol 0, before every byte). Positions count bytes. The suffix
 array is built text by text in an Arrow kernel next to the scan, so no text is ever exploded to be sorted; everything after it is a
 window, a join or an aggregate.
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textruns.functions.kernels import Runs, Samples, suffix_arrays
+from textruns.functions.kernels import Runs, Samples, sorted_suffixes
 
 #: Bytes of text whose suffix arrays are built together.
 TOGETHER = 1 << 21
@@ -23,12 +25,12 @@ SUFFIX_SCHEMA = "text_id long, n long, i long, sa long, text_pos long, sym int"
 
 
 def by_size(ids: pa.Array, bodies: pa.Array, most: int = TOGETHER) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Texts of a batch, some at a time; NULL ones are left out, one with an inner NUL byte is an error."""
+    """Texts of a batch, some at a time; NULL bodies are left out, NULL ids are not; a text with an inner NUL byte is an error."""
     some_ids: list[int] = []
     some: list[bytes] = []
     size = 0
     for i, b in zip(ids.to_pylist(), bodies.to_pylist(), strict=True):
-        if b is None or i is None:
+        if b is None:
             continue
         if b"\0" in b:
             raise ValueError(f"text {i} has an inner NUL byte")
@@ -71,20 +73,24 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, bodies in by_size(b.column("text_id"), b.column("body")):
-                for t, body, sa in zip(ids, bodies, suffix_arrays(bodies), strict=True):
-                    n = len(sa)
-                    tpos = (sa - 1) % n
-                    sym = np.append(np.frombuffer(body, np.uint8), 0)[tpos].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t)), pa.array(np.full(n, n)), pa.array(np.arange(n)), pa.array(sa), pa.array(tpos), pa.array(sym)], ["text_id", "n", "i", "sa", "text_pos", "sym"])
+                base, sa = sorted_suffixes(bodies)
+                n = np.diff(base)
+                own = np.repeat(base[:-1], n)
+                before = np.arange(-1, len(sa) - 1)
+                before[base[:-1]] = base[1:] - 1
+                tpos = before[sa]
+                sym = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8)[tpos].astype(np.int32)
+                text_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), n)))
+                yield pa.RecordBatch.from_arrays([text_id, pa.array(np.repeat(n, n)), pa.array(np.arange(len(sa)) - own), pa.array(sa - own), pa.array(tpos - own), pa.array(sym)], ["text_id", "n", "i", "sa", "text_pos", "sym"])
 
     return texts.select("text_id", "body").mapInArrow(run, SUFFIX_SCHEMA)
 
 
-def suffix_array_by_windows(syms: DataFrame, longest: int) -> DataFrame:
-    """text_id, i, sa by prefix doubling with windows alone, for texts of at most ``longest`` symbols: an alternative to the kernel, to check it."""
+def suffix_array_by_windows(syms: DataFrame) -> DataFrame:
+    """text_id, i, sa by prefix doubling with windows alone, as often as the longest text needs: an alternative to the kernel, to check it."""
     by = Window.partitionBy("text_id")
     ranked = syms.select("text_id", "pos", F.dense_rank().over(by.orderBy("sym")).alias("rank"))
-    step = 1
+    longest, step = (syms.agg(F.max("pos")).first()[0] or 0) + 1, 1
     while step < longest:
         ahead = F.coalesce(F.lead("rank", step).over(by.orderBy("pos")), F.lit(0))
         ranked = ranked.withColumn("ahead", ahead).select("text_id", "pos", F.dense_rank().over(by.orderBy("rank", "ahead")).alias("rank"))
@@ -92,6 +98,45 @@ def suffix_array_by_windows(syms: DataFrame, longest: int) -> DataFrame:
     return ranked.select("text_id", (F.col("rank") - 1).cast("long").alias("i"), F.col("pos").alias("sa"))
 
 
+#: Ways to build a suffix array, by name: of texts that a task can hold, by windows, and of texts of any length.
+ALGORITHMS = ("kernel", "windows", "blocks")
+
+
+def suffix_array_by(texts: DataFrame, algorithm: str = "kernel") -> DataFrame:
+    """text_id, i, sa by the named algorithm."""
+    if algorithm == "kernel":
+        return suffix_array(texts).select("text_id", "i", "sa")
+    if algorithm == "windows":
+        return suffix_array_by_windows(symbols(texts))
+    if algorithm == "blocks":
+        return suffix_array_by_blocks(symbols(texts))
+    raise ValueError(f"unknown algorithm {algorithm!r}; there are {', '.join(ALGORITHMS)}")
+
+
+def suffix_array_by_blocks(syms: DataFrame) -> DataFrame:
+    """text_id, i, sa of texts of any length, each spread over many tasks: prefix doubling by joins and small windows.
+
+    A suffix's rank is the number of suffixes of its text that are known to be smaller. In each round those that share their rank are ranked by the rank of
+    the suffix ``step`` behind, which a join on the position finds; the others are settled. The first round has a window for each symbol, later ones a
+    window for each repeated string. Rounds are as many as the logarithm of the longest repeat; each goes to the checkpoint folder, where one is set.
+    """
+    kept = bool(syms.sparkSession.sparkContext.getCheckpointDir())
+    ranked = syms.select("text_id", "pos", "sym").join(alphabet(syms).select("text_id", "sym", F.col("c_before").alias("rank")), ["text_id", "sym"]).select("text_id", "pos", "rank")
+    step = 1
+    while True:
+        same = Window.partitionBy("text_id", "rank")
+        ranked = ranked.withColumn("alone", F.count("*").over(same) == 1)
+        if kept:
+            ranked = ranked.checkpoint()
+        if ranked.where("NOT alone").isEmpty():
+            return ranked.select("text_id", F.col("rank").cast("long").alias("i"), F.col("pos").alias("sa"))
+        ahead = ranked.select("text_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("ahead")).where("pos >= 0")
+        open_ = ranked.where("NOT alone").join(ahead, ["text_id", "pos"], "left")
+        moved = open_.select("text_id", "pos", (F.col("rank") + F.rank().over(same.orderBy(F.coalesce("ahead", F.lit(-1)))) - 1).cast("long").alias("rank"))
+        ranked = ranked.where("alone").select("text_id", "pos", "rank").union(moved)
+        step *= 2
+
+
 def bwt(sa: DataFrame) -> DataFrame:
     return sa.select("text_id", "i", "sym", "text_pos")
 
@@ -175,13 +220,9 @@ def counters(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[int]] = [[], [], []]
             for ids, bodies in by_size(b.column("text_id"), b.column("body")):
-                for t, body, sa in zip(ids, bodies, suffix_arrays(bodies), strict=True):
-                    out[0].append(t)
-                    out[1].append(len(sa))
-                    out[2].append(Runs.of(body, sa).r)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["text_id", "n", "r"])
+                base, sa = sorted_suffixes(bodies)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(base)), pa.array(np.diff(Runs.of(bodies, base, sa).first))], ["text_id", "n", "r"])
 
     return texts.select("text_id", "body").mapInArrow(run, "text_id long, n long, r long")
 
@@ -192,15 +233,38 @@ def subsamples(texts: DataFrame, s: int, backward: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, bodies in by_size(b.column("text_id"), b.column("body")):
-                for t, body, sa in zip(ids, bodies, suffix_arrays(bodies), strict=True):
-                    runs = Runs.of(body, sa)
-                    kept = np.flatnonzero(Samples.of(runs, backward, s).kept)
-                    tpos = (runs.tail_tpos if backward else runs.head_tpos)[kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), t)), pa.array(kept), pa.array(tpos)], ["text_id", "run", "tpos"])
+                base, sa = sorted_suffixes(bodies)
+                runs = Runs.of(bodies, base, sa)
+                kept = np.flatnonzero(Samples.of(runs, backward, s).kept)
+                text = runs.text[kept]
+                tpos = (runs.tail_tpos if backward else runs.head_tpos)[kept] - base[text]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(text)), pa.array(kept - runs.first[text]), pa.array(tpos)], ["text_id", "run", "tpos"])
 
     return texts.select("text_id", "body").mapInArrow(run, "text_id long, run long, tpos long")
 
 
+def sample_links(links: DataFrame) -> DataFrame:
+    """text_id, sample, sample_order (among the samples by position), mark, mark_order: the links from samples to marks, one to one."""
+    w = Window.partitionBy("text_id").orderBy("sample")
+    return links.select("text_id", "sample", (F.row_number().over(w) - 1).cast("long").alias("sample_order"), "mark", "mark_order")
+
+
+def subsample_places(kept: DataFrame, runs2: DataFrame) -> DataFrame:
+    """Kept samples (text_id, run) with row_order (among the kept ones by row), start (the first row of the run), prun and symbol_order (among the kept ones by symbol)."""
+    by_row, by_symbol = (Window.partitionBy("text_id").orderBy(k) for k in ("run", "prun"))
+    number = lambda w: (F.row_number().over(w) - 1).cast("long")
+    joined = kept.select("text_id", "run").join(runs2.select("text_id", "run", "start", "prun"), ["text_id", "run"])
+    return joined.select("text_id", "run", "start", "prun", number(by_row).alias("row_order"), number(by_symbol).alias("symbol_order"))
+
+
+def submark_links(links: DataFrame, places: DataFrame, backward: bool) -> DataFrame:
+    """text_id, mark, mark_order (among the kept marks by position), row_order and symbol_order of the kept sample that it leads to."""
+    key = "run" if backward else "prun"
+    joined = links.select("text_id", "mark", F.col("sample_run" if backward else "sample_prun").alias(key)).join(places, ["text_id", key])
+    w = Window.partitionBy("text_id").orderBy("mark")
+    return joined.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("mark_order"), "row_order", "symbol_order")
+
+
 def submarks(links: DataFrame, kept: DataFrame, sample_key: str) -> DataFrame:
     """The links whose sample is kept: text_id, mark, sample. ``kept`` has text_id and ``sample_key``."""
     return links.join(kept.select("text_id", sample_key), ["text_id", sample_key], "left_semi").select("text_id", "mark", "sample")

@@ -61,31 +61,78 @@ def lf_range(runs2: DataFrame, alphabet: DataFrame, ranges: DataFrame) -> DataFr
     return ends.groupBy(*ranges.columns).agg(F.min("to").alias("new_lo"), F.max("to").alias("new_hi"))
 
 
-def split_in_runs(runs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (text_id, lo, hi) with the runs that they overlap, cut to the range: run, sym, start, end_excl."""
+def _over_runs(ranges: DataFrame, runs: DataFrame, by: list[str], lo: str, hi: str, start: str, number: str) -> DataFrame:
+    """``ranges`` with ``number`` of each run that they overlap: the runs of both ends are looked up and those between counted, so no range meets a run that it does not overlap."""
+    named = runs.select(*by, F.col(start).alias("_s"), F.col(number).alias("_k"))
+    some = ranges.where(F.col(lo) < F.col(hi)).withColumn("_last", F.col(hi) - 1)
+    begun = asof(some, named, by, lo, "_s", ["_k"]).drop("_s").withColumnRenamed("_k", "_from")
+    ended = asof(begun, named, by, "_last", "_s", ["_k"]).drop("_s")
+    return ended.where("_k IS NOT NULL").select(*ranges.columns, F.explode(F.sequence(F.coalesce("_from", F.lit(0).cast("long")), "_k")).alias(number))
+
+
+def split_in_runs(runs: DataFrame, ranges: DataFrame, clip: bool = True) -> DataFrame:
+    """ranges (text_id, lo, hi) with the runs that they overlap: run, sym, start, end_excl, cut to the range or, without ``clip``, whole."""
     r = runs.select("text_id", "run", "sym", F.col("start").alias("_s"), F.col("end_excl").alias("_e"))
-    hit = ranges.join(r, "text_id").where("_s < hi AND _e > lo")
-    return hit.select(*ranges.columns, "run", "sym", F.greatest("lo", "_s").alias("start"), F.least("hi", "_e").alias("end_excl"))
+    hit = _over_runs(ranges, runs, ["text_id"], "lo", "hi", "start", "run").join(r, ["text_id", "run"]).where("_e > lo")
+    a, b = (F.greatest("lo", "_s"), F.least("hi", "_e")) if clip else (F.col("_s"), F.col("_e"))
+    return hit.select(*ranges.columns, "run", "sym", a.alias("start"), b.alias("end_excl"))
+
+
+def break_range(runs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """ranges (text_id, lo, hi, sym) with the parts of them that hold the symbol: run, start, end_excl."""
+    found = split_in_runs(runs.withColumnRenamed("sym", "_sym").withColumn("sym", F.col("_sym")), ranges.withColumnRenamed("sym", "wanted"))
+    return found.where("sym = wanted").select(*ranges.columns, "run", "start", "end_excl")
 
 
 def forward_runs(runs2: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (text_id, sym, k_lo, k_hi: ranks from 1, half-open) with the BWT intervals of those occurrences."""
-    r = runs2.select("text_id", "sym", "run", F.col("start").alias("_s"), (F.col("sym_before") + 1).alias("_k"), (F.col("end_excl") - F.col("start")).alias("_n"))
-    hit = ranges.join(r, ["text_id", "sym"]).where("_k < k_hi AND _k + _n > k_lo")
-    begin = F.col("_s") + F.greatest("k_lo", "_k") - F.col("_k")
-    return hit.select(*ranges.columns, "run", begin.alias("start"), (begin + F.least("k_hi", F.col("_k") + F.col("_n")) - F.greatest("k_lo", "_k")).alias("end_excl"))
+    first = (F.col("sym_before") + 1).alias("_k1")
+    r = runs2.select("text_id", "sym", "sym_run", "run", F.col("start").alias("_s"), first, (F.col("end_excl") - F.col("start")).alias("_n"))
+    named = runs2.select("text_id", "sym", "sym_run", first)
+    hit = _over_runs(ranges, named, ["text_id", "sym"], "k_lo", "k_hi", "_k1", "sym_run").join(r, ["text_id", "sym", "sym_run"]).where("_k1 < k_hi AND _k1 + _n > k_lo")
+    begin = F.col("_s") + F.greatest("k_lo", "_k1") - F.col("_k1")
+    return hit.select(*ranges.columns, "run", begin.alias("start"), (begin + F.least("k_hi", F.col("_k1") + F.col("_n")) - F.greatest("k_lo", "_k1")).alias("end_excl"))
+
+
+def own_rank(runs2: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, pos) with the symbol there, its rank (occurrences before), its run, that run's bounds and its place among the symbol's runs."""
+    found = asof(probes, runs2, ["text_id"], "pos", "start", ["end_excl", "sym", "sym_before", "sym_run", "run"])
+    rank = (F.col("sym_before") + F.col("pos") - F.col("start")).cast("long")
+    return found.select(*probes.columns, "sym", rank.alias("rank"), "run", F.col("start").alias("run_start"), F.col("end_excl").alias("run_end"), "sym_run")
+
+
+def rank_run(runs: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, v) with below: runs that start before v; upto: those that start at v or before; run_start: where the last of these starts."""
+    soft = asof(probes, runs.select("text_id", "start", "run"), ["text_id"], "v", "start", ["run"])
+    upto = F.coalesce(F.col("run") + 1, F.lit(0)).cast("long")
+    return soft.select(*probes.columns, (upto - F.coalesce((F.col("start") == F.col("v")).cast("int"), F.lit(0))).cast("long").alias("below"), upto.alias("upto"), F.col("start").alias("run_start"))
+
+
+def run_at(runs: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, run) with sym, start, end_excl and length of that run."""
+    return probes.join(runs.select("text_id", "run", "sym", "start", "end_excl", (F.col("end_excl") - F.col("start")).alias("length")), ["text_id", "run"])
+
+
+def traverse(runs2: DataFrame, symbols: DataFrame) -> DataFrame:
+    """All runs of some symbols (text_id, sym), numbered within each: sym_run, run, start, end_excl."""
+    return symbols.join(runs2.select("text_id", "sym", "sym_run", "run", "start", "end_excl"), ["text_id", "sym"])
+
+
+def first_symbol(runs: DataFrame) -> DataFrame:
+    """text_id, sym of the first row of the BWT, sigma (symbols, the sentinel among them) and size of the text."""
+    return runs.groupBy("text_id").agg(F.min_by("sym", "start").alias("sym"), F.count_distinct("sym").alias("sigma"), F.max("end_excl").alias("size"))
 
 
-def _circular(marks: DataFrame, probes: DataFrame, backward: bool) -> DataFrame:
+def _circular(marks: DataFrame, probes: DataFrame, backward: bool, *values: str) -> DataFrame:
     w = Window.partitionBy("text_id").orderBy("mark")
-    numbered = marks.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("order"))
-    found = asof(probes, numbered, ["text_id"], "v", "mark", ["order"], backward, strict=backward)
-    ends = numbered.groupBy("text_id").agg((F.max if backward else F.min)(F.struct("mark", "order")).alias("wrap"))
+    numbered = marks.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("order"), *values)
+    found = asof(probes, numbered, ["text_id"], "v", "mark", ["order", *values], backward, strict=backward)
+    ends = numbered.groupBy("text_id").agg((F.max if backward else F.min)(F.struct("mark", "order", *values)).alias("wrap"))
 
     def either(name: str) -> Column:
         return F.coalesce(F.col(name), F.col(f"wrap.{name}")).alias(name)
 
-    return found.join(ends, "text_id", "left").select(*probes.columns, either("order"), either("mark"))
+    return found.join(ends, "text_id", "left").select(*probes.columns, either("order"), either("mark"), *map(either, values))
 
 
 def predecessor(marks: DataFrame, probes: DataFrame) -> DataFrame:
@@ -100,8 +147,7 @@ def successor(marks: DataFrame, probes: DataFrame) -> DataFrame:
 
 def phi_by_marks(links: DataFrame, lengths: DataFrame, probes: DataFrame, backward: bool) -> DataFrame:
     """probes (text_id, v) with next_v: the neighbouring suffix-array entry, from links (text_id, mark, sample) and lengths (text_id, n) alone."""
-    near = predecessor(links, probes) if backward else successor(links, probes)
-    joined = near.join(links.select("text_id", "mark", "sample"), ["text_id", "mark"]).join(lengths.select("text_id", "n"), "text_id")
+    joined = _circular(links, probes, backward, "sample").join(lengths.select("text_id", "n"), "text_id")
     gap = F.pmod((F.col("v") - F.col("mark")) if backward else (F.col("mark") - F.col("v")), F.col("n"))
     step = F.col("sample") + gap if backward else F.col("sample") - gap
     return joined.select(*probes.columns, F.pmod(step, F.col("n")).alias("next_v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def mark_density(marks: DataFrame, width: int) -> DataFrame:
     return counted.join(total, "text_id").select("text_id", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
+def mark_quartiles(marks: DataFrame) -> DataFrame:
+    """text_id, n, least, q1, median, q3, most of mark positions; quartiles between two marks are interpolated."""
+    q = lambda p: F.percentile("mark", F.lit(p))
+    return marks.groupBy("text_id").agg(F.count("*").alias("n"), F.min("mark").alias("least"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("mark").alias("most"))
+
+
+def mark_kde(marks: DataFrame, lengths: DataFrame, points: int, bandwidth: float = 0.05) -> DataFrame:
+    """text_id, x, density: a Gaussian kernel estimate of the marks' density over the text, both as shares of its length, at ``points`` + 1 places.
+
+    Marks are counted by position first, so a text's marks meet the places once for each distinct position.
+    """
+    counted = marks.groupBy("text_id", "mark").agg(F.count("*").alias("w")).join(lengths.select("text_id", "n"), "text_id")
+    at = counted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("x", F.col("k") / points)
+    z = (F.col("x") - F.col("mark") / F.col("n")) / bandwidth
+    weight = F.col("w") * F.exp(-z * z / 2)
+    return at.groupBy("text_id", "x").agg((F.sum(weight) / F.sum("w") / (bandwidth * (2 * math.pi) ** 0.5)).alias("density"))
+
+
 def repetitiveness(counters: DataFrame) -> DataFrame:
     """counters (text_id, n, r) with n/r, the most repetitive first."""
     return counters.withColumn("ratio", F.col("n") / F.col("r")).orderBy(F.desc("ratio"), "text_id")

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def texts_of(df: DataFrame, text_id: str, text: str) -> DataFrame:
-    """texts (text_id, body) from a string column, as UTF-8; NULL texts are left out."""
-    return df.select(F.col(text_id).cast("long").alias("text_id"), F.encode(F.col(text), "UTF-8").alias("body")).where("body IS NOT NULL")
+    """texts (text_id, body) from a string column, as UTF-8; NULL texts are left out. Ids of an integer type are kept, of any other hashed; a NULL id stays NULL."""
+    kind = df.schema[text_id].dataType
+    key = F.col(text_id).cast("long") if isinstance(kind, T.IntegralType) else F.when(F.col(text_id).isNotNull(), F.xxhash64(F.col(text_id)))
+    return df.select(key.alias("text_id"), F.encode(F.col(text), "UTF-8").alias("body")).where("body IS NOT NULL")
+
+
+def with_distinct_ids(texts: DataFrame) -> DataFrame:
+    """``texts``, after a check that no text_id is NULL or repeated: relations, whose rows name their text by it, would mix such texts up."""
+    bad = texts.groupBy("text_id").count().where("text_id IS NULL OR count > 1").first()
+    if bad is not None:
+        raise ValueError(f"text_id {bad['text_id']} is NULL or stands {bad['count']} times")
+    return texts
 
 
 def read_parquet(spark: SparkSession, path: str, text_id: str, text: str) -> DataFrame:
@@ -29,12 +40,11 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def without_nul(texts: DataFrame, by: bytes | None = None) -> DataFrame:
     """Texts whose inner NUL bytes are replaced by one other byte, or, with none given, only the texts without any."""
-    hexed = F.hex("body")
-    clean = F.size(F.filter(F.sequence(F.lit(1), F.length("body")), lambda i: F.substring(F.hex("body"), 2 * i - 1, F.lit(2)) == "00")) == 0
+    # each byte is a character of this encoding and back
+    bytes_ = F.decode("body", "ISO-8859-1")
     if by is None:
-        return texts.where((F.length("body") == 0) | clean)
-    swapped = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.length("body"), F.lit(1))), lambda i: F.when(F.substring(hexed, 2 * i - 1, F.lit(2)) == "00", F.lit(by.hex().upper())).otherwise(F.substring(hexed, 2 * i - 1, F.lit(2)))), ""))
-    return texts.withColumn("body", swapped)
+        return texts.where(~F.contains(bytes_, F.lit("\0")))
+    return texts.withColumn("body", F.encode(F.replace(bytes_, F.lit("\0"), F.lit(by.decode("latin-1"))), "ISO-8859-1"))
 
 
 def collection(texts: DataFrame, separator: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -62,13 +72,21 @@ def encode_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.withColumn("encoded", F.base64("pattern"))
 
 
-def write_locate(found: DataFrame, patterns: DataFrame, path: str) -> None:
-    """Text lines: pattern, then its sorted positions, one line a text and pattern."""
+def _shown(encoded: bool) -> Column:
+    """A pattern as text, or in base64 where it is asked for (patterns that are no UTF-8, or hold spaces or line breaks, need it)."""
+    return F.base64("pattern") if encoded else F.decode("pattern", "UTF-8")
+
+
+def write_locate(found: DataFrame, patterns: DataFrame, path: str, encoded: bool = False) -> None:
+    """Text lines: pattern, text_id, then its sorted positions, one line a text and pattern; sorted within files, not over them."""
     lists = found.groupBy("text_id", "pattern_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    line = F.concat_ws(" ", F.base64("pattern"), F.col("text_id"), F.array_join(F.transform("at", lambda x: x.cast("string")), " "))
-    lists.join(patterns.select("pattern_id", "pattern"), "pattern_id").orderBy("pattern_id", "text_id").select(line.alias("value")).write.mode("overwrite").text(path)
+    line = F.concat_ws(" ", _shown(encoded), F.col("text_id"), F.array_join(F.transform("at", lambda x: x.cast("string")), " "))
+    named = lists.join(patterns.select("pattern_id", "pattern"), "pattern_id")
+    named.sortWithinPartitions("pattern_id", "text_id").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_count(counts: DataFrame, path: str) -> None:
-    """CSV with a header: text_id, pattern_id, occ, sa_start, sa_end."""
-    counts.orderBy("pattern_id", "text_id").write.mode("overwrite").csv(path, header=True)
+def write_count(counts: DataFrame, patterns: DataFrame, path: str, encoded: bool = False) -> None:
+    """CSV with a header: pattern, text_id, count, range_start, range_end (of the suffix array); sorted within files, not over them."""
+    named = counts.join(patterns.select("pattern_id", "pattern"), "pattern_id").sortWithinPartitions("pattern_id", "text_id")
+    columns = [_shown(encoded).alias("pattern"), "text_id", F.col("occ").alias("count"), F.col("sa_start").alias("range_start"), F.col("sa_end").alias("range_end")]
+    named.select(*columns).write.mode("overwrite").csv(path, header=True)
