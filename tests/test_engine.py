@@ -137,11 +137,49 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "texts" / "one.bin").write_bytes(b"abab")
     texts = src.read_files(spark, str(tmp_path / "texts"))
     index = TextIndex.build(texts)
-    src.write_locate(index.locate(read), read, str(tmp_path / "out"))
+    src.write_locate(index.locate(read), read, str(tmp_path / "out"), encoded=True)
     lines = sorted(r["value"].split()[0] + ":" + " ".join(r["value"].split()[2:]) for r in spark.read.text(str(tmp_path / "out")).collect())
     assert lines == ["YWI=:0 2", "Yg==:1 3"]
-    src.write_count(index.count(read), str(tmp_path / "counts"))
-    assert spark.read.csv(str(tmp_path / "counts"), header=True).columns == ["text_id", "pattern_id", "occ", "sa_start", "sa_end"]
+    src.write_count(index.count(read), read, str(tmp_path / "counts"))
+    counts = spark.read.csv(str(tmp_path / "counts"), header=True)
+    assert counts.columns == ["pattern", "text_id", "count", "range_start", "range_end"]
+    assert sorted((r["pattern"], r["count"], r["range_start"], r["range_end"]) for r in counts.collect()) == [("ab", "2", "1", "3"), ("b", "2", "3", "5")]
+
+
+def test_ids_null_repeated_and_of_other_types(spark):
+    rows = [(None, "abab"), (1, "abab"), (1, "abab"), (2, None)]
+    texts = src.texts_of(spark.createDataFrame(rows, "k long, t string"), "k", "t")
+    asked = spark.createDataFrame([(7, b"ab")], "pattern_id long, pattern binary")
+    want = sorted(map(str, rows_of := [tuple(r) for r in search.scan_locate(texts, asked).collect()]))
+    assert len(rows_of) == 6
+    for name in STRATEGIES:
+        assert sorted(map(str, (tuple(r) for r in TextIndex.build(texts).locate(asked, name).collect()))) == want, name
+    with pytest.raises(ValueError, match="NULL or stands"):
+        src.with_distinct_ids(texts)
+    named = src.texts_of(spark.createDataFrame([("x", "abab"), (None, "ab")], "k string, t string"), "k", "t")
+    assert sorted((r["text_id"] is None, r["pos"]) for r in TextIndex.build(named).locate(asked).collect()) == [(False, 0), (False, 2), (True, 0)]
+
+
+@pytest.mark.parametrize("algorithm", c.ALGORITHMS)
+def test_suffix_arrays_of_repetitive_texts(spark, algorithm):
+    bodies = [b"ab" * 60, b"a" * 40, b"", b"abcabcababc" * 9, bytes(range(1, 90))]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "text_id long, body binary")
+    got = {}
+    for r in c.suffix_array_by(texts, algorithm).collect():
+        got[r["text_id"], r["i"]] = r["sa"]
+    assert got == {(t, i): p for t, x in enumerate(bodies) for i, p in enumerate(sorted(range(len(x) + 1), key=lambda p: x[p:]))}
+    with pytest.raises(ValueError, match="unknown algorithm"):
+        c.suffix_array_by(texts, "none such")
+
+
+@pytest.mark.parametrize("strategy", ["sa_slice", "tails", "tails_sampled_areas", "heads_sampled", "heads_psi_sampled_marks"])
+def test_chains_of_strategies(spark, texts, tmp_path, strategy):
+    made = relations(Store(spark, str(tmp_path)), texts.where("body IS NOT NULL"), strategy=strategy)
+    how = STRATEGIES[strategy]
+    side = "backward" if how.backward else "forward"
+    assert ("runs" in made) == (not how.slice) and (f"samples_{side}" in made) == how.sampled and (f"validity_{side}" in made) == how.valid_mark
+    assert ("psi" in made) == (not how.backward) and (f"mark_links_{side}" in made) == (how.sampled and how.psi_order)
+    assert all(df.count() > 0 for df in made.values())
 
 
 def test_nul_and_collection(spark):
@@ -191,8 +229,21 @@ def test_command_line(spark, tmp_path):
     main(["build", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "index"), "--rate", "4"])
     for what, more in (("count", []), ("locate", ["--strategy", "heads_psi_sampled_areas"])):
         main([what, "--index", str(tmp_path / "index"), "--patterns", str(tmp_path / "p.txt"), "--out", str(tmp_path / what), *more])
-    assert sorted(r["occ"] for r in spark.read.csv(str(tmp_path / "count"), header=True).collect()) == ["1", "4"]
-    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "locate")).collect()) == ["YWI= 1 0 3 6 8", "eg== 2 2"]
+    assert sorted((r["pattern"], r["count"]) for r in spark.read.csv(str(tmp_path / "count"), header=True).collect()) == [("ab", "4"), ("z", "1")]
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "locate")).collect()) == ["ab 1 0 3 6 8", "z 2 2"]
+    for mode, n in (("macro", 2), ("micro", 2), ("print", 1)):
+        main(["bench", "--index", str(tmp_path / "index"), "--patterns", str(tmp_path / "p.txt"), "--out", str(tmp_path / mode), "--mode", mode, "--reps", "2", "--strategy", "tails"])
+        times = spark.read.csv(str(tmp_path / mode / "times"), header=True, inferSchema=True).collect()
+        assert len(times) == n and all(r["name"] == "tails/4" and r["seconds"] > 0 and r["bits"] > 0 for r in times)
+        assert sorted(r["occurrences"] for r in times) == ([1, 4] if mode == "micro" else [5] * n)
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "print" / "tails")).collect()) == ["ab 1 0 3 6 8", "z 2 2"]
+    main(["bench", "--index", str(tmp_path / "index"), "--patterns", str(tmp_path / "p.txt"), "--out", str(tmp_path / "stats"), "--reps", "3", "--min-time", "0.1", "--strategy", "heads", "--report-stats"])
+    summed = spark.read.csv(str(tmp_path / "stats" / "times"), header=True, inferSchema=True).first()
+    assert summed["repetitions"] == 3 and 0 < summed["least"] <= summed["median"] <= summed["most"]
+    main(["relations", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "relations"), "--rate", "4", "--strategy", "heads_slim_sampled", "--algorithm", "blocks"])
+    log = spark.read.csv(str(tmp_path / "relations" / "log"), header=True, inferSchema=True).collect()
+    assert {r["relation"] for r in log} == {"suffix_array_blocks", "runs", "alphabet", "psi", "links_forward", "s=4/samples_forward", "s=4/places_forward", "s=4/marks_forward", "s=4/mark_links_forward"}
+    assert all(r["bytes"] > 0 and r["seconds"] > 0 for r in log)
     main(["sweep", "--data", str(tmp_path / "texts"), "--out", str(tmp_path / "sweep"), "--max-rate", "8"])
     assert spark.read.parquet(str(tmp_path / "sweep")).count() == 4
 

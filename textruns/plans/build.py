@@ -1,31 +1,59 @@
-"""The whole chain of relations, stage by stage in a ``Store``: what exists is reused."""
+"""The chains of relations behind each strategy, stage by stage in a ``Store``: what exists is reused, and only what a strategy needs is built."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from textruns.functions.kernels import STRATEGIES, Strategy
 from textruns.operators import construct as c
+from textruns.sources.texts import with_distinct_ids
 
 from .store import Store
 
 
-def relations(store: Store, texts: DataFrame, s: int = 4) -> dict[str, DataFrame]:
-    """Base items (suffix array, BWT, runs, alphabet), Psi, links, and at rate ``s`` sub-samples, sub-marks and validity of both directions."""
-    out = {"suffix_array": store.once("suffix_array", lambda: c.suffix_array(texts))}
+def relations(store: Store, texts: DataFrame, s: int = 4, strategy: str | None = None, algorithm: str = "kernel") -> dict[str, DataFrame]:
+    """Relations by name: of one strategy's chain, or of all. ``algorithm`` is that of the suffix array (``construct.ALGORITHMS``).
+
+    Base items of all: suffix_array, runs, alphabet. Forward strategies add psi; each direction its links; sampled strategies at rate ``s``
+    the kept samples, their places by row or symbol, and the kept marks; with their links by symbol for strategies in that order, and with
+    validity (marks and areas) for those that trust marks. The suffix-array slice needs the first alone.
+    """
+    chains = list(STRATEGIES.values()) if strategy is None else [STRATEGIES[strategy]]
+    built = "suffix_array" if algorithm == "kernel" else f"suffix_array_{algorithm}"
+    out = {"suffix_array": store.once(built, lambda: _with_symbols(with_distinct_ids(texts), algorithm))}
+    if all(x.slice for x in chains):
+        return out
     bwt = c.bwt(out["suffix_array"])
     out["runs"] = store.once("runs", lambda: c.ordered_runs(c.bwt_runs(bwt)))
     out["alphabet"] = store.once("alphabet", lambda: c.alphabet(bwt))
-    out["psi"] = store.once("psi", lambda: c.psi(bwt))
-    out["links_backward"] = store.once("links_backward", lambda: c.links_backward(out["runs"]))
-    out["links_forward"] = store.once("links_forward", lambda: c.links_forward(out["runs"]))
-    for side, backward in (("backward", True), ("forward", False)):
-        kept = store.once(f"s={s}/samples_{side}", lambda b=backward: c.subsamples(texts, s, b))
-        key = "sample_run" if backward else "sample_prun"
-        if not backward:
-            kept = kept.join(out["runs"].select("text_id", "run", "prun"), ["text_id", "run"])
-        named = kept.select("text_id", (kept["run"] if backward else kept["prun"]).alias(key))
-        links = out[f"links_{side}"]
-        marks = store.once(f"s={s}/marks_{side}", lambda l=links, n=named, k=key: c.submarks(l, n, k))
-        out[f"samples_{side}"], out[f"marks_{side}"] = kept, marks
-        out[f"validity_{side}"] = store.once(f"s={s}/validity_{side}", lambda l=links, m=marks, b=backward: c.validity(l, m, b))
+    for x in chains:
+        if not x.slice:
+            _direction(store, texts, s, x, bwt, out)
     return out
+
+
+def _with_symbols(texts: DataFrame, algorithm: str) -> DataFrame:
+    """``construct.suffix_array``'s columns from any algorithm."""
+    if algorithm == "kernel":
+        return c.suffix_array(texts)
+    syms = c.symbols(texts)
+    n = syms.groupBy("text_id").count().withColumnRenamed("count", "n")
+    placed = c.suffix_array_by(texts, algorithm).join(n, "text_id").selectExpr("text_id", "n", "i", "sa", "(sa + n - 1) % n AS text_pos")
+    return placed.join(syms.withColumnRenamed("pos", "text_pos"), ["text_id", "text_pos"]).select("text_id", "n", "i", "sa", "text_pos", "sym")
+
+
+def _direction(store: Store, texts: DataFrame, s: int, how: Strategy, bwt: DataFrame, out: dict[str, DataFrame]) -> None:
+    side, runs = ("backward", out["runs"]) if how.backward else ("forward", out["runs"])
+    if not how.backward:
+        out["psi"] = store.once("psi", lambda: c.psi(bwt))
+    links = out[f"links_{side}"] = store.once(f"links_{side}", lambda: c.links_backward(runs) if how.backward else c.links_forward(runs))
+    if not how.sampled:
+        return
+    kept = out[f"samples_{side}"] = store.once(f"s={s}/samples_{side}", lambda: c.subsamples(texts, s, how.backward))
+    places = out[f"places_{side}"] = store.once(f"s={s}/places_{side}", lambda: c.subsample_places(kept, runs))
+    key, number = ("sample_run", "run") if how.backward else ("sample_prun", "prun")
+    marks = out[f"marks_{side}"] = store.once(f"s={s}/marks_{side}", lambda: c.submarks(links, places.select("text_id", places[number].alias(key)), key))
+    if how.psi_order:
+        out[f"mark_links_{side}"] = store.once(f"s={s}/mark_links_{side}", lambda: c.submark_links(links, places, how.backward))
+    if how.valid_mark:
+        out[f"validity_{side}"] = store.once(f"s={s}/validity_{side}", lambda: c.validity(links, marks, how.backward))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,11 +25,11 @@ ENCODED = ["ZWQ=", "YW4=", "IGw="]
 
 
 def parts(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, f"{d}/part.parquet", "p_partkey", "p_name")
+    return spread(read_parquet(spark, f"{d}/part.parquet", "p_partkey", "p_name"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    return read_parquet(spark, f"{d}/benchmark.parquet", "item_id", "text")
+    return spread(read_parquet(spark, f"{d}/benchmark.parquet", "item_id", "text"))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -130,7 +131,12 @@ def suffix_array(spark: SparkSession, d: str) -> DataFrame:
 
 @query("suffix_array_windows", WITH + "SELECT text_id, i, sa FROM sa")
 def suffix_array_windows(spark: SparkSession, d: str) -> DataFrame:
-    return c.suffix_array_by_windows(c.symbols(parts(spark, d)), 64)
+    return c.suffix_array_by(parts(spark, d), "windows")
+
+
+@query("suffix_array_blocks", WITH_ITEMS + "SELECT text_id, i, sa FROM sa")
+def suffix_array_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return c.suffix_array_by(items(spark, d), "blocks")
 
 
 @query("bwt", WITH + "SELECT text_id, i, sym, text_pos FROM bwt")
@@ -203,6 +209,16 @@ def links_forward(spark: SparkSession, d: str) -> DataFrame:
     return c.links_forward(_runs2(spark, d))
 
 
+@query("sample_links_backward", WITH + "SELECT text_id, sample, row_number() OVER (PARTITION BY text_id ORDER BY sample) - 1 AS sample_order, mark, row_number() OVER (PARTITION BY text_id ORDER BY mark) - 1 AS mark_order FROM lb")
+def sample_links_backward(spark: SparkSession, d: str) -> DataFrame:
+    return c.sample_links(c.links_backward(_runs(spark, d)))
+
+
+@query("sample_links_forward", WITH + "SELECT text_id, sample, row_number() OVER (PARTITION BY text_id ORDER BY sample) - 1 AS sample_order, mark, row_number() OVER (PARTITION BY text_id ORDER BY mark) - 1 AS mark_order FROM lfw")
+def sample_links_forward(spark: SparkSession, d: str) -> DataFrame:
+    return c.sample_links(c.links_forward(_runs2(spark, d)))
+
+
 @query("extremes", WITH + "SELECT text_id, arg_min(head_tpos, run) AS first_head, arg_max(head_tpos, run) AS last_head, arg_min(tail_tpos, run) AS first_tail, arg_max(tail_tpos, run) AS last_tail FROM runs GROUP BY 1")
 def extremes(spark: SparkSession, d: str) -> DataFrame:
     return c.extremes(_runs(spark, d))
@@ -259,6 +275,44 @@ def forward_runs(spark: SparkSession, d: str) -> DataFrame:
     return nav.forward_runs(_runs2(spark, d), ranges)
 
 
+@query("split_in_whole_runs", WITH + "SELECT text_id, 3::BIGINT AS lo, 11::BIGINT AS hi, run, sym, st AS start, en AS end_excl FROM runs WHERE st < 11 AND en > 3")
+def split_in_whole_runs(spark: SparkSession, d: str) -> DataFrame:
+    return nav.split_in_runs(_runs(spark, d), _ids(spark, d).select("text_id", F.lit(3).cast("long").alias("lo"), F.lit(11).cast("long").alias("hi")), clip=False)
+
+
+@query("break_range", WITH + f"SELECT text_id, 1::BIGINT AS lo, 8::BIGINT AS hi, y.sym, run, greatest(st, 1) AS start, least(en, 8) AS end_excl FROM runs JOIN {_SYM} ON runs.sym = y.sym WHERE st < 8 AND en > 1")
+def break_range(spark: SparkSession, d: str) -> DataFrame:
+    ranges = _symbols(_ids(spark, d).select("text_id", F.lit(1).cast("long").alias("lo"), F.lit(8).cast("long").alias("hi")))
+    return nav.break_range(_runs(spark, d), ranges)
+
+
+@query("own_rank", WITH + f"""SELECT p.text_id, p.pos, g.sym, (SELECT count(*) FROM bwt b WHERE b.text_id = p.text_id AND b.sym = g.sym AND b.i < p.pos) AS rank, g.run, pr.st AS run_start, pr.en AS run_end, pr.sym_run
+  FROM (SELECT text_id, n, {_UNNEST} AS pos FROM t) p JOIN g ON g.text_id = p.text_id AND g.i = p.pos JOIN pr ON pr.text_id = g.text_id AND pr.run = g.run WHERE p.pos < p.n""")
+def own_rank(spark: SparkSession, d: str) -> DataFrame:
+    n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
+    return nav.own_rank(_runs2(spark, d), _probes(spark, d, "pos", _POS).join(n, "text_id").where("pos < n").select("text_id", "pos"))
+
+
+@query("rank_run", WITH + f"SELECT p.text_id, p.v, count(*) FILTER (st < p.v) AS below, count(*) FILTER (st <= p.v) AS upto, max(st) FILTER (st <= p.v) AS run_start FROM (SELECT text_id, {_UNNEST} AS v FROM t) p JOIN runs ON runs.text_id = p.text_id GROUP BY 1, 2")
+def rank_run(spark: SparkSession, d: str) -> DataFrame:
+    return nav.rank_run(_runs(spark, d), _probes(spark, d, "v", _POS))
+
+
+@query("run_at", WITH + "SELECT text_id, run, sym, st AS start, en AS end_excl, en - st AS length FROM runs WHERE run IN (0, 2, 5)")
+def run_at(spark: SparkSession, d: str) -> DataFrame:
+    return nav.run_at(_runs(spark, d), _probes(spark, d, "run", [0, 2, 5]))
+
+
+@query("traverse", WITH + f"SELECT text_id, y.sym, sym_run, run, st AS start, en AS end_excl FROM pr JOIN {_SYM} ON pr.sym = y.sym")
+def traverse(spark: SparkSession, d: str) -> DataFrame:
+    return nav.traverse(_runs2(spark, d), _symbols(_ids(spark, d)))
+
+
+@query("first_symbol", WITH + "SELECT text_id, arg_min(sym, i) AS sym, count(DISTINCT sym) AS sigma, count(*) AS size FROM bwt GROUP BY 1")
+def first_symbol(spark: SparkSession, d: str) -> DataFrame:
+    return nav.first_symbol(_runs(spark, d))
+
+
 @query("predecessor", WITH + f"""SELECT p.text_id, p.v, o.mo AS "order", o.mark FROM (SELECT text_id, {_UNNEST} AS v FROM t) p JOIN LATERAL (SELECT mark, row_number() OVER (ORDER BY mark) - 1 AS mo FROM lb WHERE lb.text_id = p.text_id ORDER BY (mark < p.v) DESC, mark DESC LIMIT 1) o ON true""".replace("row_number() OVER (ORDER BY mark) - 1 AS mo FROM lb WHERE lb.text_id = p.text_id", "mo FROM (SELECT text_id, mark, row_number() OVER (PARTITION BY text_id ORDER BY mark) - 1 AS mo FROM lb) l WHERE l.text_id = p.text_id"))
 def predecessor(spark: SparkSession, d: str) -> DataFrame:
     return nav.predecessor(c.links_backward(_runs(spark, d)).select("text_id", "mark"), _probes(spark, d, "v", _POS))
@@ -338,6 +392,16 @@ def locate_slice_join(spark: SparkSession, d: str) -> DataFrame:
     return search.slice_locate(c.suffix_array(parts(spark, d)), _index(spark, d).count(patterns(spark, PATTERNS)))
 
 
+@query("toehold_backward", WITH + f", {_FOUND} SELECT text_id, pattern_id::BIGINT AS pattern_id, arg_max(sa, i)::BIGINT AS pos FROM found GROUP BY ALL")
+def toehold_backward(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).first_occurrences(patterns(spark, PATTERNS), "tails_sampled")
+
+
+@query("toehold_forward", WITH + f", {_FOUND} SELECT text_id, pattern_id::BIGINT AS pattern_id, arg_min(sa, i)::BIGINT AS pos FROM found GROUP BY ALL")
+def toehold_forward(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d).first_occurrences(patterns(spark, PATTERNS), "heads_psi_sampled")
+
+
 _BORDERLESS = ["the", "ation", "ción", "heit", "Licensed under"]
 _COUNT_DOCS = f"""SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, occ FROM (SELECT doc_id, pattern_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS occ FROM documents, {_values(_BORDERLESS)}) WHERE occ > 0"""
 
@@ -365,77 +429,76 @@ def locate_docs(spark: SparkSession, d: str) -> DataFrame:
     return TextIndex.build(documents(spark, d), 64, False, False).locate(patterns(spark, _BORDERLESS), "heads")
 
 
+@query("locate_each_docs", "WITH found AS (" + _LOCATE_DOCS + ") SELECT strategy, text_id, pattern_id, count(*) AS occ, sum(pos)::BIGINT AS positions FROM found, (VALUES " + ", ".join(f"('{k}')" for k in STRATEGIES) + ") AS k(strategy) GROUP BY ALL")
+def locate_each_docs(spark: SparkSession, d: str) -> DataFrame:
+    """By strategy, document and pattern: occurrences, and the sum of their positions."""
+    found = TextIndex.build(documents(spark, d), 16).locate_by_each(patterns(spark, _BORDERLESS))
+    return found.groupBy("strategy", "text_id", "pattern_id").agg(F.count("*").alias("occ"), F.sum("pos").alias("positions"))
+
+
 @query("locate_scan_docs", _LOCATE_DOCS)
 def locate_scan_docs(spark: SparkSession, d: str) -> DataFrame:
     return search.scan_locate(documents(spark, d), patterns(spark, _BORDERLESS))
 
 
-def _greedy_sql(backward: bool) -> str:
-    """The greedy walk as a recursive query over ordered run ends."""
-    value, links, key = ("tail_tpos", "lb", "sample_run") if backward else ("head_tpos", "lfw", "sample_prun")
-    run = "run" if backward else "prun"
-    return f"""WITH RECURSIVE {_base("SELECT item_id AS text_id, substr(text, 1, 60) AS txt FROM benchmark")},
-ends AS (SELECT text_id, min(mark) AS lo, max(mark) AS hi FROM {links} GROUP BY 1),
-must AS (SELECT DISTINCT l.text_id, {key} AS run FROM {links} l JOIN ends e ON e.text_id = l.text_id AND l.mark IN (e.lo, e.hi)),
-seq AS (SELECT pr.text_id, pr.run, {value} AS v, pr.{run} IN (SELECT must.run FROM must WHERE must.text_id = pr.text_id) AS req,
-        row_number() OVER (PARTITION BY pr.text_id ORDER BY {value} {"" if backward else "DESC"}) - 1 AS k, count(*) OVER (PARTITION BY pr.text_id) AS m FROM pr),
-walk AS (SELECT text_id, 0::BIGINT AS k, run AS prev_run, v AS prev_v, v AS last_v, [run] AS kept FROM seq WHERE k = 0
-  UNION ALL SELECT s.text_id, s.k, s.run, s.v,
-    CASE WHEN s.req THEN s.v WHEN abs(s.v - w.last_v) > {RATE} THEN w.prev_v ELSE w.last_v END,
-    list_concat(list_concat(w.kept, CASE WHEN abs(s.v - w.last_v) > {RATE} AND w.kept[-1] <> w.prev_run THEN [w.prev_run] ELSE [] END), CASE WHEN s.req OR s.k = s.m - 1 THEN [s.run] ELSE [] END)
-  FROM walk w JOIN seq s ON s.text_id = w.text_id AND s.k = w.k + 1),
-kept AS (SELECT DISTINCT w.text_id, unnest(kept) AS run FROM walk w JOIN (SELECT text_id, max(k) AS k FROM seq GROUP BY 1) z ON z.text_id = w.text_id AND z.k = w.k),
-sub AS (SELECT l.text_id, l.mark, l.sample FROM {links} l JOIN pr ON pr.text_id = l.text_id AND pr.{run} = l.{key} JOIN kept ON kept.text_id = l.text_id AND kept.run = pr.run)"""
+def _greedy_sql(backward: bool, rates: tuple[int, ...] = (RATE,)) -> str:
+    """CTEs of sub-sampling over whole items for every rate s: a recursive walk from kept value to kept value, each jump given by windows.
 
+    seq_: run ends in walk order with where a jump from each leads; kept_: (s, text_id, run); sub_: the kept marks; full_ and valid_: with their neighbours.
+    """
+    x = "b" if backward else "f"
+    value, links, key, run = ("tail_tpos", "lb", "sample_run", "run") if backward else ("head_tpos", "lfw", "sample_prun", "prun")
+    up, order = (value, "mark") if backward else (f"-{value}", "mark DESC")
+    reach = " ".join(f"WHEN {s} THEN max(k) OVER (PARTITION BY s, text_id ORDER BY a RANGE BETWEEN CURRENT ROW AND {s} FOLLOWING)" for s in rates)
+    return f"""ends_{x} AS (SELECT text_id, min(mark) AS lo, max(mark) AS hi FROM {links} GROUP BY 1),
+must_{x} AS (SELECT DISTINCT l.text_id, {key} AS run FROM {links} l JOIN ends_{x} e ON e.text_id = l.text_id AND l.mark IN (e.lo, e.hi)),
+placed_{x} AS (SELECT s, pr.text_id, pr.run, {up} AS a, must_{x}.run IS NOT NULL AS req, row_number() OVER (PARTITION BY s, pr.text_id ORDER BY {up}) - 1 AS k, count(*) OVER (PARTITION BY s, pr.text_id) - 1 AS last
+   FROM (VALUES {", ".join(f"({s})" for s in rates)}) AS rates(s), pr LEFT JOIN must_{x} ON must_{x}.text_id = pr.text_id AND must_{x}.run = pr.{run}),
+seq_{x} AS (SELECT s, text_id, run, k, last, CAST(least(greatest(CASE s {reach} END, k + 1), min(CASE WHEN req OR k = last THEN k END) OVER (PARTITION BY s, text_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) AS BIGINT) AS jump FROM placed_{x}),
+walk_{x} AS (SELECT s, text_id, run, k, last, jump FROM seq_{x} WHERE k = 0 UNION ALL SELECT q.s, q.text_id, q.run, q.k, q.last, q.jump FROM walk_{x} w JOIN seq_{x} q ON q.s = w.s AND q.text_id = w.text_id AND q.k = w.jump WHERE w.k < w.last),
+kept_{x} AS (SELECT s, text_id, run FROM walk_{x}),
+sub_{x} AS (SELECT kept.s, l.text_id, l.mark, l.sample, pr.run, pr.prun FROM {links} l JOIN pr ON pr.text_id = l.text_id AND pr.{run} = l.{key} JOIN kept_{x} kept ON kept.text_id = l.text_id AND kept.run = pr.run),
+full_{x} AS (SELECT text_id, mark, lead(mark) OVER (PARTITION BY text_id ORDER BY {order}) AS f FROM {links}),
+valid_{x} AS (SELECT s, text_id, mark, f IS NOT DISTINCT FROM n AS valid, CASE WHEN f IS DISTINCT FROM n THEN abs(f - mark) END AS area
+   FROM (SELECT s, text_id, mark, lead(mark) OVER (PARTITION BY s, text_id ORDER BY {order}) AS n FROM sub_{x}) JOIN full_{x} USING (text_id, mark))"""
 
-def _short_items(spark: SparkSession, d: str) -> DataFrame:
-    df = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id"), F.substring("text", 1, 60).alias("text"))
-    return df.select(F.col("item_id").alias("text_id"), F.encode("text", "UTF-8").alias("body")).where("body IS NOT NULL")
 
+_ITEMS = "WITH RECURSIVE " + _base("SELECT item_id AS text_id, text AS txt FROM benchmark") + ", "
 
-def _sub(texts: DataFrame, backward: bool) -> tuple[DataFrame, DataFrame]:
+
+def _kept(spark: SparkSession, d: str, backward: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links, kept samples with their places, kept marks, of whole items."""
+    texts = items(spark, d)
     runs2 = c.ordered_runs(c.bwt_runs(c.bwt(c.suffix_array(texts))))
-    kept = c.subsamples(texts, RATE, backward)
-    if backward:
-        links, named = c.links_backward(runs2), kept.select("text_id", F.col("run").alias("sample_run"))
-    else:
-        links, named = c.links_forward(runs2), kept.join(runs2.select("text_id", "run", "prun"), ["text_id", "run"]).select("text_id", F.col("prun").alias("sample_prun"))
-    return links, c.submarks(links, named, "sample_run" if backward else "sample_prun")
+    places = c.subsample_places(c.subsamples(texts, RATE, backward), runs2)
+    links, key, number = (c.links_backward(runs2), "sample_run", "run") if backward else (c.links_forward(runs2), "sample_prun", "prun")
+    return links, places, c.submarks(links, places.select("text_id", F.col(number).alias(key)), key)
 
 
 def _subsampling(backward: bool) -> None:
-    side, value = ("backward", "tail_tpos") if backward else ("forward", "head_tpos")
-    head = _greedy_sql(backward)
-    order = "mark" if backward else "mark DESC"
-    query(f"subsamples_{side}", f"{head} SELECT kept.text_id, kept.run, pr.{value} AS tpos FROM kept JOIN pr USING (text_id, run)")(lambda spark, d: c.subsamples(_short_items(spark, d), RATE, backward))
-    query(f"submarks_{side}", f"{head} SELECT text_id, mark, sample FROM sub")(lambda spark, d: _sub(_short_items(spark, d), backward)[1])
-    query(
-        f"validity_{side}",
-        f"""{head}, full_ AS (SELECT text_id, mark, lead(mark) OVER (PARTITION BY text_id ORDER BY {order}) AS f FROM {"lb" if backward else "lfw"}),
-k AS (SELECT text_id, mark, lead(mark) OVER (PARTITION BY text_id ORDER BY {order}) AS n FROM sub)
-SELECT text_id, mark, f IS NOT DISTINCT FROM n AS valid, CASE WHEN f IS DISTINCT FROM n THEN abs(f - mark) END AS area FROM k JOIN full_ USING (text_id, mark)""",
-    )(lambda spark, d: c.validity(*_sub(_short_items(spark, d), backward), backward))
-    # over whole items, without SQL: its walk is only for texts of 60 characters
-    query(f"subsamples_{side}_items")(lambda spark, d: c.subsamples(items(spark, d), RATE, backward))
-    query(f"submarks_{side}_items")(lambda spark, d: _sub(items(spark, d), backward)[1])
-    query(f"validity_{side}_items")(lambda spark, d: c.validity(*_sub(items(spark, d), backward), backward))
+    side, x, value = ("backward", "b", "tail_tpos") if backward else ("forward", "f", "head_tpos")
+    head = _ITEMS + _greedy_sql(backward)
+    number = "row_number() OVER (PARTITION BY {0} ORDER BY {1}) - 1"
+    places = f"places AS (SELECT text_id, run, st AS start, prun, {number.format('text_id', 'run')} AS row_order, {number.format('text_id', 'prun')} AS symbol_order FROM kept_{x} JOIN pr USING (text_id, run))"
+    query(f"subsamples_{side}", f"{head} SELECT text_id, run, pr.{value} AS tpos FROM kept_{x} JOIN pr USING (text_id, run)")(lambda spark, d: c.subsamples(items(spark, d), RATE, backward))
+    query(f"subsample_places_{side}", f"{head}, {places} SELECT * FROM places")(lambda spark, d: _kept(spark, d, backward)[1])
+    query(f"submarks_{side}", f"{head} SELECT text_id, mark, sample FROM sub_{x}")(lambda spark, d: _kept(spark, d, backward)[2])
+    query(f"submark_links_{side}", f"{head}, {places} SELECT text_id, mark, {number.format('text_id', 'mark')} AS mark_order, row_order, symbol_order FROM sub_{x} JOIN places USING (text_id, run)")(
+        lambda spark, d: c.submark_links(*_kept(spark, d, backward)[:2], backward)
+    )
+    query(f"validity_{side}", f"{head} SELECT text_id, mark, valid, area FROM valid_{x}")(lambda spark, d: c.validity(*_kept(spark, d, backward)[::2], backward))
 
 
 _subsampling(True)
 _subsampling(False)
 
 
-@query("cross_variant_diff", "SELECT 0::BIGINT AS text_id, 0::BIGINT AS pattern_id, 0::BIGINT AS pos WHERE false")
+@query("cross_variant_diff", "SELECT 0::BIGINT AS text_id, 0::BIGINT AS pattern_id, 0::BIGINT AS pos, '' AS strategy WHERE false")
 def cross_variant_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Rows in which strategies differ from the suffix-array slice: none."""
-    index, given = _index(spark, d), patterns(spark, PATTERNS[:4])
-    want = index.locate(given, "sa_slice")
-    out = None
-    for name in ("tails", "tails_sampled_areas", "heads", "heads_psi_sampled_marks"):
-        got = index.locate(given, name)
-        both = got.exceptAll(want).union(want.exceptAll(got))
-        out = both if out is None else out.union(both)
-    return out
+    """Occurrences that not every strategy finds exactly once, with one that does: none, of any pattern."""
+    found = _index(spark, d).locate_by_each(patterns(spark, PATTERNS))
+    once = found.groupBy("text_id", "pattern_id", "pos").agg(F.count("*").alias("n"), F.count_distinct("strategy").alias("k"), F.min("strategy").alias("strategy"))
+    return once.where(f"n <> {len(STRATEGIES)} OR k <> {len(STRATEGIES)}").select("text_id", "pattern_id", "pos", "strategy")
 
 
 @query("occurrence_stats", WITH_ITEMS + f", {_FOUND}, n AS (SELECT text_id, pattern_id, count(*) AS occ FROM found GROUP BY ALL) SELECT count(DISTINCT pattern_id) AS patterns, coalesce(sum(occ), 0)::BIGINT AS total, min(occ) AS least, max(occ) AS most, avg(occ) AS mean FROM n")
@@ -464,16 +527,54 @@ def pattern_base64(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).count(decode_patterns(coded, True)).select("text_id", "pattern_id", "occ")
 
 
-@query("sampling_sweep")
+_SIDES = {"b": True, "f": False}
+_RATES = (4, 8, 16, 32, 64, 128, 256, 512)
+
+
+def _counted_sql(rates: tuple[int, ...]) -> str:
+    """CTE counted: n, r, and kept samples and valid marks of both directions, by rate."""
+    both = ", ".join(_greedy_sql(backward, rates) for backward in _SIDES.values())
+    kept = " ".join(f"JOIN (SELECT s, text_id, count(*) AS kept_{x} FROM kept_{x} GROUP BY ALL) USING (s, text_id) JOIN (SELECT s, text_id, count(*) AS subs_{x}, count(*) FILTER (valid) AS valid_{x} FROM valid_{x} GROUP BY ALL) USING (s, text_id)" for x in _SIDES)
+    listed = ", ".join(f"({s})" for s in rates)
+    return f"{both}, counted AS (SELECT text_id, s, n, r, kept_b, kept_f, subs_b, subs_f, valid_b, valid_f FROM (SELECT rates.s, t.text_id, t.n, r.r FROM t JOIN r USING (text_id), (VALUES {listed}) AS rates(s)) {kept})"
+
+
+@query("sampling_sweep", f"{_ITEMS}{_counted_sql(_RATES)} SELECT text_id, s::BIGINT AS s, n, r, kept_b, kept_f, valid_b, valid_f FROM counted")
 def sampling_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return sweep(items(spark, d))
+    return sweep(items(spark, d), _RATES)
 
 
-@query("index_counters")
+@query("index_counters", f"{_ITEMS}{_counted_sql((8,))} SELECT text_id, n, r, s::INT AS s, kept_b AS b_kept_n, kept_f AS f_kept_n, valid_b AS b_valid, valid_f AS f_valid FROM counted")
 def index_counters(spark: SparkSession, d: str) -> DataFrame:
     return TextIndex.build(items(spark, d), 8).counters()
 
 
-@query("index_sizes")
+_SIZE = {k: "r" for k in ("run_start", "head_tpos", "tail_tpos", "p_start", "p_size", "p_head", "p_tail")} | {"b_kept": "kept_b", "f_kept": "kept_f", "f_rows": "kept_f", "f_places": "kept_f", "f_heads": "kept_f", "sa": "n"}
+_SIZE |= {k: "subs_b" for k in ("b_mark", "b_sample", "b_area")} | {k: "subs_f" for k in ("f_mark", "f_sample", "f_area", "f_link")}
+
+
+@query("index_sizes", f"{_ITEMS}{_counted_sql((8,))} SELECT text_id, unnest([{', '.join(repr(k) for k in _SIZE)}, 'run_sym', 'p_sym']) AS part, unnest([{', '.join(f'8 * {v}' for v in _SIZE.values())}, r, r]) AS bytes FROM counted")
 def index_sizes(spark: SparkSession, d: str) -> DataFrame:
     return TextIndex.build(items(spark, d), 8).sizes()
+
+
+_BITS = {"tails": "3 * r", "heads_sampled_areas": "2 * r + 2 * kept_f + 3 * subs_f", "heads_psi_sampled": "2 * r + 2 * kept_f + 3 * subs_f", "sa_slice": "r + n"}
+
+
+@query("index_bits", f"{_ITEMS}{_counted_sql((8,))} " + " UNION ALL ".join(f"SELECT '{k}' AS strategy, text_id, (({v}) * ceil(log2(n + 1)) + 8 * r)::DOUBLE / n AS bits FROM counted" for k, v in _BITS.items()))
+def index_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Bits a symbol that some strategies read."""
+    index = TextIndex.build(items(spark, d), 8)
+    return reduce(DataFrame.union, [index.bits_per_symbol(k).select(F.lit(k).alias("strategy"), "text_id", "bits") for k in _BITS])
+
+
+@query("mark_quartiles", WITH_ITEMS + "SELECT text_id, count(*) AS n, min(mark) AS least, quantile_cont(mark, 0.25) AS q1, quantile_cont(mark, 0.5) AS median, quantile_cont(mark, 0.75) AS q3, max(mark) AS most FROM lb GROUP BY 1")
+def mark_quartiles(spark: SparkSession, d: str) -> DataFrame:
+    return stats.mark_quartiles(c.links_backward(c.bwt_runs(c.bwt(c.suffix_array(items(spark, d))))))
+
+
+@query("mark_kde", WITH_ITEMS + "SELECT text_id, k / 20 AS x, round(sum(exp(-pow((k / 20 - mark / n) / 0.05, 2) / 2)) / count(*) / (0.05 * sqrt(2 * pi())), 9) AS density FROM lb JOIN t USING (text_id), range(0, 21) AS p(k) GROUP BY 1, 2")
+def mark_kde(spark: SparkSession, d: str) -> DataFrame:
+    texts = items(spark, d)
+    marks = c.links_backward(c.bwt_runs(c.bwt(c.suffix_array(texts))))
+    return stats.mark_kde(marks, texts.select("text_id", (F.length("body") + 1).cast("long").alias("n")), 20).withColumn("density", F.round("density", 9))
