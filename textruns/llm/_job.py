@@ -96,7 +96,7 @@ def ship(spark: SparkSession) -> None:
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
 
-def _release() -> None:
+def release() -> None:
     """Give freed memory back: workers outlive their tasks."""
     pa.default_memory_pool().release_unused()
     try:
@@ -121,7 +121,7 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
         try:
             yield from f(batches)
         finally:
-            _release()
+            release()
 
     return df.mapInArrow(run, schema)
 

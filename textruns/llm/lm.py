@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._job import arrow_map, discard, materialize, ship
+from ._job import arrow_map, discard, materialize, release, ship
 from ._text import WORD_BYTE, Piece, Words, lookup, mix, pieces, words
 
 HEADS = 1022
@@ -210,12 +210,12 @@ class Trainer:
     def run(self, codes: np.ndarray, n: np.ndarray, batch: int = BATCH) -> None:
         """One pass over distinct coded (c1, c2, t) of ``n`` occurrences. Equal ones are trained together, with a weight; heavy ones in parts of at most ``HEAVY``."""
         times = -(-n // HEAVY)
-        codes, weight = np.repeat(codes, times), np.repeat(n / times, times)
+        codes, weight = np.repeat(codes, times), np.repeat((n / times).astype(np.float32), times)
         v = self.m.size
-        order = self.rng.permutation(len(codes))
+        order = self.rng.permutation(np.arange(len(codes), dtype=np.int32))
         for a in range(0, len(order), batch):
             o = order[a : a + batch]
-            c = codes[o]
+            c = codes[o].astype(np.int64)
             self.step(c % v, c // v % v, c // (v * v), weight[o])
 
     def flat(self) -> np.ndarray:
@@ -271,18 +271,24 @@ def gathered(docs: DataFrame, model: LogBilinear, chunks: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(-1 - chunk_of[:1]), pa.ListArray.from_arrays(ends, pa.array(codes.astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(m.astype(np.int32)))], ["chunk", "codes", "n"])
 
     def merge(t: pa.Table) -> pa.Table:
+        try:
+            return merged(t)
+        finally:
+            release()
+
+    def merged(t: pa.Table) -> pa.Table:
         codes = np.concatenate([c.flatten().to_numpy() for c in t["codes"].chunks])
         if (chunk := t["chunk"][0].as_py()) >= 0:
             codes, n = np.unique(codes, return_counts=True)
         else:
             codes, at = np.unique(codes, return_inverse=True)
-            n = np.bincount(at, weights=np.concatenate([c.flatten().to_numpy() for c in t["n"].chunks])).astype(np.int64)
+            n = np.bincount(at, weights=np.concatenate([c.flatten().to_numpy() for c in t["n"].chunks]))
         ends = pa.array(np.array([0, len(codes)], np.int32))
-        return pa.Table.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(ends, pa.array(codes)), pa.ListArray.from_arrays(ends, pa.array(n))], ["chunk", "codes", "n"])
+        return pa.Table.from_arrays([pa.array([chunk]), pa.ListArray.from_arrays(ends, pa.array(codes)), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))], ["chunk", "codes", "n"])
 
     rows = docs.select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
     coded = arrow_map(rows, code, "chunk long, codes array<int>, n array<int>")
-    return materialize(coded.groupBy("chunk").applyInArrow(merge, "chunk long, codes array<int>, n array<long>"), "coded")
+    return materialize(coded.groupBy("chunk").applyInArrow(merge, "chunk long, codes array<int>, n array<int>"), "coded")
 
 
 def averaged(copies: DataFrame, name: str) -> np.ndarray:
