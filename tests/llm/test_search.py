@@ -97,6 +97,22 @@ def test_url_filter(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_declarations_like_sql(spark, duck):
+    import textruns.llm.urls as u
+
+    html = [
+        '<link rel="canonical" href="http://b.example.com/a?id=1&amp;p=2"><LINK href=\'/x;y=1 z\' REL=\'next Canonical\'>', "<meta content='0; url=\"http://c.example.com/q\"' http-equiv=Refresh>", '<link title="a > rel=canonical" href=/no rel=icon>',
+        "<link rel=canonical href=//d.example.com/e/><linkrel=canonical href=/f>", '<meta http-equiv=" refresh " content="3, URL = g/h?a=1">', None, "<link>", '<link rel="canonical" href=""><link rel=canonical rel=icon href="&#39;&amp;lt;i" href="/second">', "<meta name=x content='5;url=/no'>",
+    ]
+    pages = [(i, f"http://a{i}.example.com/dir/p", h) for i, h in enumerate(html)] + [(50, None, html[0]), (51, "http://casino-win.example.com/q", html[1])]
+    duck.register("odd_pages", pa.table({"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": [p[2] for p in pages]}))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    rows = lambda sql: sorted(map(str, duck.sql(sql.replace("FROM pages", "FROM odd_pages")).fetchall()))
+    want = sorted(str(tuple(r)) for r in u.declarations(df).collect())
+    assert len(want) == 7 and rows(f"WITH {u.DECLARED_SQL} SELECT url, target FROM declared WHERE target <> ''") == want
+    assert rows(f"SELECT page_id, url, name, class, decision FROM ({u.SQL})") == sorted(str(tuple(r)) for r in u.filter_urls(df).collect())
+
+
 def test_url_declarations_are_whole(spark):
     pages = [
         (1, "http://casino-win.example.com/a?id=1&p=2", ""), (2, "http://b.example.com/", '<link rel="canonical" href="http://casino-win.example.com/a?id=1&amp;p=2">'),

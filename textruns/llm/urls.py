@@ -7,7 +7,7 @@ in ``BLOCK``) unless it is explicitly allowed (a prefix in ``ALLOW``); a blocked
 
 Defined cases: a NULL or blank URL has no name and passes; NULL html declares nothing; an alias of a page to itself does nothing; repeated
 rows get a row each, alike; extra columns are ignored; empty tables give no rows. All declarations of a page count, with attribute values up to their
-own closing delimiter and entities decoded. The SQL knows only the first declaration of each kind, up to a space or semicolon, undecoded.
+own closing delimiter and entities decoded. The SQL does the same for tags whose quotes are closed, and knows the entities of XML only.
 """
 
 from __future__ import annotations
@@ -70,16 +70,14 @@ def with_resolved(df: DataFrame, target: str, url: str, out: str) -> DataFrame:
     return df.withColumn(out, whole).drop("_bare", "_host", "_folder")
 
 
-#: Pattern of the declaring tag, and of its target, in the SQL.
-DECLARED = {
-    "canonical": ("""(?i)(<link[^>]*rel=["']?canonical["']?[^>]*>)""", """(?i)href=["']?([^"'> ;]+)"""),
-    "refresh": ("""(?i)(<meta[^>]*http-equiv=["']?refresh["']?[^>]*>)""", """(?i)url=["']?([^"'> ;]+)"""),
-}
-
-
-_TAG = re.compile(r"""<(link|meta)(?=[\s/>])((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>""", re.I)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*))""")
-_REFRESH = re.compile(r"""[\s\d.]*[;,]?\s*(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|(.*))""", re.I | re.S)
+_W = r"[ \t\n\f\r]"
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^ \t\n\f\r>]*))"""
+_NAME = r"""[^ \t\n\f\r"'>/=]+"""
+_INNER = rf"""(?:={_W}*"[^"]*"|={_W}*'[^']*'|[^>])*"""
+_TAG = re.compile(rf"<(link|meta)(?:[ \t\n\f\r/]({_INNER}+))?>", re.I | re.A)
+_ATTRIBUTE = re.compile(rf"({_NAME}){_W}*={_W}*{_VALUE}")
+_REFRESH_TARGET = rf"""[ \t\n\f\r0-9.]*[;,]?{_W}*(?:url{_W}*={_W}*)?(?:"([^"]*)|'([^']*)|(.*))"""
+_REFRESH = re.compile(_REFRESH_TARGET, re.I | re.S | re.A)
 
 
 def targets(page: str) -> list[str]:
@@ -111,9 +109,32 @@ def declarations(pages: DataFrame) -> DataFrame:
     return arrow_map(some, run, "url string, target string")
 
 
-def declared_sql(kind: str) -> str:
-    tag, target = (x.replace("'", "''") for x in DECLARED[kind])
-    return f"regexp_extract(regexp_extract(coalesce(html, ''), '{tag}', 1), '{target}', 1)"
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _groups_sql(value: str, pattern: str) -> str:
+    """Whatever of a pattern's three groups matched."""
+    return "concat(" + ", ".join(f"regexp_extract({value}, {_q(pattern)}, {i})" for i in (1, 2, 3)) + ")"
+
+
+def _given_sql(name: str) -> str:
+    """Value of a tag's first attribute of a name, decoded; '' if there is none."""
+    raw = _groups_sql(f"list_filter(attributes, lambda a: lower(regexp_extract(a, {_q('^' + _NAME)})) = '{name}')[1]", f"^{_NAME}{_W}*={_W}*{_VALUE}")
+    for entity, by in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&#x27;", "''"), ("&#38;", "&"), ("&amp;", "&")):
+        raw = f"replace({raw}, '{entity}', '{by}')"
+    return f"coalesce({raw}, '')"
+
+
+_ATTRIBUTES = rf"""{_NAME}{_W}*={_W}*(?:"[^"]*"|'[^']*'|[^ \t\n\f\r>]*)"""
+#: CTEs in DuckDB: declared (url, target) of every declaration of every page.
+DECLARED_SQL = f"""
+tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), {_q(f"(?i)<(?:link|meta)(?:[ {chr(92)}t{chr(92)}n{chr(92)}f{chr(92)}r/]{_INNER})?>")})) AS tag FROM pages WHERE url IS NOT NULL),
+attributed AS (SELECT url, lower(tag[2:5]) AS kind, regexp_extract_all(tag[6:-2], {_q(_ATTRIBUTES)}) AS attributes FROM tags),
+given AS (SELECT url, kind, {_given_sql("rel")} AS rel, {_given_sql("href")} AS href, {_given_sql("http-equiv")} AS equiv, {_given_sql("content")} AS content FROM attributed),
+declared AS (SELECT url, trim(regexp_replace(CASE WHEN kind = 'link' AND list_contains(string_split_regex(lower(rel), '[ {chr(92)}t{chr(92)}n{chr(92)}f{chr(92)}r]+'), 'canonical') THEN href
+    WHEN kind = 'meta' AND lower(trim(equiv)) = 'refresh' THEN {_groups_sql("content", "(?is)^" + _REFRESH_TARGET)} ELSE '' END, '[{chr(92)}t{chr(92)}r{chr(92)}n]', '', 'g')) AS target FROM given)
+"""
 
 
 def resolved_sql(target: str, url: str) -> str:
@@ -152,9 +173,9 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None) -> DataFra
 
 
 SQL = f"""
-WITH RECURSIVE declared AS (SELECT page_id, url, html, {declared_sql('canonical')} AS canonical, {declared_sql('refresh')} AS refresh FROM pages),
-known AS (SELECT page_id, url, {name_sql("url")} AS name, {name_sql(f"({resolved_sql('canonical', 'url')})")} AS canonical, {name_sql(f"({resolved_sql('refresh', 'url')})")} AS refresh FROM declared),
-edges AS (SELECT name AS a, unnest([canonical, refresh]) AS b FROM known),
+WITH RECURSIVE {DECLARED_SQL.strip()},
+known AS (SELECT page_id, url, {name_sql("url")} AS name FROM pages),
+edges AS (SELECT {name_sql("url")} AS a, {name_sql(f"({resolved_sql('target', 'url')})")} AS b FROM declared),
 linked AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM linked UNION SELECT r.node, e.b FROM reach r JOIN linked e ON r.other = e.a),
 member AS (SELECT node, min(other) AS component, bool_or({_blocked_sql("other")} AND NOT {_allowed_sql("other", True)}) AS bad FROM reach GROUP BY node)
