@@ -69,7 +69,7 @@ class Rows:
         """Values and the text of each."""
         c = self.batch.column(name)
         offsets = c.offsets.to_numpy()
-        return c.flatten().to_numpy(), np.repeat(np.arange(len(c)), np.diff(offsets))
+        return c.flatten().to_numpy().astype(np.int64), np.repeat(np.arange(len(c)), np.diff(offsets))
 
     def placed(self, name: str) -> tuple[np.ndarray, np.ndarray]:
         """Rows or positions of the batch, and the text of each."""

@@ -20,7 +20,7 @@ _LISTS = (
     "run_start", "head_tpos", "tail_tpos", "b_kept", "b_mark", "b_sample", "b_area", "f_kept", "f_mark", "f_sample", "f_area", "f_rows",
     "p_start", "p_size", "p_head", "p_tail", "f_places", "f_heads", "f_link", "sa",
 )
-SCHEMA = "text_id long, n long, r long, s int, run_sym binary, p_sym binary, " + ", ".join(f"{k} array<long>" for k in _LISTS)
+SCHEMA = "text_id long, n long, r long, s int, run_sym binary, p_sym binary, " + ", ".join(f"{k} array<int>" for k in _LISTS)
 
 
 def register_strategy(strategy: Strategy) -> None:
@@ -57,7 +57,7 @@ def index_batch(ids: list[int], bodies: list[bytes], s: int, keep_suffix_array:
     if keep_suffix_array:
         lists["sa"] = base, sa - np.repeat(base[:-1], np.diff(base))
     fixed = [pa.array(ids, pa.int64()), pa.array(np.diff(base)), pa.array(np.diff(first)), pa.array(np.full(len(ids), s, np.int32)), _symbols(runs.sym, first), _symbols(runs.sym[psi], first)]
-    return pa.RecordBatch.from_arrays([*fixed, *(pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v)) for a, v in lists.values())], ["text_id", "n", "r", "s", "run_sym", "p_sym", *lists])
+    return pa.RecordBatch.from_arrays([*fixed, *(pa.ListArray.from_arrays(pa.array(a.astype(np.int32)), pa.array(v.astype(np.int32))) for a, v in lists.values())], ["text_id", "n", "r", "s", "run_sym", "p_sym", *lists])
 
 
 @dataclass
@@ -105,8 +105,8 @@ class TextIndex:
         return search.first_occurrences(self.data, patterns, strategy)
 
     def sizes(self) -> DataFrame:
-        """text_id, part, bytes: how large each part of the index is, at 8 bytes a number and 1 a symbol."""
-        lists = [F.struct(F.lit(k).alias("part"), (F.size(k) * 8).cast("long").alias("bytes")) for k in _LISTS]
+        """text_id, part, bytes: how large each part of the index is, at 4 bytes a number and 1 a symbol."""
+        lists = [F.struct(F.lit(k).alias("part"), (F.size(k) * 4).cast("long").alias("bytes")) for k in _LISTS]
         symbols = [F.struct(F.lit(k).alias("part"), F.length(k).cast("long").alias("bytes")) for k in ("run_sym", "p_sym")]
         return self.data.select("text_id", F.explode(F.array(*lists, *symbols)).alias("x")).select("text_id", "x.part", "x.bytes")
 

@@ -402,22 +402,22 @@ def toehold_forward(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).first_occurrences(patterns(spark, PATTERNS), "heads_psi_sampled")
 
 
-_BORDERLESS = ["the", "ation", "ción", "heit", "Licensed under"]
-_COUNT_DOCS = f"""SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, occ FROM (SELECT doc_id, pattern_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS occ FROM documents, {_values(_BORDERLESS)}) WHERE occ > 0"""
+BORDERLESS = ["the", "ation", "ción", "heit", "Licensed under"]
+_COUNT_DOCS = f"""SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, occ FROM (SELECT doc_id, pattern_id, ((length(text) - length(replace(text, pattern, ''))) // length(pattern))::BIGINT AS occ FROM documents, {_values(BORDERLESS)}) WHERE occ > 0"""
 
 
 @query("count_patterns_docs", _COUNT_DOCS)
 def count_patterns_docs(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(documents(spark, d), 64, False, False).count(patterns(spark, _BORDERLESS)).select("text_id", "pattern_id", "occ")
+    return TextIndex.build(documents(spark, d), 64, False, False).count(patterns(spark, BORDERLESS)).select("text_id", "pattern_id", "occ")
 
 
 @query("count_scan_docs", _COUNT_DOCS)
 def count_scan_docs(spark: SparkSession, d: str) -> DataFrame:
-    return search.scan_count(documents(spark, d), patterns(spark, _BORDERLESS))
+    return search.scan_count(documents(spark, d), patterns(spark, BORDERLESS))
 
 
 _LOCATE_DOCS = f"""
-WITH cut AS (SELECT doc_id, pattern_id, pattern, string_split(text, pattern) AS parts FROM documents, {_values(_BORDERLESS)} WHERE contains(text, pattern)),
+WITH cut AS (SELECT doc_id, pattern_id, pattern, string_split(text, pattern) AS parts FROM documents, {_values(BORDERLESS)} WHERE contains(text, pattern)),
 each AS (SELECT doc_id, pattern_id, octet_length(encode(pattern)) AS m, generate_subscripts(parts, 1) AS k, unnest(parts) AS part FROM cut),
 placed AS (SELECT doc_id, pattern_id, k, m, sum(octet_length(encode(part)) + m) OVER (PARTITION BY doc_id, pattern_id ORDER BY k) - m AS pos, count(*) OVER (PARTITION BY doc_id, pattern_id) AS n FROM each)
 SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, pos::BIGINT AS pos FROM placed WHERE k < n
@@ -426,19 +426,19 @@ SELECT doc_id AS text_id, pattern_id::BIGINT AS pattern_id, pos::BIGINT AS pos F
 
 @query("locate_docs", _LOCATE_DOCS)
 def locate_docs(spark: SparkSession, d: str) -> DataFrame:
-    return TextIndex.build(documents(spark, d), 64, False, False).locate(patterns(spark, _BORDERLESS), "heads")
+    return TextIndex.build(documents(spark, d), 64, False, False).locate(patterns(spark, BORDERLESS), "heads")
 
 
 @query("locate_each_docs", "WITH found AS (" + _LOCATE_DOCS + ") SELECT strategy, text_id, pattern_id, count(*) AS occ, sum(pos)::BIGINT AS positions FROM found, (VALUES " + ", ".join(f"('{k}')" for k in STRATEGIES) + ") AS k(strategy) GROUP BY ALL")
 def locate_each_docs(spark: SparkSession, d: str) -> DataFrame:
     """By strategy, document and pattern: occurrences, and the sum of their positions."""
-    found = TextIndex.build(documents(spark, d), 16).locate_by_each(patterns(spark, _BORDERLESS))
+    found = TextIndex.build(documents(spark, d), 16).locate_by_each(patterns(spark, BORDERLESS))
     return found.groupBy("strategy", "text_id", "pattern_id").agg(F.count("*").alias("occ"), F.sum("pos").alias("positions"))
 
 
 @query("locate_scan_docs", _LOCATE_DOCS)
 def locate_scan_docs(spark: SparkSession, d: str) -> DataFrame:
-    return search.scan_locate(documents(spark, d), patterns(spark, _BORDERLESS))
+    return search.scan_locate(documents(spark, d), patterns(spark, BORDERLESS))
 
 
 def _greedy_sql(backward: bool, rates: tuple[int, ...] = (RATE,)) -> str:
@@ -553,7 +553,7 @@ _SIZE = {k: "r" for k in ("run_start", "head_tpos", "tail_tpos", "p_start", "p_s
 _SIZE |= {k: "subs_b" for k in ("b_mark", "b_sample", "b_area")} | {k: "subs_f" for k in ("f_mark", "f_sample", "f_area", "f_link")}
 
 
-@query("index_sizes", f"{_ITEMS}{_counted_sql((8,))} SELECT text_id, unnest([{', '.join(repr(k) for k in _SIZE)}, 'run_sym', 'p_sym']) AS part, unnest([{', '.join(f'8 * {v}' for v in _SIZE.values())}, r, r]) AS bytes FROM counted")
+@query("index_sizes", f"{_ITEMS}{_counted_sql((8,))} SELECT text_id, unnest([{', '.join(repr(k) for k in _SIZE)}, 'run_sym', 'p_sym']) AS part, unnest([{', '.join(f'4 * {v}' for v in _SIZE.values())}, r, r]) AS bytes FROM counted")
 def index_sizes(spark: SparkSession, d: str) -> DataFrame:
     return TextIndex.build(items(spark, d), 8).sizes()
 
