@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textruns.functions.cluster import map_batches
 from textruns.functions.kernels import Runs, Samples, sorted_suffixes
 
 #: Bytes of text whose suffix arrays are built together.
@@ -83,7 +84,7 @@ def suffix_array(texts: DataFrame) -> DataFrame:
                 text_id = pa.array(ids, pa.int64()).take(pa.array(np.repeat(np.arange(len(ids)), n)))
                 yield pa.RecordBatch.from_arrays([text_id, pa.array(np.repeat(n, n)), pa.array(np.arange(len(sa)) - own), pa.array(sa - own), pa.array(tpos - own), pa.array(sym)], ["text_id", "n", "i", "sa", "text_pos", "sym"])
 
-    return texts.select("text_id", "body").mapInArrow(run, SUFFIX_SCHEMA)
+    return map_batches(texts.select("text_id", "body"), run, SUFFIX_SCHEMA)
 
 
 def suffix_array_by_windows(syms: DataFrame) -> DataFrame:
@@ -224,7 +225,7 @@ def counters(texts: DataFrame) -> DataFrame:
                 base, sa = sorted_suffixes(bodies)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(base)), pa.array(np.diff(Runs.of(bodies, base, sa).first))], ["text_id", "n", "r"])
 
-    return texts.select("text_id", "body").mapInArrow(run, "text_id long, n long, r long")
+    return map_batches(texts.select("text_id", "body"), run, "text_id long, n long, r long")
 
 
 def subsamples(texts: DataFrame, s: int, backward: bool) -> DataFrame:
@@ -240,7 +241,7 @@ def subsamples(texts: DataFrame, s: int, backward: bool) -> DataFrame:
                 tpos = (runs.tail_tpos if backward else runs.head_tpos)[kept] - base[text]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()).take(pa.array(text)), pa.array(kept - runs.first[text]), pa.array(tpos)], ["text_id", "run", "tpos"])
 
-    return texts.select("text_id", "body").mapInArrow(run, "text_id long, run long, tpos long")
+    return map_batches(texts.select("text_id", "body"), run, "text_id long, run long, tpos long")
 
 
 def sample_links(links: DataFrame) -> DataFrame:

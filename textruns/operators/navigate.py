@@ -14,14 +14,11 @@ def asof(probes: DataFrame, table: DataFrame, by: list[str], at: str, key: str,
     """
     left = probes.select(F.struct(*probes.columns).alias("probe"), *by, F.col(at).alias("_at"), F.lit(None).cast(_struct(table, [key, *values])).alias("hit"))
     right = table.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), *by, F.col(key).alias("_at"), F.struct(key, *values).alias("hit"))
-    # at equal positions, probes come after the rows they may see
-    sees = (F.lit(1) if strict else F.lit(0)) if backward else (F.lit(0) if strict else F.lit(1))
+    # rows are walked towards the probes, so that a frame only grows; at equal positions, probes come after the rows they may see
+    sees = F.lit(1) if strict else F.lit(0)
     side = F.when(F.col("probe").isNull(), sees).otherwise(1 - sees)
-    w = Window.partitionBy(*by).orderBy("_at", side)
-    if backward:
-        found = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    else:
-        found = F.first("hit", ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    w = Window.partitionBy(*by).orderBy(F.asc("_at") if backward else F.desc("_at"), side)
+    found = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return left.unionByName(right).withColumn("hit", found).where("probe IS NOT NULL").select("probe.*", *(F.col(f"hit.{v}").alias(v) for v in [key, *values]))
 
 

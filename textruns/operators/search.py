@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from textruns.functions.cluster import map_batches
 from textruns.functions.forest import Access, Forest, Found, Marks, batches_of, by_row, by_run, first_values, search
 from textruns.functions.forest import locate as resolve
 from textruns.functions.kernels import STRATEGIES, Strategy
@@ -162,7 +163,7 @@ def _searched(index: DataFrame, patterns: DataFrame, columns: list[str], schema:
                     for text, pattern, more in answer(rows, bodies):
                         yield pa.RecordBatch.from_arrays([rows.batch.column("text_id").take(pa.array(text)), ids.take(pa.array(pattern)), *map(pa.array, more)], names)
 
-        return index.select(*_FIXED, *columns).mapInArrow(run, schema)
+        return map_batches(index.select(*_FIXED, *columns), run, schema)
 
     return _over_blocks(patterns, one)
 
@@ -253,7 +254,7 @@ def scan_locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                             at = body.find(p, at + 1)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["text_id", "pattern_id", "pos"])
 
-        return texts.select("text_id", "body").mapInArrow(run, "text_id long, pattern_id long, pos long")
+        return map_batches(texts.select("text_id", "body"), run, "text_id long, pattern_id long, pos long")
 
     return _over_blocks(patterns, one)
 
@@ -278,7 +279,7 @@ def scan_count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
                             out[2].append(n)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["text_id", "pattern_id", "occ"])
 
-        return texts.select("text_id", "body").mapInArrow(run, "text_id long, pattern_id long, occ long")
+        return map_batches(texts.select("text_id", "body"), run, "text_id long, pattern_id long, occ long")
 
     return _over_blocks(patterns, one)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textruns.functions.cluster import map_batches
 from textruns.functions.kernels import STRATEGIES, Runs, Samples, Strategy, sorted_suffixes
 from textruns.operators import search
 from textruns.operators.construct import by_size
@@ -81,7 +82,7 @@ class TextIndex:
                 for ids, bodies in by_size(b.column("text_id"), b.column("body")):
                     yield index_batch(ids, bodies, s, keep_suffix_array, keep_samples)
 
-        return TextIndex(texts.select("text_id", "body").mapInArrow(run, SCHEMA))
+        return TextIndex(map_batches(texts.select("text_id", "body"), run, SCHEMA))
 
     def save(self, path: str) -> None:
         self.data.write.mode("overwrite").parquet(path)
@@ -138,4 +139,4 @@ def sweep(texts: DataFrame, rates: tuple[int, ...] = (4, 8, 16, 32, 64, 128, 256
                     columns = [np.full(len(ids), s), np.diff(base), np.diff(runs.first), *kept, *valid]
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c.astype(np.int64)) for c in columns)], ["text_id", "s", "n", "r", "kept_b", "kept_f", "valid_b", "valid_f"])
 
-    return texts.select("text_id", "body").mapInArrow(run, "text_id long, s long, n long, r long, kept_b long, kept_f long, valid_b long, valid_f long")
+    return map_batches(texts.select("text_id", "body"), run, "text_id long, s long, n long, r long, kept_b long, kept_f long, valid_b long, valid_f long")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textruns.functions.cluster import map_batches
+
 
 def _numbers(data: bytes, width: int) -> np.ndarray:
     if len(data) % width:
@@ -29,7 +31,7 @@ def read_pairs(spark: SparkSession, path: str, n: int) -> DataFrame:
                 at = np.arange(len(pairs))
                 yield pa.RecordBatch.from_arrays([pa.array([where] * len(pairs)), pa.array(at), pa.array(pairs[:, 0]), pa.array((pairs[:, 1] - 1) % n)], ["path", "run", "row", "text_pos"])
 
-    return files.mapInArrow(run, "path string, run long, row long, text_pos long")
+    return map_batches(files, run, "path string, run long, row long, text_pos long")
 
 
 def read_u64(spark: SparkSession, path: str) -> DataFrame:
@@ -42,7 +44,7 @@ def read_u64(spark: SparkSession, path: str) -> DataFrame:
                 x = _numbers(content, 8)
                 yield pa.RecordBatch.from_arrays([pa.array([where] * len(x)), pa.array(np.arange(len(x))), pa.array(x)], ["path", "i", "value"])
 
-    return files.mapInArrow(run, "path string, i long, value long")
+    return map_batches(files, run, "path string, i long, value long")
 
 
 def as_u64(column: DataFrame, key: str, order: str, value: str) -> DataFrame:
