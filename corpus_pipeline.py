@@ -11,22 +11,37 @@ from textruns.llm._job import materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents under the model's severity cut. The model is fitted on the labelled documents that this stage is given."""
+    """Documents under the model's severity cut. The model is fitted on the labelled documents that this stage is given.
+
+    NULL and empty texts have the severity of the bias and stay, as do NULL ids; repeated rows are decided alike; a severity equal to the cut goes. Without labelled
+    documents of both classes all stay. No documents, no rows.
+    """
     return toxicity.filter_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with calibrated confidence."""
+    """Documents whose language is recognised with calibrated confidence.
+
+    NULL and empty texts, and those without letters, go; NULL ids stay if their text does; repeated rows are decided alike; a NULL lang is only left out of the
+    fit. Without any lang all documents go. No documents, no rows.
+    """
     return langid.filter_language(docs, langid.train(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of the smallest doc_id, of each group of near duplicates."""
+    """One document, of the smallest doc_id, of each group of near duplicates.
+
+    Texts without words and NULL ids are in no group and stay; of rows that repeat a doc_id the one with the smallest text stays. No documents, no rows.
+    """
     return neardup.deduplicate(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bins of documents, cut to the capacity, by best-two-fit."""
+    """Bins of documents, cut to the capacity, by best-two-fit.
+
+    Texts without words stand in no bin; NULL ids and repeated rows are packed like others; of pieces of one length the smallest (doc_id, start) goes first. No
+    documents, no bins.
+    """
     return packing.pack(docs)
 
 
