@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textruns.functions.cluster import map_batches
+from textruns.functions.cluster import map_batches, shared_dir
 from textruns.functions.kernels import Runs, Samples, sorted_suffixes
 
 #: Bytes of text whose suffix arrays are built together.
@@ -119,16 +119,16 @@ def suffix_array_by_blocks(syms: DataFrame) -> DataFrame:
 
     A suffix's rank is the number of suffixes of its text that are known to be smaller. In each round those that share their rank are ranked by the rank of
     the suffix ``step`` behind, which a join on the position finds; the others are settled. The first round has a window for each symbol, later ones a
-    window for each repeated string. Rounds are as many as the logarithm of the longest repeat; each goes to the checkpoint folder, where one is set.
+    window for each repeated string. Rounds are as many as the logarithm of the longest repeat; each is a checkpoint in the folder that executors share.
     """
-    kept = bool(syms.sparkSession.sparkContext.getCheckpointDir())
+    context = syms.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(syms.sparkSession))
     ranked = syms.select("text_id", "pos", "sym").join(alphabet(syms).select("text_id", "sym", F.col("c_before").alias("rank")), ["text_id", "sym"]).select("text_id", "pos", "rank")
     step = 1
     while True:
         same = Window.partitionBy("text_id", "rank")
-        ranked = ranked.withColumn("alone", F.count("*").over(same) == 1)
-        if kept:
-            ranked = ranked.checkpoint()
+        ranked = ranked.withColumn("alone", F.count("*").over(same) == 1).checkpoint()
         if ranked.where("NOT alone").isEmpty():
             return ranked.select("text_id", F.col("rank").cast("long").alias("i"), F.col("pos").alias("sa"))
         ahead = ranked.select("text_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("ahead")).where("pos >= 0")
