@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 import ctypes
-import io
 import pickle
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 from typing import Any
 
 import pandas as pd
@@ -19,25 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def is_local(spark: SparkSession) -> bool:
-    master = spark.sparkContext.master
-    return master == "local" or master.startswith("local[")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run in this process's machine (a local master)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not is_local(spark):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.conf.set("spark.checkpoint.dir", found := "file://" + tempfile.mkdtemp(prefix="textruns-"))
-    return found.rstrip("/")
-
-
-def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+from textruns.functions.cluster import file_system, shared_dir, ship
 
 
 def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
@@ -48,7 +26,7 @@ def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/textruns-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, where = _file_system(spark, path)
+    fs, where = file_system(spark, path)
     fs.deleteOnExit(where)
     for old in spent:
         discard(old)
@@ -60,7 +38,7 @@ def materialize(df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
 def discard(table: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` returned; any other table is left alone."""
     if path := getattr(table, "_textruns_path", None):
-        fs, where = _file_system(table.sparkSession, path)
+        fs, where = file_system(table.sparkSession, path)
         fs.delete(where, True)
 
 
@@ -72,26 +50,6 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors of a cluster, by way of the shared folder (a local session shares the driver's path)."""
-    sc = spark.sparkContext
-    if is_local(spark) or getattr(sc, "_textruns_shipped", False):
-        return
-    root, data = Path(__file__).resolve().parents[2], io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for p in sorted((root / "textruns").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    path = f"{shared_dir(spark)}/textruns-{uuid.uuid4().hex}.zip"
-    where = sc._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(sc._jsc.hadoopConfiguration())
-    out = fs.create(where)
-    out.write(bytearray(data.getvalue()))
-    out.close()
-    fs.deleteOnExit(where)
-    sc.addPyFile(path)
-    sc._textruns_shipped = True
-
-
 #: Bytes and rows of a batch between the JVM and Python: texts are large, and both sides hold whole batches.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2_000
 
