@@ -3,6 +3,7 @@
 import base64
 import math
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textruns.llm import bpe, lm, packing
+from textruns.llm import _text, bpe, lm, packing
 from textruns.llm._text import pieces, word_hash, words
 
 
@@ -106,6 +107,75 @@ def test_lm_against_softmax(spark, docs):
         assert math.isclose(got[r["doc_id"]]["log_prob"], sum(want), abs_tol=1e-2 * len(want))
 
 
+def plain_step(p, g2, logn, noise, t, c2, c1, w, rate):
+    """A step of noise-contrastive estimation, token by token as it is defined, in double precision."""
+    r, m1, m2, q, b = p
+    grads = [np.zeros_like(x) for x in p]
+    for ti, i2, i1, wi in zip(t, c2, c1, w / w.sum(), strict=True):
+        h = r[i1] @ m1 + r[i2] @ m2
+        for u, data in [(ti, True), *((x, False) for x in noise)]:
+            is_data = 1 / (1 + np.exp(logn[u] - h @ q[u] - b[u]))
+            e = wi * (data - is_data)
+            grads[0][i1] += e * m1 @ q[u]
+            grads[0][i2] += e * m2 @ q[u]
+            grads[1] += e * np.outer(r[i1], q[u])
+            grads[2] += e * np.outer(r[i2], q[u])
+            grads[3][u] += e * h
+            grads[4][u] += e
+    for x, g, a in zip(p, grads, g2, strict=True):
+        a += (100 * g) ** 2
+        x += rate * 100 * g / np.sqrt(a)
+
+
+def some_trainer(units, dim, k, seed=3):
+    rng = np.random.default_rng(0)
+    none = np.zeros(0, np.int64)
+    model, noise = lm.initial(none.view(np.uint64), none.astype(np.int16), none.astype(np.float32), rng.integers(1, 500, units), lm.Spelling(none, none.astype(float)), dim)
+    return lm.Trainer(model, noise, seed, k=k), rng
+
+
+def test_lm_step_is_the_plain_one(monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK", 7)
+    trainer, rng = some_trainer(30, 4, 9)
+    m = trainer.m
+    p = [np.array(x, float) for x in (m.context, m.first, m.second, m.target, m.bias)]
+    g2, draws = [np.full(x.shape, 1e-2) for x in p], np.random.default_rng(3)
+    for _ in range(4):
+        t, c2, c1, w = *(rng.integers(0, 30, 25) for _ in range(3)), rng.random(25).astype(np.float32)
+        trainer.step(t, c2, c1, w)
+        plain_step(p, g2, trainer.logn.astype(float), np.searchsorted(trainer.cum, draws.random(9)), t, c2, c1, w.astype(float), trainer.rate)
+    assert np.allclose(trainer.flat(), np.concatenate([x.ravel() for x in p]), atol=1e-4)
+
+
+def test_lm_step_makes_no_table_of_all_tokens_and_noise_words():
+    trainer, rng = some_trainer(1280, 16, 128)
+    t, c2, c1 = (rng.integers(0, 1280, 4096) for _ in range(3))
+    w = np.ones(4096, np.float32)
+    trainer.step(t, c2, c1, w)
+    tracemalloc.start()
+    try:
+        trainer.step(t, c2, c1, w)
+        assert tracemalloc.get_traced_memory()[1] < 2 * 4096 * 128 * 4
+    finally:
+        tracemalloc.stop()
+
+
+def test_lm_looks_each_word_of_a_piece_up_once(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    own = np.sort(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    near = own[:50] ^ np.uint64(1)  # alike in all but the bits that give way to places
+    keys = rng.permutation(np.repeat(np.concatenate([own[::7], near, rng.integers(0, 1 << 64, 99, dtype=np.uint64)]), 20))
+    asked, plain = [], _text.lookup
+    monkeypatch.setattr(_text, "lookup", lambda table, k: (asked.append(k), plain(table, k))[1])
+    for k in (keys, keys[:1], keys[:0]):
+        assert np.array_equal(_text.lookup_hashes(own, k), plain(own, k)) and np.array_equal(_text.lookup_hashes(own[:0], k), plain(own[:0], k))
+    apart = asked[0][~np.isin(asked[0], np.concatenate([near, own[:50]]))]
+    assert len(apart) == len(np.unique(apart)) and (np.diff(apart.astype(float)) >= 0).all()
+    words_ = [f"w{i % 40}" for i in range(900)]
+    counted = lm.word_counts(spark.createDataFrame([(1, " ".join(words_)), (2, "w3 w3"), (3, None)], "doc_id long, text string")).collect()
+    assert {r["word"]: r["n"] for r in counted} == {int(np.uint64(word_hash(x)).view(np.int64)): words_.count(x) + 2 * (x == "w3") for x in set(words_)}
+
+
 def test_lm_beats_unigrams_on_held_out_rows(spark, more):
     train, test = (spark.createDataFrame(x[["doc_id", "text"]]) for x in (more[:2000], more[3000:3300][~more[3000:3300].text.isin(set(more[:2000].text))]))
     total = lambda m: lm.score(test, m).selectExpr("sum(log_prob) / sum(n_tokens)").first()[0]

@@ -162,3 +162,23 @@ def lookup(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
     i = np.searchsorted(sorted_keys, keys)
     i[i == len(sorted_keys)] = 0
     return np.where(sorted_keys[i] == keys, i, -1)
+
+
+def together(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of 64-bit hashes in which equal ones stand together, and the places in it where a run of equal ones starts.
+
+    Sorted are the hashes with their places in the lowest bits, which is much faster than an argsort. Hashes that are alike in all other bits
+    may take turns, so a hash can have several runs.
+    """
+    bits = np.uint64(max(len(keys) - 1, 0).bit_length())
+    order = (np.sort(keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    s = keys[order]
+    return order, np.flatnonzero(np.append(True, s[1:] != s[:-1])[: len(s)])
+
+
+def lookup_hashes(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """``lookup`` of hashes that repeat: each run of equal ones once and in ascending order, so that large tables are read nearly from front to back."""
+    order, first = together(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.repeat(lookup(sorted_keys, keys[order[first]]), np.diff(np.append(first, len(keys))))
+    return out

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._job import arrow_map, discard, materialize, release, ship
-from ._text import WORD_BYTE, Piece, Words, lookup, mix, pieces, words
+from ._text import WORD_BYTE, Piece, Words, lookup, lookup_hashes, mix, pieces, together, words
 
 HEADS = 1022
 ENDINGS = 256
@@ -43,6 +43,8 @@ DIM = 16
 ROUNDS = 2
 NOISE = 128
 BATCH = 2048
+#: Tokens whose noise scores are made at once; the sums differ by rounding only.
+BLOCK = 256
 HEAVY = 8
 RATE = 0.05
 #: Tokens of a chunk, about.
@@ -68,9 +70,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [(w.hashes, endings(p, w)) for p in pieces(b.column("text")) for w in [words(p)]]
-            keys, first, n = np.unique(np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64), return_index=True, return_counts=True)
-            kind = (np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int16))[first]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(kind), pa.array(n)], ["word", "ending", "n"])
+            keys = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.uint64)
+            kind = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int16)
+            order, first = together(keys)
+            n, first = np.diff(np.append(first, len(keys))), order[first]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(kind[first]), pa.array(n)], ["word", "ending", "n"])
 
     return arrow_map(docs.select("text"), run, "word long, ending short, n long").groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
@@ -176,36 +180,55 @@ def initial(hashes: np.ndarray, ids: np.ndarray, share: np.ndarray, counts: np.n
 
 
 class Trainer:
-    """NCE by Adagrad on minibatches."""
+    """NCE by Adagrad on minibatches.
+
+    Embeddings pass through the two matrices once a step and not once a token, a unit's bias is the last number of its target embedding, and the
+    scores of noise words are made ``BLOCK`` tokens at a time, within the cache. As the logistic function of s is (1 + tanh(s / 2)) / 2, its
+    sums are taken over the hyperbolic tangents alone.
+    """
 
     def __init__(self, model: LogBilinear, noise: np.ndarray, seed: Any, rate: float = RATE, k: int = NOISE) -> None:
         self.m, self.rate, self.k = model, rate, k
-        self.p = [x.astype(np.float32) for x in (model.context, model.first, model.second, model.target, model.bias)]
+        self.p = [np.array(x, np.float32, order="C") for x in (model.context, model.first, model.second, np.column_stack([model.target, model.bias]))]
         self.g2 = [np.full(x.shape, 1e-2, np.float32) for x in self.p]
         self.rng, self.cum, self.logn = np.random.default_rng(seed), np.cumsum(noise), np.log(np.maximum(noise * k, 1e-12)).astype(np.float32)
 
     def step(self, t: np.ndarray, c2: np.ndarray, c1: np.ndarray, w: np.ndarray) -> None:
-        r, m1, m2, q, b = self.p
+        r, m1, m2, q = self.p
         v, d = r.shape
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(self.k)), v - 1)
-        r1, r2 = r[c1], r[c2]
-        h = r1 @ m1 + r2 @ m2
-        qt, qn = q[t], q[noise]
-        yes = 1 / (1 + np.exp(np.clip((h * qt).sum(axis=1) + b[t] - self.logn[t], -30, 30)))  # 1 - P(data)
-        no = -1 / (1 + np.exp(-np.clip(h @ qn.T + (b[noise] - self.logn[noise])[None, :], -30, 30)))  # - P(data)
-        share = (w / w.sum()).astype(np.float32)
-        yes, no = yes * share, no * share[:, None]
-        gh = yes[:, None] * qt + no @ qn
-        grads = [self._rows(np.concatenate([c1, c2]), np.concatenate([gh @ m1.T, gh @ m2.T]), v), r1.T @ gh, r2.T @ gh, self._rows(np.concatenate([t, noise]), np.concatenate([yes[:, None] * h, no.T @ h]), v), np.bincount(np.concatenate([t, noise]), weights=np.concatenate([yes, no.sum(axis=0)]), minlength=v).astype(np.float32)]
+        h = np.ones((len(t), d + 1), np.float32)
+        np.add((r @ m1).take(c1, axis=0), (r @ m2).take(c2, axis=0), out=h[:, :d])
+        less = q.copy()
+        less[:, d] -= self.logn
+        qt, qn = less.take(t, axis=0), less.take(noise, axis=0)
+        share = (w / w.sum()).astype(np.float32)[:, None]
+        yes = share / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, qt), -30, 30)))[:, None]  # 1 - P(data)
+        # - P(data) of noise is -share / 2 times 1 + tanh
+        half, by = share / -2, h * (share / -2)
+        qh, qd = (qn / 2).T, np.ascontiguousarray(qn[:, :d])
+        gh, gn = np.empty((len(t), d), np.float32), np.zeros((self.k, d + 1), np.float32)
+        for a in range(0, len(t), BLOCK):
+            s = h[a : a + BLOCK] @ qh
+            np.tanh(s, out=s)
+            np.matmul(s, qd, out=gh[a : a + BLOCK])
+            gn += s.T @ by[a : a + BLOCK]
+        gn += np.ones(len(t), np.float32) @ by
+        gh += qd.sum(axis=0)
+        gh *= half
+        gh += yes * qt[:, :d]
+        s1, s2 = self._rows(c1, gh, v), self._rows(c2, gh, v)
+        grads = [s1 @ m1.T + s2 @ m2.T, r.T @ s1, r.T @ s2, self._rows(np.concatenate([t, noise]), np.concatenate([yes * h, gn]), v)]
         for p, g, a in zip(self.p, grads, self.g2, strict=True):
-            g = g * np.float32(100)
+            g *= np.float32(100)
             a += g * g
             p += self.rate * g / np.sqrt(a)
 
     @staticmethod
     def _rows(at: np.ndarray, values: np.ndarray, v: int) -> np.ndarray:
         d = values.shape[1]
-        return np.bincount((at[:, None] * d + np.arange(d)).ravel(), weights=values.ravel(), minlength=v * d).reshape(v, d).astype(np.float32)
+        cells = np.arange(v * d).reshape(v, d).take(at, axis=0)
+        return np.bincount(cells.ravel(), weights=values.ravel(), minlength=v * d).reshape(v, d).astype(np.float32)
 
     def run(self, codes: np.ndarray, n: np.ndarray, batch: int = BATCH) -> None:
         """One pass over distinct coded (c1, c2, t) of ``n`` occurrences. Equal ones are trained together, with a weight; heavy ones in parts of at most ``HEAVY``."""
@@ -215,11 +238,14 @@ class Trainer:
         order = self.rng.permutation(np.arange(len(codes), dtype=np.int32))
         for a in range(0, len(order), batch):
             o = order[a : a + batch]
-            c = codes[o].astype(np.int64)
-            self.step(c % v, c // v % v, c // (v * v), weight[o])
+            c = codes.take(o)
+            rest = c // v
+            c1 = rest // v
+            self.step(c - rest * v, rest - c1 * v, c1, weight.take(o))
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p])
+        *others, q = self.p
+        return np.concatenate([x.ravel() for x in (*others, q[:, :-1], q[:, -1])])
 
 
 def untrained(docs: DataFrame, dim: int = DIM, seed: int = 0) -> tuple[LogBilinear, np.ndarray, int]:
@@ -255,7 +281,7 @@ def gathered(docs: DataFrame, model: LogBilinear, chunks: int) -> DataFrame:
             chunk_of, spelled = b.column("chunk").to_numpy(), []
             for p in pieces(b.column("text")):
                 w = words(p)
-                at = lookup(own.words, w.hashes)
+                at = lookup_hashes(own.words, w.hashes)
                 rare = at < 0
                 spelled.append(trigrams(p, w.starts[rare], w.ends[rare])[0])
                 chunk = np.repeat(chunk_of[p.lo : p.hi], np.diff(w.at))
@@ -350,9 +376,12 @@ def score(docs: DataFrame, model: LogBilinear, per_token: bool = False) -> DataF
         for b in batches:
             for p in pieces(b.column("text")):
                 w = words(p)
-                known = lookup(own.words, w.hashes)
+                known = lookup_hashes(own.words, w.hashes)
                 lo, n, (t, c2, c1) = p.lo, np.diff(w.at), own.units(w, known)
-                lp = (a[c1, t] + b_[c2, t] - z[c1, c2]).astype(np.float64) + own.within(p, w, known)
+                lp = a.take(c1 * own.size + t)
+                lp += b_.take(c2 * own.size + t)
+                lp -= z.take(c1 * own.size + c2)
+                lp = lp.astype(np.float64) + own.within(p, w, known)
                 sums = np.concatenate([[0.0], np.cumsum(lp)])
                 at = np.concatenate([[0], np.cumsum(n)])
                 total = sums[at[1:]] - sums[at[:-1]]
