@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from textruns.functions.cluster import map_batches, shared_dir
 from textruns.functions.kernels import Runs, Samples, sorted_suffixes
 
+from .deal import dealt, joined
+
 #: Bytes of text whose suffix arrays are built together.
 TOGETHER = 1 << 21
 
@@ -124,7 +126,7 @@ def suffix_array_by_blocks(syms: DataFrame) -> DataFrame:
     context = syms.sparkSession.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_dir(syms.sparkSession))
-    ranked = syms.select("text_id", "pos", "sym").join(alphabet(syms).select("text_id", "sym", F.col("c_before").alias("rank")), ["text_id", "sym"]).select("text_id", "pos", "rank")
+    ranked = joined(syms.select("text_id", "pos", "sym"), alphabet(syms).select("text_id", "sym", F.col("c_before").alias("rank")), ["text_id", "sym"]).select("text_id", "pos", "rank")
     step = 1
     while True:
         same = Window.partitionBy("text_id", "rank")
@@ -132,7 +134,7 @@ def suffix_array_by_blocks(syms: DataFrame) -> DataFrame:
         if ranked.where("NOT alone").isEmpty():
             return ranked.select("text_id", F.col("rank").cast("long").alias("i"), F.col("pos").alias("sa"))
         ahead = ranked.select("text_id", (F.col("pos") - step).alias("pos"), F.col("rank").alias("ahead")).where("pos >= 0")
-        open_ = ranked.where("NOT alone").join(ahead, ["text_id", "pos"], "left")
+        open_ = joined(ranked.where("NOT alone"), ahead, ["text_id", "pos"], "left")
         moved = open_.select("text_id", "pos", (F.col("rank") + F.rank().over(same.orderBy(F.coalesce("ahead", F.lit(-1)))) - 1).cast("long").alias("rank"))
         ranked = ranked.where("alone").select("text_id", "pos", "rank").union(moved)
         step *= 2
@@ -146,7 +148,7 @@ def bwt_runs(bwt_: DataFrame) -> DataFrame:
     """text_id, run, sym, start, end_excl, head_tpos, tail_tpos."""
     w = Window.partitionBy("text_id").orderBy("i")
     head = F.when(F.lag("sym").over(w).eqNullSafe(F.col("sym")), 0).otherwise(1)
-    numbered = bwt_.withColumn("head", head).withColumn("run", F.sum("head").over(w) - 1)
+    numbered = dealt(bwt_, "text_id").withColumn("head", head).withColumn("run", F.sum("head").over(w) - 1)
     return numbered.groupBy("text_id", "run").agg(
         F.min("sym").alias("sym"), F.min("i").alias("start"), (F.max("i") + 1).alias("end_excl"), F.min_by("text_pos", "i").alias("head_tpos"), F.max_by("text_pos", "i").alias("tail_tpos")
     )
@@ -177,7 +179,7 @@ def runs_per_symbol(runs: DataFrame) -> DataFrame:
 def psi(bwt_: DataFrame) -> DataFrame:
     """text_id, j, psi: the successor permutation."""
     w = Window.partitionBy("text_id").orderBy("sym", "i")
-    return bwt_.select("text_id", (F.row_number().over(w) - 1).cast("long").alias("j"), F.col("i").alias("psi"))
+    return dealt(bwt_.select("text_id", "sym", "i"), "text_id").select("text_id", (F.row_number().over(w) - 1).cast("long").alias("j"), F.col("i").alias("psi"))
 
 
 def lf(bwt_: DataFrame) -> DataFrame:
@@ -188,7 +190,7 @@ def lf(bwt_: DataFrame) -> DataFrame:
 def phi(sa: DataFrame, backward: bool) -> DataFrame:
     """text_id, v, next_v: the suffix-array entry before (or after) each entry, NULL at the end."""
     w = Window.partitionBy("text_id").orderBy("i")
-    return sa.select("text_id", F.col("sa").alias("v"), (F.lag("sa") if backward else F.lead("sa")).over(w).alias("next_v"))
+    return dealt(sa.select("text_id", "i", "sa"), "text_id").select("text_id", F.col("sa").alias("v"), (F.lag("sa") if backward else F.lead("sa")).over(w).alias("next_v"))
 
 
 def links_backward(runs: DataFrame) -> DataFrame:
@@ -254,21 +256,21 @@ def subsample_places(kept: DataFrame, runs2: DataFrame) -> DataFrame:
     """Kept samples (text_id, run) with row_order (among the kept ones by row), start (the first row of the run), prun and symbol_order (among the kept ones by symbol)."""
     by_row, by_symbol = (Window.partitionBy("text_id").orderBy(k) for k in ("run", "prun"))
     number = lambda w: (F.row_number().over(w) - 1).cast("long")
-    joined = kept.select("text_id", "run").join(runs2.select("text_id", "run", "start", "prun"), ["text_id", "run"])
-    return joined.select("text_id", "run", "start", "prun", number(by_row).alias("row_order"), number(by_symbol).alias("symbol_order"))
+    placed = joined(kept.select("text_id", "run"), runs2.select("text_id", "run", "start", "prun"), ["text_id", "run"])
+    return placed.select("text_id", "run", "start", "prun", number(by_row).alias("row_order"), number(by_symbol).alias("symbol_order"))
 
 
 def submark_links(links: DataFrame, places: DataFrame, backward: bool) -> DataFrame:
     """text_id, mark, mark_order (among the kept marks by position), row_order and symbol_order of the kept sample that it leads to."""
     key = "run" if backward else "prun"
-    joined = links.select("text_id", "mark", F.col("sample_run" if backward else "sample_prun").alias(key)).join(places, ["text_id", key])
+    led = joined(links.select("text_id", "mark", F.col("sample_run" if backward else "sample_prun").alias(key)), places, ["text_id", key])
     w = Window.partitionBy("text_id").orderBy("mark")
-    return joined.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("mark_order"), "row_order", "symbol_order")
+    return led.select("text_id", "mark", (F.row_number().over(w) - 1).cast("long").alias("mark_order"), "row_order", "symbol_order")
 
 
 def submarks(links: DataFrame, kept: DataFrame, sample_key: str) -> DataFrame:
     """The links whose sample is kept: text_id, mark, sample. ``kept`` has text_id and ``sample_key``."""
-    return links.join(kept.select("text_id", sample_key), ["text_id", sample_key], "left_semi").select("text_id", "mark", "sample")
+    return joined(links, kept.select("text_id", sample_key), ["text_id", sample_key], "left_semi").select("text_id", "mark", "sample")
 
 
 def validity(links: DataFrame, sub: DataFrame, backward: bool) -> DataFrame:
@@ -277,4 +279,4 @@ def validity(links: DataFrame, sub: DataFrame, backward: bool) -> DataFrame:
     full = links.select("text_id", "mark", F.lead("mark").over(w).alias("next_full"))
     kept = sub.select("text_id", "mark", F.lead("mark").over(w).alias("next_kept"))
     ok = F.col("next_full").eqNullSafe(F.col("next_kept"))
-    return kept.join(full, ["text_id", "mark"]).select("text_id", "mark", ok.alias("valid"), F.when(~ok, F.abs(F.col("next_full") - F.col("mark"))).alias("area"))
+    return joined(kept, full, ["text_id", "mark"]).select("text_id", "mark", ok.alias("valid"), F.when(~ok, F.abs(F.col("next_full") - F.col("mark"))).alias("area"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .deal import dealt, joined
+
 
 def asof(probes: DataFrame, table: DataFrame, by: list[str], at: str, key: str, values: list[str], backward: bool = True, strict: bool = False) -> DataFrame:
     """``probes`` with the ``values`` of the row of ``table`` whose ``key`` is the last at or before ``at`` (first at or after, if not ``backward``) within ``by``.
@@ -12,14 +14,16 @@ def asof(probes: DataFrame, table: DataFrame, by: list[str], at: str, key: str,
     ``strict`` leaves out an equal key. A union and one window: one shuffle on ``by``, whatever the number of probes for each key. Keys
     are unique within ``by``. Without such a row the values are NULL.
     """
-    left = probes.select(F.struct(*probes.columns).alias("probe"), *by, F.col(at).alias("_at"), F.lit(None).cast(_struct(table, [key, *values])).alias("hit"))
+    rest = [c for c in probes.columns if c not in by]
+    left = probes.select(F.struct(*rest).alias("probe"), *by, F.col(at).alias("_at"), F.lit(None).cast(_struct(table, [key, *values])).alias("hit"))
     right = table.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), *by, F.col(key).alias("_at"), F.struct(key, *values).alias("hit"))
     # rows are walked towards the probes, so that a frame only grows; at equal positions, probes come after the rows they may see
     sees = F.lit(1) if strict else F.lit(0)
     side = F.when(F.col("probe").isNull(), sees).otherwise(1 - sees)
     w = Window.partitionBy(*by).orderBy(F.asc("_at") if backward else F.desc("_at"), side)
     found = F.last("hit", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return left.unionByName(right).withColumn("hit", found).where("probe IS NOT NULL").select("probe.*", *(F.col(f"hit.{v}").alias(v) for v in [key, *values]))
+    both = dealt(left.unionByName(right), *by).withColumn("hit", found).where("probe IS NOT NULL")
+    return both.select(*(F.col(c if c in by else f"probe.{c}") for c in probes.columns), *(F.col(f"hit.{v}").alias(v) for v in [key, *values]))
 
 
 def _struct(table: DataFrame, names: list[str]) -> str:
@@ -47,14 +51,14 @@ def select(runs2: DataFrame, probes: DataFrame) -> DataFrame:
 
 def select_run(runs2: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (text_id, sym, k from 1) with run: the k-th run of sym."""
-    return probes.join(runs2.select("text_id", "sym", (F.col("sym_run") + 1).alias("k"), "run"), ["text_id", "sym", "k"], "left")
+    return joined(probes, runs2.select("text_id", "sym", (F.col("sym_run") + 1).alias("k"), "run"), ["text_id", "sym", "k"], "left")
 
 
 def lf_range(runs2: DataFrame, alphabet: DataFrame, ranges: DataFrame) -> DataFrame:
     """ranges (text_id, lo, hi, sym) with new_lo, new_hi: one step of backward search; empty (equal) where sym does not occur in the range."""
     both = ranges.select(*ranges.columns, F.explode(F.array("lo", "hi")).alias("pos")).distinct()
     ranked = rank(runs2, both)
-    ends = ranked.join(alphabet.select("text_id", "sym", "c_before"), ["text_id", "sym"]).withColumn("to", F.col("c_before") + F.col("rank"))
+    ends = joined(ranked, alphabet.select("text_id", "sym", "c_before"), ["text_id", "sym"]).withColumn("to", F.col("c_before") + F.col("rank"))
     return ends.groupBy(*ranges.columns).agg(F.min("to").alias("new_lo"), F.max("to").alias("new_hi"))
 
 
@@ -70,7 +74,7 @@ def _over_runs(ranges: DataFrame, runs: DataFrame, by: list[str], lo: str, hi: s
 def split_in_runs(runs: DataFrame, ranges: DataFrame, clip: bool = True) -> DataFrame:
     """ranges (text_id, lo, hi) with the runs that they overlap: run, sym, start, end_excl, cut to the range or, without ``clip``, whole."""
     r = runs.select("text_id", "run", "sym", F.col("start").alias("_s"), F.col("end_excl").alias("_e"))
-    hit = _over_runs(ranges, runs, ["text_id"], "lo", "hi", "start", "run").join(r, ["text_id", "run"]).where("_e > lo")
+    hit = joined(_over_runs(ranges, runs, ["text_id"], "lo", "hi", "start", "run"), r, ["text_id", "run"]).where("_e > lo")
     a, b = (F.greatest("lo", "_s"), F.least("hi", "_e")) if clip else (F.col("_s"), F.col("_e"))
     return hit.select(*ranges.columns, "run", "sym", a.alias("start"), b.alias("end_excl"))
 
@@ -86,7 +90,7 @@ def forward_runs(runs2: DataFrame, ranges: DataFrame) -> DataFrame:
     first = (F.col("sym_before") + 1).alias("_k1")
     r = runs2.select("text_id", "sym", "sym_run", "run", F.col("start").alias("_s"), first, (F.col("end_excl") - F.col("start")).alias("_n"))
     named = runs2.select("text_id", "sym", "sym_run", first)
-    hit = _over_runs(ranges, named, ["text_id", "sym"], "k_lo", "k_hi", "_k1", "sym_run").join(r, ["text_id", "sym", "sym_run"]).where("_k1 < k_hi AND _k1 + _n > k_lo")
+    hit = joined(_over_runs(ranges, named, ["text_id", "sym"], "k_lo", "k_hi", "_k1", "sym_run"), r, ["text_id", "sym", "sym_run"]).where("_k1 < k_hi AND _k1 + _n > k_lo")
     begin = F.col("_s") + F.greatest("k_lo", "_k1") - F.col("_k1")
     return hit.select(*ranges.columns, "run", begin.alias("start"), (begin + F.least("k_hi", F.col("_k1") + F.col("_n")) - F.greatest("k_lo", "_k1")).alias("end_excl"))
 
@@ -107,12 +111,12 @@ def rank_run(runs: DataFrame, probes: DataFrame) -> DataFrame:
 
 def run_at(runs: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (text_id, run) with sym, start, end_excl and length of that run."""
-    return probes.join(runs.select("text_id", "run", "sym", "start", "end_excl", (F.col("end_excl") - F.col("start")).alias("length")), ["text_id", "run"])
+    return joined(probes, runs.select("text_id", "run", "sym", "start", "end_excl", (F.col("end_excl") - F.col("start")).alias("length")), ["text_id", "run"])
 
 
 def traverse(runs2: DataFrame, symbols: DataFrame) -> DataFrame:
     """All runs of some symbols (text_id, sym), numbered within each: sym_run, run, start, end_excl."""
-    return symbols.join(runs2.select("text_id", "sym", "sym_run", "run", "start", "end_excl"), ["text_id", "sym"])
+    return joined(symbols, runs2.select("text_id", "sym", "sym_run", "run", "start", "end_excl"), ["text_id", "sym"])
 
 
 def first_symbol(runs: DataFrame) -> DataFrame:
@@ -129,7 +133,7 @@ def _circular(marks: DataFrame, probes: DataFrame, backward: bool, *values: str)
     def either(name: str) -> Column:
         return F.coalesce(F.col(name), F.col(f"wrap.{name}")).alias(name)
 
-    return found.join(ends, "text_id", "left").select(*probes.columns, either("order"), either("mark"), *map(either, values))
+    return joined(found, ends, "text_id", "left").select(*probes.columns, either("order"), either("mark"), *map(either, values))
 
 
 def predecessor(marks: DataFrame, probes: DataFrame) -> DataFrame:
@@ -144,10 +148,10 @@ def successor(marks: DataFrame, probes: DataFrame) -> DataFrame:
 
 def phi_by_marks(links: DataFrame, lengths: DataFrame, probes: DataFrame, backward: bool) -> DataFrame:
     """probes (text_id, v) with next_v: the neighbouring suffix-array entry, from links (text_id, mark, sample) and lengths (text_id, n) alone."""
-    joined = _circular(links, probes, backward, "sample").join(lengths.select("text_id", "n"), "text_id")
+    sized = joined(_circular(links, probes, backward, "sample"), lengths.select("text_id", "n"), "text_id")
     gap = F.pmod((F.col("v") - F.col("mark")) if backward else (F.col("mark") - F.col("v")), F.col("n"))
     step = F.col("sample") + gap if backward else F.col("sample") - gap
-    return joined.select(*probes.columns, F.pmod(step, F.col("n")).alias("next_v"))
+    return sized.select(*probes.columns, F.pmod(step, F.col("n")).alias("next_v"))
 
 
 def symbol_of_row(alphabet: DataFrame, probes: DataFrame) -> DataFrame:

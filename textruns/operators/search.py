@@ -12,12 +12,15 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textruns.functions.cluster import map_batches
 from textruns.functions.forest import Access, Forest, Found, Marks, batches_of, by_row, by_run, first_values, search
 from textruns.functions.forest import locate as resolve
 from textruns.functions.kernels import STRATEGIES, Strategy
 
+from .deal import joined
+
 #: Patterns that are broadcast at once, at most: rows, and bytes of them.
 BLOCK_ROWS = 50_000
 BLOCK_BYTES = 8 << 20
@@ -286,4 +289,4 @@ def scan_count(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def slice_locate(sa: DataFrame, ranges: DataFrame) -> DataFrame:
     """text_id, pattern_id, pos by joining ranges (text_id, pattern_id, sa_start, sa_end) with a suffix-array relation."""
-    return ranges.join(sa.select("text_id", "i", "sa"), "text_id").where("i >= sa_start AND i < sa_end").select("text_id", "pattern_id", sa["sa"].alias("pos"))
+    return joined(ranges, sa.select("text_id", "i", "sa"), "text_id").where("i >= sa_start AND i < sa_end").select("text_id", "pattern_id", F.col("sa").alias("pos"))

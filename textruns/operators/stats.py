@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .deal import joined
+
 
 def occurrence_stats(counts: DataFrame) -> DataFrame:
     """Over all (text, pattern) counts: patterns, total, min, max, mean."""
@@ -22,7 +24,7 @@ def mark_density(marks: DataFrame, width: int) -> DataFrame:
     """text_id, bin, n, share: a histogram of mark positions in bins of ``width``."""
     counted = marks.select("text_id", F.floor(F.col("mark") / width).cast("long").alias("bin")).groupBy("text_id", "bin").agg(F.count("*").alias("n"))
     total = counted.groupBy("text_id").agg(F.sum("n").alias("all"))
-    return counted.join(total, "text_id").select("text_id", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
+    return joined(counted, total, "text_id").select("text_id", "bin", "n", (F.col("n") / F.col("all")).alias("share"))
 
 
 def mark_quartiles(marks: DataFrame) -> DataFrame:
@@ -36,7 +38,7 @@ def mark_kde(marks: DataFrame, lengths: DataFrame, points: int, bandwidth: float
 
     Marks are counted by position first, so a text's marks meet the places once for each distinct position.
     """
-    counted = marks.groupBy("text_id", "mark").agg(F.count("*").alias("w")).join(lengths.select("text_id", "n"), "text_id")
+    counted = joined(marks.groupBy("text_id", "mark").agg(F.count("*").alias("w")), lengths.select("text_id", "n"), "text_id")
     at = counted.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(points)))).withColumn("x", F.col("k") / points)
     z = (F.col("x") - F.col("mark") / F.col("n")) / bandwidth
     weight = F.col("w") * F.exp(-z * z / 2)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from textruns.functions.kernels import STRATEGIES, Strategy
 from textruns.operators import construct as c
+from textruns.operators.deal import joined
 from textruns.sources.texts import with_distinct_ids
 
 from .store import Store
@@ -38,8 +39,8 @@ def _with_symbols(texts: DataFrame, algorithm: str) -> DataFrame:
         return c.suffix_array(texts)
     syms = c.symbols(texts)
     n = syms.groupBy("text_id").count().withColumnRenamed("count", "n")
-    placed = c.suffix_array_by(texts, algorithm).join(n, "text_id").selectExpr("text_id", "n", "i", "sa", "(sa + n - 1) % n AS text_pos")
-    return placed.join(syms.withColumnRenamed("pos", "text_pos"), ["text_id", "text_pos"]).select("text_id", "n", "i", "sa", "text_pos", "sym")
+    placed = joined(c.suffix_array_by(texts, algorithm), n, "text_id").selectExpr("text_id", "n", "i", "sa", "(sa + n - 1) % n AS text_pos")
+    return joined(placed, syms.withColumnRenamed("pos", "text_pos"), ["text_id", "text_pos"]).select("text_id", "n", "i", "sa", "text_pos", "sym")
 
 
 def _direction(store: Store, texts: DataFrame, s: int, how: Strategy, bwt: DataFrame, out: dict[str, DataFrame]) -> None:

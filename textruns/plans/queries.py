@@ -12,6 +12,7 @@ from textruns.functions.kernels import STRATEGIES
 from textruns.operators import construct as c
 from textruns.operators import navigate as nav
 from textruns.operators import search, stats
+from textruns.operators.deal import joined
 from textruns.sources.texts import decode_patterns, read_parquet, spread
 
 from .index import TextIndex, sweep
@@ -231,7 +232,7 @@ _UNNEST = "unnest([" + ", ".join(map(str, _POS)) + "]::BIGINT[])"
 @query("access", WITH + f"SELECT p.text_id, p.pos, g.run, g.sym FROM (SELECT text_id, n, {_UNNEST} AS pos FROM t) p JOIN g ON g.text_id = p.text_id AND g.i = p.pos WHERE p.pos < p.n")
 def access(spark: SparkSession, d: str) -> DataFrame:
     n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
-    probes = _probes(spark, d, "pos", _POS).join(n, "text_id").where("pos < n").select("text_id", "pos")
+    probes = joined(_probes(spark, d, "pos", _POS), n, "text_id").where("pos < n").select("text_id", "pos")
     return nav.access(_runs(spark, d), probes)
 
 
@@ -290,7 +291,7 @@ def break_range(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT text_id, n, {_UNNEST} AS pos FROM t) p JOIN g ON g.text_id = p.text_id AND g.i = p.pos JOIN pr ON pr.text_id = g.text_id AND pr.run = g.run WHERE p.pos < p.n""")
 def own_rank(spark: SparkSession, d: str) -> DataFrame:
     n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
-    return nav.own_rank(_runs2(spark, d), _probes(spark, d, "pos", _POS).join(n, "text_id").where("pos < n").select("text_id", "pos"))
+    return nav.own_rank(_runs2(spark, d), joined(_probes(spark, d, "pos", _POS), n, "text_id").where("pos < n").select("text_id", "pos"))
 
 
 @query("rank_run", WITH + f"SELECT p.text_id, p.v, count(*) FILTER (st < p.v) AS below, count(*) FILTER (st <= p.v) AS upto, max(st) FILTER (st <= p.v) AS run_start FROM (SELECT text_id, {_UNNEST} AS v FROM t) p JOIN runs ON runs.text_id = p.text_id GROUP BY 1, 2")
@@ -326,14 +327,14 @@ def successor(spark: SparkSession, d: str) -> DataFrame:
 @query("symbol_of_row", WITH + f"SELECT p.text_id, p.i, CAST(CASE WHEN s.sa = s.n - 1 THEN 0 ELSE 16 * (strpos('0123456789ABCDEF', substr(s.h, 2 * s.sa + 1, 1)) - 1) + strpos('0123456789ABCDEF', substr(s.h, 2 * s.sa + 2, 1)) - 1 END AS INT) AS sym FROM (SELECT text_id, n, {_UNNEST} AS i FROM t) p JOIN sa s ON s.text_id = p.text_id AND s.i = p.i WHERE p.i < p.n")
 def symbol_of_row(spark: SparkSession, d: str) -> DataFrame:
     n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
-    probes = _probes(spark, d, "i", _POS).join(n, "text_id").where("i < n").select("text_id", "i")
+    probes = joined(_probes(spark, d, "i", _POS), n, "text_id").where("i < n").select("text_id", "i")
     return nav.symbol_of_row(c.alphabet(c.symbols(parts(spark, d))), probes)
 
 
 @query("exist", WITH + f"SELECT p.text_id, y.sym, p.pos FROM (SELECT text_id, {_UNNEST} AS pos FROM t) p JOIN {_SYM} ON true JOIN bwt b ON b.text_id = p.text_id AND b.i = p.pos AND b.sym = y.sym")
 def exist(spark: SparkSession, d: str) -> DataFrame:
     n = parts(spark, d).select("text_id", (F.length("body") + 1).alias("n"))
-    probes = _symbols(_probes(spark, d, "pos", _POS).join(n, "text_id").where("pos < n").select("text_id", "pos"))
+    probes = _symbols(joined(_probes(spark, d, "pos", _POS), n, "text_id").where("pos < n").select("text_id", "pos"))
     return nav.exist(_runs(spark, d), probes)
 
 
