@@ -12,6 +12,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["break_range", "select_run", "split_in_runs"])
+@pytest.mark.parametrize("name", ["break_range", "select_run", "split_in_runs", "split_in_whole_runs"])
 def test_relations_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
