@@ -2,7 +2,8 @@
 
 import pytest
 
-from textruns.plans.queries import QUERIES
+from textruns.operators import deal
+from textruns.plans.queries import QUERIES, SQL
 
 from .conftest import SF
 
@@ -15,3 +16,11 @@ def plan(df):
 @pytest.mark.parametrize("name", ["break_range", "select_run", "split_in_runs", "split_in_whole_runs"])
 def test_relations_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["closest_run_break"])
+def test_partitions_grow_with_the_input(spark, duck, same, monkeypatch, name):
+    monkeypatch.setattr(deal, "PART_BYTES", 1 << 10)
+    df = QUERIES[name](spark, SF)
+    assert deal.partitions(df) > 10 and "REPARTITION_BY_NUM" in plan(df)
+    same(df.toArrow().to_pylist(), duck.sql(SQL[name]).to_arrow_table().to_pylist())

@@ -167,11 +167,17 @@ def exist(runs: DataFrame, probes: DataFrame) -> DataFrame:
 
 def closest_run_break(runs: DataFrame, probes: DataFrame) -> DataFrame:
     """probes (text_id, sym, pos) with break_pos: the head or the tail of a run of sym nearest to pos (of two as near the smaller), NULL without such a run."""
-    ends = runs.select("text_id", "sym", F.explode(F.array(F.col("start"), F.col("end_excl") - 1)).alias("at")).distinct()
-    near = asof(asof(probes, ends.withColumnRenamed("at", "below"), ["text_id", "sym"], "pos", "below", []), ends.withColumnRenamed("at", "above"), ["text_id", "sym"], "pos", "above", [], backward=False)
-    down, up = F.col("pos") - F.col("below"), F.col("above") - F.col("pos")
-    best = F.when(F.col("above").isNull() | (down <= up), F.col("below")).otherwise(F.col("above"))
-    return near.select(*probes.columns, F.coalesce(best, "above").alias("break_pos"))
+    by = ["text_id", "sym"]
+    rest = [c for c in probes.columns if c not in by]
+    left = probes.select(F.struct(*rest).alias("probe"), *by, F.col("pos").alias("_at"), F.lit(None).cast("struct<start:long,last:long>").alias("run"))
+    right = runs.select(F.lit(None).cast(left.schema["probe"].dataType).alias("probe"), *by, F.col("start").alias("_at"), F.struct("start", (F.col("end_excl") - 1).alias("last")).alias("run"))
+    # the run that begins last at or before pos and the one that begins next: one shuffle for the walks both ways
+    side, frame = F.col("probe").isNotNull(), (Window.unboundedPreceding, Window.currentRow)
+    up, down = Window.partitionBy(*by).orderBy("_at", side), Window.partitionBy(*by).orderBy(F.desc("_at"), side.desc())
+    near = {"below": F.last("run", ignorenulls=True).over(up.rowsBetween(*frame)), "above": F.last("run", ignorenulls=True).over(down.rowsBetween(*frame))}
+    found = dealt(left.unionByName(right), *by).withColumns(near).where("probe IS NOT NULL")
+    breaks = [F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col(x) - F.col("_at")).alias("far"), F.col(x).alias("at"))) for x in ("below.start", "below.last", "above.start")]
+    return found.select(*(F.col(c if c in by else f"probe.{c}") for c in probes.columns), F.array_min(F.array(*breaks))["at"].alias("break_pos"))
 
 
 def gaps(marks: DataFrame) -> DataFrame:
