@@ -24,3 +24,8 @@ def test_partitions_grow_with_the_input(spark, duck, same, monkeypatch, name):
     df = QUERIES[name](spark, SF)
     assert deal.partitions(df) > 10 and "REPARTITION_BY_NUM" in plan(df)
     same(df.toArrow().to_pylist(), duck.sql(SQL[name]).to_arrow_table().to_pylist())
+
+
+def test_f_array_shuffles_no_row_for_each_byte(spark):
+    df = QUERIES["f_array"](spark, SF)
+    assert "Join" not in plan(df) and df.count() % 257 == 0

@@ -57,17 +57,18 @@ def symbols(texts: DataFrame) -> DataFrame:
 def alphabet(syms: DataFrame) -> DataFrame:
     """text_id, sym, code (dense rank), freq, c_before: occurrences of smaller symbols."""
     w = Window.partitionBy("text_id").orderBy("sym")
-    counted = syms.groupBy("text_id", "sym").agg(F.count("*").alias("freq"))
+    counted = dealt(syms.select("text_id", "sym"), "text_id").groupBy("text_id", "sym").agg(F.count("*").alias("freq"))
     return counted.select("text_id", "sym", (F.row_number().over(w) - 1).cast("long").alias("code"), "freq", F.coalesce(F.sum("freq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("c_before"))
 
 
 def f_array(alpha: DataFrame) -> DataFrame:
     """text_id, byte, first: for each of 0 to 256, where that byte's suffixes begin in the suffix array."""
-    ids = alpha.select("text_id").distinct()
-    grid = ids.withColumn("byte", F.explode(F.sequence(F.lit(0), F.lit(256))))
-    joined = grid.join(alpha.select("text_id", F.col("sym").alias("byte"), "freq"), ["text_id", "byte"], "left")
-    w = Window.partitionBy("text_id").orderBy("byte").rowsBetween(Window.unboundedPreceding, -1)
-    return joined.select("text_id", "byte", F.coalesce(F.sum("freq").over(w), F.lit(0)).cast("long").alias("first"))
+    w = Window.partitionBy("text_id").orderBy("sym")
+    # a symbol stands for the bytes after it up to the next symbol, the first one also for those up to itself
+    stretch = F.sequence(F.when(F.col("c_before") == 0, F.lit(0)).otherwise(F.col("sym") + 1), F.coalesce(F.lead("sym").over(w), F.lit(256)))
+    first = F.when(F.col("byte") > F.col("sym"), F.col("c_before") + F.col("freq")).otherwise(F.lit(0))
+    spread = alpha.select("text_id", "sym", "freq", "c_before", stretch.alias("bytes"))
+    return spread.select("text_id", "sym", "freq", "c_before", F.explode("bytes").alias("byte")).select("text_id", "byte", first.cast("long").alias("first"))
 
 
 def suffix_array(texts: DataFrame) -> DataFrame:
