@@ -18,7 +18,7 @@ def test_relations_are_never_broadcast(spark, name):
     assert "Broadcast" not in plan(QUERIES[name](spark, SF))
 
 
-@pytest.mark.parametrize("name", ["closest_run_break", "forward_runs"])
+@pytest.mark.parametrize("name", ["closest_run_break", "forward_runs", "traverse"])
 def test_partitions_grow_with_the_input(spark, duck, same, monkeypatch, name):
     monkeypatch.setattr(deal, "PART_BYTES", 1 << 10)
     df = QUERIES[name](spark, SF)
