@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
-from .kernels import Strategy
+from .kernels import Strategy, by_position, by_text_and_symbol
 
 _NONE = np.zeros(0, np.int64)
 
@@ -29,6 +30,7 @@ class Forest:
     size: np.ndarray
     key: np.ndarray = field(init=False)
     f_start: np.ndarray = field(init=False)
+    f_bound: np.ndarray = field(init=False)  # f_start, and the end of all
     by_row: np.ndarray = field(init=False)  # runs in the order of rows
     place: np.ndarray = field(init=False)  # the place of each run in that order
     row_start: np.ndarray = field(init=False)
@@ -37,7 +39,8 @@ class Forest:
     def __post_init__(self) -> None:
         self.key = self.group * (self.total + 1) + self.start
         self.f_start = np.cumsum(self.size) - self.size
-        self.by_row = np.argsort(self.start, kind="stable")
+        self.f_bound = np.append(self.f_start, self.total)
+        self.by_row = by_position(self.start, self.total)
         self.place = np.empty(len(self.start), np.int64)
         self.place[self.by_row] = np.arange(len(self.start))
         self.row_start = self.start[self.by_row]
@@ -49,7 +52,7 @@ class Forest:
         base = np.concatenate([[0], np.cumsum(lengths)])
         rows = base[text] + start
         group = text * 257 + sym + 1
-        order = np.lexsort((rows, group))
+        order = by_text_and_symbol(text, sym)
         return cls(base, group[order], rows[order], np.diff(np.append(rows, base[-1]))[order])
 
     @classmethod
@@ -57,6 +60,16 @@ class Forest:
         base = np.concatenate([[0], np.cumsum(lengths)])
         return cls(base, text * 257 + sym + 1, base[text] + start, size)
 
+    @cached_property
+    def at_row(self) -> np.ndarray:
+        """Of each row, the place of its run in the order of rows."""
+        return np.repeat(np.arange(len(self.start), dtype=np.int32), self.row_end - self.row_start)
+
+    @cached_property
+    def at_first(self) -> np.ndarray:
+        """Of each row of the first column, the run that stands there."""
+        return np.repeat(np.arange(len(self.start), dtype=np.int32), self.size)
+
     @property
     def total(self) -> int:
         return int(self.base[-1])
@@ -72,10 +85,10 @@ class Forest:
     def bound(self, group: np.ndarray, i: np.ndarray, j: np.ndarray, has: np.ndarray) -> np.ndarray:
         """Row of the first column where the first symbol of the group at or after row i stands; ``j`` and ``has`` are ``before``."""
         first = np.searchsorted(self.group, group, side="left")
-        return np.where(has, self.f_start[j] + np.minimum(i - self.start[j], self.size[j]), np.append(self.f_start, self.total)[first])
+        return np.where(has, self.f_start[j] + np.minimum(i - self.start[j], self.size[j]), self.f_bound[first])
 
     def run_of(self, i: np.ndarray) -> np.ndarray:
-        return self.by_row[np.searchsorted(self.row_start, i, side="right") - 1]
+        return self.by_row[self.at_row[i]]
 
     def lf(self, i: np.ndarray) -> np.ndarray:
         k = self.run_of(i)
@@ -83,12 +96,12 @@ class Forest:
 
     def psi(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row after each in its text, and the run that holds it."""
-        k = np.searchsorted(self.f_start, i, side="right") - 1
+        k = self.at_first[i].astype(np.int64)
         return self.start[k] + i - self.f_start[k], k
 
     def split(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Non-empty intervals of rows cut at runs: number of the interval, run, begin, end."""
-        x, y = (np.searchsorted(self.row_start, v, side="right") - 1 for v in (a, b - 1))
+        x, y = self.at_row[a].astype(np.int64), self.at_row[b - 1]
         n = y - x + 1
         of = np.repeat(np.arange(len(a)), n)
         k = x[of] + _ramp(n)
@@ -96,7 +109,7 @@ class Forest:
 
     def split_forward(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Intervals of rows followed by Psi: number of the interval, run, and the rows of that run, in order."""
-        x, y = (np.searchsorted(self.f_start, v, side="right") - 1 for v in (a, b - 1))
+        x, y = self.at_first[a].astype(np.int64), self.at_first[b - 1]
         n = y - x + 1
         of = np.repeat(np.arange(len(a)), n)
         k = x[of] + _ramp(n)
@@ -157,13 +170,16 @@ def search(f: Forest, patterns: list[bytes], backward: bool = True) -> Found:
 Lookup = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def by_run(rank: np.ndarray | None, kept: np.ndarray, samples: np.ndarray) -> Lookup:
-    """Samples in an order of runs, ``kept`` ascending places within it; ``rank`` is the place of each run, None in symbol order itself."""
+def by_run(rank: np.ndarray | None, kept: np.ndarray, samples: np.ndarray, runs: int) -> Lookup:
+    """Samples in an order of runs, ``kept`` ascending places within it; ``rank`` is the place of each of the ``runs``, None in symbol order itself."""
+
+    held = np.full(runs, -1, np.int32)
+    held[kept] = np.arange(len(kept))
 
     def get(run: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = run if rank is None else rank[run]
-        at = np.minimum(np.searchsorted(kept, place), max(len(kept) - 1, 0))
-        return (kept[at] == place, samples[at]) if len(kept) else (np.zeros(len(run), bool), place)
+        at = held[place]
+        return (at >= 0, samples[at]) if len(kept) else (np.zeros(len(run), bool), place)
 
     return get
 
@@ -322,7 +338,7 @@ def locate(f: Forest, found: Found, access: Access, how: Strategy, s: int) -> tu
     return owner, out
 
 
-def batches_of(lengths: np.ndarray, patterns: int, cuts: np.ndarray = _NONE, pairs: int = 1 << 20, rows: int = 1 << 23) -> Iterator[tuple[int, int]]:
+def batches_of(lengths: np.ndarray, patterns: int, cuts: np.ndarray = _NONE, pairs: int = 1 << 20, rows: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Consecutive texts of bounded pairs with patterns and bounded length, at least one at a time, none across ``cuts``."""
     lo, ends = 0, np.cumsum(lengths)
     most = max(1, pairs // max(patterns, 1))

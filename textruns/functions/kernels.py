@@ -12,20 +12,31 @@ import numpy as np
 
 
 def sorted_suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """``base``, and the suffix arrays of all texts end to end, by prefix doubling over all of them at once; settled suffixes drop out."""
+    """``base``, and the suffix arrays of all texts end to end, by prefix doubling over all of them at once; settled suffixes drop out.
+
+    The first sort is by as many symbols as a key of 62 bits holds beside the text's number; what follows a sentinel in it decides nothing.
+    """
     lengths = np.array([len(b) + 1 for b in bodies], np.int64)
     total = int(lengths.sum())
     base = np.concatenate([[0], np.cumsum(lengths)])
     if not total:
         return base, np.zeros(0, np.int64)
-    data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int64)
-    key = data + 1
-    key[base[1:] - 1] = 0
-    key += np.repeat(np.arange(len(bodies)), lengths) * 257
-    order = np.argsort(key, kind="stable")
+    data = np.frombuffer(b"\0".join(bodies) + b"\0", np.uint8).astype(np.int16) + 1
+    data[base[1:] - 1] = 0
+    present = np.zeros(257, bool)
+    present[data] = True
+    code = (np.cumsum(present) - 1)[data]
+    bits = max(1, int(present.sum() - 1).bit_length())
+    step = max(1, min((62 - (len(bodies) - 1).bit_length()) // bits, int(lengths.max())))
+    code = np.concatenate([code, np.zeros(step, np.int64)])
+    key = np.repeat(np.arange(len(bodies)), lengths)
+    for k in range(step):
+        key <<= bits
+        key |= code[k : k + total]
+    order = np.argsort(key)
     rank = np.empty(total, np.int64)
     slots = np.arange(total)
-    keys, step = key[order], 0
+    keys = key[order]
     while True:
         first = np.ones(len(keys), bool)
         first[1:] = keys[1:] != keys[:-1]
@@ -36,15 +47,29 @@ def sorted_suffixes(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         slots = slots[~alone]
         if not len(slots):
             break
-        step = 1 if not step else 2 * step
         open_ = order[slots]
         keys = rank[open_] * (total + 1) + rank[np.minimum(open_ + step, total - 1)]
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         order[slots] = open_[by]
         keys = keys[by]
+        step *= 2
     return base, order
 
 
+def by_position(at: np.ndarray, total: int) -> np.ndarray:
+    """The order of distinct positions under ``total``, without a sort."""
+    place = np.full(total, -1, np.int64)
+    place[at] = np.arange(len(at))
+    return place[place >= 0]
+
+
+def by_text_and_symbol(text: np.ndarray, sym: np.ndarray) -> np.ndarray:
+    """The order by text, symbol (-1 to 255) and place of what comes by text: a stable sort of short numbers, which numpy does by digits."""
+    order = np.argsort((sym + 1).astype(np.uint16), kind="stable")
+    narrow = text.astype(np.uint16) if len(text) and text[-1] < 1 << 16 else text
+    return order[np.argsort(narrow[order], kind="stable")]
+
+
 def suffix_arrays(bodies: list[bytes]) -> list[np.ndarray]:
     """Suffix array of each text with its sentinel."""
     base, order = sorted_suffixes(bodies)
@@ -58,7 +83,8 @@ def _greedy(at: np.ndarray, end: np.ndarray, heads: np.ndarray, stops: np.ndarra
     """
     reach = np.minimum(np.searchsorted(at, at + s, side="right") - 1, end)
     index = np.arange(len(at))
-    jump = np.minimum(np.maximum(reach, index + 1), stops[np.minimum(np.searchsorted(stops, index, side="right"), len(stops) - 1)]).tolist()
+    stop = np.append(np.repeat(stops, np.diff(stops, prepend=0)), np.full(len(at) - stops[-1], stops[-1]))  # the next one after each index
+    jump = np.minimum(np.maximum(reach, index + 1), stop).tolist()
     kept: list[int] = []
     for k, last in zip(heads.tolist(), end[heads].tolist(), strict=True):
         kept.append(k)
@@ -121,7 +147,7 @@ class Runs:
     @cached_property
     def by_symbol(self) -> np.ndarray:
         """Runs in Psi order: by text, symbol, row."""
-        return np.lexsort((self.start, self.sym, self.text))
+        return by_text_and_symbol(self.text, self.sym)
 
     @cached_property
     def symbol_rank(self) -> np.ndarray:
@@ -159,7 +185,7 @@ class Samples:
         else:
             shifted[first[some + 1] - 1] = first[some]
             order, value, mark_of = runs.by_symbol, runs.head_tpos, runs.tail_tpos[runs.by_symbol]
-        by_mark = np.argsort(mark_of, kind="stable")
+        by_mark = by_position(mark_of, int(runs.base[-1]))
         mark, sample_run = mark_of[by_mark], order[shifted[by_mark]]
         kept = np.ones(r, bool)
         if s > 1 and r:
@@ -167,7 +193,7 @@ class Samples:
             # each text's values ascend in the walk: positions, or positions counted from the text's end
             t = runs.text
             at = value if backward else runs.base[t] + runs.base[t + 1] - 1 - value
-            walk = np.argsort(at, kind="stable")
+            walk = by_position(at, int(runs.base[-1]))
             place = np.empty(r, np.int64)
             place[walk] = np.arange(r)
             last = first[some + 1] - 1

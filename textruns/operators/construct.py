@@ -22,7 +22,7 @@ from textruns.functions.kernels import Runs, Samples, sorted_suffixes
 from .deal import dealt, joined
 
 #: Bytes of text whose suffix arrays are built together.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 20
 
 SUFFIX_SCHEMA = "text_id long, n long, i long, sa long, text_pos long, sym int"
 

@@ -6,6 +6,7 @@ An index is one row a text (see ``textruns.plans.index``); patterns are broadcas
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from textruns.functions.cluster import map_batches
 from textruns.functions.forest import Access, Forest, Found, Marks, batches_of, by_row, by_run, first_values, search
 from textruns.functions.forest import locate as resolve
-from textruns.functions.kernels import STRATEGIES, Strategy
+from textruns.functions.kernels import STRATEGIES, Strategy, by_position
 
 from .deal import joined
 
@@ -66,6 +67,7 @@ class Rows:
 
     def __init__(self, b: pa.RecordBatch) -> None:
         self.batch = b
+        self.known: dict[tuple, Any] = {}  # what several strategies have in common
         self.lengths = b.column("n").to_numpy()
         self.base = np.concatenate([[0], np.cumsum(self.lengths)])
 
@@ -88,8 +90,16 @@ class Rows:
     def rate(self) -> int:
         return int(self.batch.column("s")[0].as_py())
 
+    def once(self, key: tuple, make: Callable[[], Any]) -> Any:
+        if key not in self.known:
+            self.known[key] = make()
+        return self.known[key]
+
     def forest(self, psi_runs: bool) -> Forest:
         """The runs, from those stored by symbol or by row."""
+        return self.once(("forest", psi_runs), lambda: self._forest(psi_runs))
+
+    def _forest(self, psi_runs: bool) -> Forest:
         if psi_runs:
             start, text = self.list("p_start")
             return Forest.of_symbol_order(self.lengths, text, self.symbols("p_sym"), start, self.list("p_size")[0])
@@ -113,21 +123,21 @@ def access_of(rows: Rows, f: Forest, how: Strategy) -> Access:
             head, text = rows.placed("p_head")
             mark, after = rows.placed("p_tail")[0], np.arange(1, len(head) + 1)
             after[runs[1:] - 1] = runs[:-1]
-            by = np.argsort(mark, kind="stable")
-            return Access(by_run(None, np.arange(len(head)), head), Marks(mark[by], head[after][by], trusted(mark), _first(text, n)))
+            by = by_position(mark, f.total)
+            return Access(by_run(None, np.arange(len(head)), head, len(head)), Marks(mark[by], head[after][by], trusted(mark), _first(text, n)))
         (head, text), (tail, _) = rows.placed("head_tpos"), rows.placed("tail_tpos")
         if how.backward:
             before = np.arange(-1, len(head) - 1)
             before[runs[:-1]] = runs[1:] - 1
-            by = np.argsort(head, kind="stable")
-            return Access(by_run(f.place, np.arange(len(tail)), tail), Marks(head[by], tail[before][by], trusted(head), _first(text, n)))
+            by = by_position(head, f.total)
+            return Access(by_run(f.place, np.arange(len(tail)), tail, len(tail)), Marks(head[by], tail[before][by], trusted(head), _first(text, n)))
         # runs by row; their order by symbol is that of the forest
         after = np.empty(len(head), np.int64)
         nxt = np.arange(1, len(head) + 1)
         nxt[runs[1:] - 1] = runs[:-1]
         after[f.place] = f.place[nxt]
-        by = np.argsort(tail, kind="stable")
-        return Access(by_run(f.place, np.arange(len(head)), head), Marks(tail[by], head[after][by], trusted(tail), _first(text, n)))
+        by = by_position(tail, f.total)
+        return Access(by_run(f.place, np.arange(len(head)), head, len(head)), Marks(tail[by], head[after][by], trusted(tail), _first(text, n)))
     side = "b" if how.backward else "f"
     mark, text = rows.placed(f"{side}_mark")
     area, first = rows.list(f"{side}_area")[0], _first(text, n)
@@ -135,43 +145,57 @@ def access_of(rows: Rows, f: Forest, how: Strategy) -> Access:
         places, of = rows.list("f_places")
         heads = rows.placed("f_heads")[0]
         link = rows.list("f_link")[0] + _first(of, n)[text]
-        return Access(by_run(None, places + runs[of], heads), Marks(mark, heads[link], area, first))
+        return Access(by_run(None, places + runs[of], heads, len(f.start)), Marks(mark, heads[link], area, first))
     marks = Marks(mark, rows.placed(f"{side}_sample")[0], area, first)
     kept, of = rows.list(f"{side}_kept")
     ends = rows.placed("tail_tpos" if how.backward else "head_tpos")[0][kept + runs[of]]
     if how.backward:
-        return Access(by_run(f.place, kept + runs[of], ends), marks)
+        return Access(by_run(f.place, kept + runs[of], ends, len(f.start)), marks)
     at = rows.placed("f_rows")[0]
     return Access(by_row(at, ends), marks, at)
 
 
 _FIXED = ["text_id", "n", "s"]
+
+
+@dataclass
+class Unsaved:
+    """An index of texts that stands nowhere yet: ``make`` gives the rows of some texts, in the columns asked for, and each part of them is searched in the task that
+    made it, so that no index is sent from task to task."""
+
+    texts: DataFrame
+    make: Callable[[pa.RecordBatch, list[str]], Iterator[pa.RecordBatch]]
+
+
+Index = DataFrame | Unsaved
 #: Numbers of text and pattern, and further columns.
 Answer = Iterator[tuple[np.ndarray, np.ndarray, list[Any]]]
 #: Occurrences resolved at once, about; one range is never cut.
 RESOLVE = 1 << 22
 
 
-def _searched(index: DataFrame, patterns: DataFrame, columns: list[str], schema: str, answer: Callable[[Rows, list[bytes]], Answer]) -> DataFrame:
+def _searched(index: Index, patterns: DataFrame, columns: list[str], schema: str, answer: Callable[[Rows, list[bytes]], Answer]) -> DataFrame:
     """Rows (text_id, pattern_id, ...) of ``answer``: text and pattern numbers and further columns."""
     names = [x.split()[0] for x in schema.split(", ")]
+    source = index.texts.select("text_id", "body") if isinstance(index, Unsaved) else index.select(*_FIXED, *columns)
+    make = index.make if isinstance(index, Unsaved) else None
 
     def one(block: list[Pattern]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, bodies = pa.array([i for i, _ in block], pa.int64()), [p for _, p in block]
-            for b in batches:
+            for b in (x for b in batches for x in (make(b, columns) if make else [b])):
                 rates = b.column("s").to_numpy()
                 for lo, hi in batches_of(b.column("n").to_numpy(), len(bodies), np.flatnonzero(rates[1:] != rates[:-1]) + 1):
                     rows = Rows(b.slice(lo, hi - lo))
                     for text, pattern, more in answer(rows, bodies):
                         yield pa.RecordBatch.from_arrays([rows.batch.column("text_id").take(pa.array(text)), ids.take(pa.array(pattern)), *map(pa.array, more)], names)
 
-        return map_batches(index.select(*_FIXED, *columns), run, schema)
+        return map_batches(source, run, schema)
 
     return _over_blocks(patterns, one)
 
 
-def count(index: DataFrame, patterns: DataFrame) -> DataFrame:
+def count(index: Index, patterns: DataFrame) -> DataFrame:
     """text_id, pattern_id, occ, sa_start, sa_end of every pattern that occurs in a text; positions are not resolved."""
 
     def answer(rows: Rows, bodies: list[bytes]) -> Answer:
@@ -185,8 +209,9 @@ def count(index: DataFrame, patterns: DataFrame) -> DataFrame:
 def _resolved(rows: Rows, how: Strategy, bodies: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Text, pattern and position of occurrences, some ranges at a time."""
     f = rows.forest(how.psi_runs)
-    whole = search(f, bodies, how.backward)
-    access = None if how.slice or not len(whole.text) else access_of(rows, f, how)
+    whole = rows.once(("found", how.psi_runs, how.backward), lambda: search(f, bodies, how.backward))
+    kind = ("access", how.backward, how.sampled, how.psi_order, how.psi_runs)
+    access = None if how.slice or not len(whole.text) else rows.once(kind, lambda: access_of(rows, f, how))
     ends = np.cumsum(whole.hi - whole.lo)
     cuts = np.unique(np.searchsorted(ends, np.arange(0, (ends[-1] if len(ends) else 0) + RESOLVE, RESOLVE)).clip(0, len(ends)))
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -204,7 +229,7 @@ def _resolved(rows: Rows, how: Strategy, bodies: list[bytes]) -> Iterator[tuple[
         yield x.text[owner], x.pattern[owner], pos
 
 
-def locate(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
+def locate(index: Index, patterns: DataFrame, strategy: str) -> DataFrame:
     """text_id, pattern_id, pos of every occurrence, overlapping ones too, in no order. All strategies give the same rows."""
     how = STRATEGIES[strategy]
 
@@ -214,19 +239,34 @@ def locate(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
     return _searched(index, patterns, columns_of(how), "text_id long, pattern_id long, pos long", answer)
 
 
-def locate_by_each(index: DataFrame, patterns: DataFrame, strategies: list[str]) -> DataFrame:
+def locate_by_each(index: Index, patterns: DataFrame, strategies: list[str]) -> DataFrame:
     """text_id, pattern_id, pos, strategy: what each strategy finds, in one pass over the index."""
     columns = list(dict.fromkeys(c for k in strategies for c in columns_of(STRATEGIES[k])))
 
     def answer(rows: Rows, bodies: list[bytes]) -> Answer:
         for k in strategies:
             for text, pattern, pos in _resolved(rows, STRATEGIES[k], bodies):
-                yield text, pattern, [pos, [k] * len(pos)]
+                yield text, pattern, [pos, pa.array([k]).take(pa.array(np.zeros(len(pos), np.int64)))]
 
     return _searched(index, patterns, columns, "text_id long, pattern_id long, pos long, strategy string", answer)
 
 
-def first_occurrences(index: DataFrame, patterns: DataFrame, strategy: str) -> DataFrame:
+def sums_by_each(index: Index, patterns: DataFrame, strategies: list[str]) -> DataFrame:
+    """text_id, pattern_id, strategy, occ, positions: how many occurrences each strategy finds in a text, and the sum of their positions, added up where they are found."""
+    columns = list(dict.fromkeys(c for k in strategies for c in columns_of(STRATEGIES[k])))
+
+    def answer(rows: Rows, bodies: list[bytes]) -> Answer:
+        for k in strategies:
+            for text, pattern, pos in _resolved(rows, STRATEGIES[k], bodies):
+                # a range's occurrences stand together
+                at = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (pattern[1:] != pattern[:-1]))[: len(text)])
+                if len(at):
+                    yield text[at], pattern[at], [pa.array([k]).take(pa.array(np.zeros(len(at), np.int64))), np.diff(np.append(at, len(text))), np.add.reduceat(pos, at)]
+
+    return _searched(index, patterns, columns, "text_id long, pattern_id long, strategy string, occ long, positions long", answer)
+
+
+def first_occurrences(index: Index, patterns: DataFrame, strategy: str) -> DataFrame:
     """text_id, pattern_id, pos: the suffix-array entry at the end of each range (its start, for forward strategies), as backward search carries it."""
     how = STRATEGIES[strategy]
 

@@ -21,6 +21,8 @@ _LISTS = (
     "run_start", "head_tpos", "tail_tpos", "b_kept", "b_mark", "b_sample", "b_area", "f_kept", "f_mark", "f_sample", "f_area", "f_rows",
     "p_start", "p_size", "p_head", "p_tail", "f_places", "f_heads", "f_link", "sa",
 )
+#: Columns of every index.
+_LEAN = {"run_sym", "run_start", "head_tpos", "tail_tpos", "p_sym", "p_start", "p_size", "sa"}
 SCHEMA = "text_id long, n long, r long, s int, run_sym binary, p_sym binary, " + ", ".join(f"{k} array<int>" for k in _LISTS)
 
 
@@ -66,6 +68,7 @@ class TextIndex:
     """Answers count and locate; built once, saved, loaded. ``data`` is read lazily and only in the columns that a strategy needs."""
 
     data: DataFrame
+    unsaved: search.Unsaved | None = None
 
     @staticmethod
     def build(texts: DataFrame, s: int = 4, keep_suffix_array: bool = True, keep_samples: bool = True) -> TextIndex:
@@ -77,12 +80,15 @@ class TextIndex:
         if s < 1:
             raise ValueError("the sub-sampling rate is at least 1")
 
+        def make(b: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+            for ids, bodies in by_size(b.column("text_id"), b.column("body")):
+                yield index_batch(ids, bodies, s, keep_suffix_array and "sa" in columns, keep_samples and not _LEAN.issuperset(columns))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for ids, bodies in by_size(b.column("text_id"), b.column("body")):
-                    yield index_batch(ids, bodies, s, keep_suffix_array, keep_samples)
+                yield from make(b, list(_LISTS))
 
-        return TextIndex(map_batches(texts.select("text_id", "body"), run, SCHEMA))
+        return TextIndex(map_batches(texts.select("text_id", "body"), run, SCHEMA), search.Unsaved(texts, make))
 
     def save(self, path: str) -> None:
         self.data.write.mode("overwrite").parquet(path)
@@ -92,18 +98,21 @@ class TextIndex:
         return TextIndex(spark.read.schema(SCHEMA).parquet(path))
 
     def count(self, patterns: DataFrame) -> DataFrame:
-        return search.count(self.data, patterns)
+        return search.count(self.unsaved or self.data, patterns)
 
     def locate(self, patterns: DataFrame, strategy: str = "tails") -> DataFrame:
         if strategy not in STRATEGIES:
             raise ValueError(f"unknown strategy {strategy!r}; there are {', '.join(STRATEGIES)}")
-        return search.locate(self.data, patterns, strategy)
+        return search.locate(self.unsaved or self.data, patterns, strategy)
 
     def locate_by_each(self, patterns: DataFrame, strategies: list[str] | None = None) -> DataFrame:
-        return search.locate_by_each(self.data, patterns, strategies or list(STRATEGIES))
+        return search.locate_by_each(self.unsaved or self.data, patterns, strategies or list(STRATEGIES))
+
+    def sums_by_each(self, patterns: DataFrame, strategies: list[str] | None = None) -> DataFrame:
+        return search.sums_by_each(self.unsaved or self.data, patterns, strategies or list(STRATEGIES))
 
     def first_occurrences(self, patterns: DataFrame, strategy: str = "tails") -> DataFrame:
-        return search.first_occurrences(self.data, patterns, strategy)
+        return search.first_occurrences(self.unsaved or self.data, patterns, strategy)
 
     def sizes(self) -> DataFrame:
         """text_id, part, bytes: how large each part of the index is, at 4 bytes a number and 1 a symbol."""

@@ -433,8 +433,8 @@ def locate_docs(spark: SparkSession, d: str) -> DataFrame:
 @query("locate_each_docs", "WITH found AS (" + _LOCATE_DOCS + ") SELECT strategy, text_id, pattern_id, count(*) AS occ, sum(pos)::BIGINT AS positions FROM found, (VALUES " + ", ".join(f"('{k}')" for k in STRATEGIES) + ") AS k(strategy) GROUP BY ALL")
 def locate_each_docs(spark: SparkSession, d: str) -> DataFrame:
     """By strategy, document and pattern: occurrences, and the sum of their positions."""
-    found = TextIndex.build(documents(spark, d), 16).locate_by_each(patterns(spark, BORDERLESS))
-    return found.groupBy("strategy", "text_id", "pattern_id").agg(F.count("*").alias("occ"), F.sum("pos").alias("positions"))
+    found = TextIndex.build(documents(spark, d), 16).sums_by_each(patterns(spark, BORDERLESS))
+    return found.groupBy("strategy", "text_id", "pattern_id").agg(F.sum("occ").alias("occ"), F.sum("positions").alias("positions"))
 
 
 @query("locate_scan_docs", _LOCATE_DOCS)

@@ -27,9 +27,9 @@ def read_parquet(spark: SparkSession, path: str, text_id: str, text: str) -> Dat
 
 
 def spread(texts: DataFrame) -> DataFrame:
-    """Texts of fewer files than cores, dealt out over all of them: an index costs far more than moving its text once."""
+    """Texts of few files for the cores, dealt out over all of them: an index costs far more than moving its text once."""
     cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(2 * cores) if len(texts.inputFiles()) < cores else texts
+    return texts.repartition(4 * cores) if len(texts.inputFiles()) < 2 * cores else texts
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
