@@ -49,3 +49,8 @@ def test_strategies_share_searches_and_sum_as_they_locate(spark, monkeypatch):
     order = lambda df: sorted(str((r["strategy"], r["text_id"], r["pattern_id"], *list(r)[3:])) for r in df.collect())
     named = want.select("strategy", "text_id", "pattern_id", "count(1)", "sum(pos)")
     assert order(got) == order(named) and got.count() == 4 * len(STRATEGIES)
+
+
+@pytest.mark.parametrize("name", ["count_patterns_docs"])
+def test_an_unsaved_index_is_searched_in_the_task_that_builds_it(spark, name):
+    assert plan(QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count("MapInArrow") == 1
