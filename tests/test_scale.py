@@ -51,6 +51,6 @@ def test_strategies_share_searches_and_sum_as_they_locate(spark, monkeypatch):
     assert order(got) == order(named) and got.count() == 4 * len(STRATEGIES)
 
 
-@pytest.mark.parametrize("name", ["count_patterns_docs"])
+@pytest.mark.parametrize("name", ["count_patterns_docs", "locate_docs"])
 def test_an_unsaved_index_is_searched_in_the_task_that_builds_it(spark, name):
     assert plan(QUERIES[name](spark, SF)).split("== Initial Plan ==")[0].count("MapInArrow") == 1
